@@ -138,3 +138,198 @@ allr AS (
   UNION ALL SELECT series, 'Daily' AS type, date, adjusted, "return" FROM dbret)
 SELECT series, type, date, round(adjusted, 6) AS adjusted, round("return", 6) AS "return",
   round("return" * "return", 6) AS squared_return, round(abs("return"), 6) AS abs_return FROM allr"""
+
+# ---------------------------------------------------------------- evaluation
+from sigmaflow.functions.stats import t_tail_sql  # noqa: E402
+
+EXCL = _day(TICK_PARAMS.excluded_day)
+
+NAIVE = f"""rv_all AS (
+  SELECT series, day, sum("return" * "return") AS realized_variance FROM ret5 GROUP BY 1, 2),
+rvf_all AS (
+  SELECT series, day, sum("return" * "return") AS realized_variance FROM ret5f GROUP BY 1, 2),
+nb AS (
+  SELECT series, day,
+    lag(realized_variance) OVER (PARTITION BY series ORDER BY day) AS f5,
+    CASE WHEN count(realized_variance) OVER (PARTITION BY series ORDER BY day
+                                            ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) = 5
+         THEN avg(realized_variance) OVER (PARTITION BY series ORDER BY day
+                                           ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) END AS fd
+  FROM rv_all),
+nbf AS (
+  SELECT series, day, lag(realized_variance) OVER (PARTITION BY series ORDER BY day) AS ff FROM rvf_all),
+nf AS (
+  SELECT series, day, '5min' AS forc_style, f5 AS v FROM nb
+  UNION ALL SELECT series, day, 'daily' AS forc_style, fd AS v FROM nb
+  UNION ALL SELECT series, day, '5min_filtered' AS forc_style, ff AS v FROM nbf),
+fc AS (
+  SELECT series, d.distribution, forc_style, day,
+         CASE WHEN d.distribution = 'Student-t' THEN v * CAST(1.1 AS DOUBLE) ELSE v END
+           AS daily_variance_forecast
+  FROM nf CROSS JOIN (VALUES ('Normal'), ('Student-t')) d(distribution)
+  WHERE v IS NOT NULL AND day > {TO})"""
+
+PERF = f"""perf2 AS (
+  SELECT f.series, f.distribution, f.forc_style, f.day, f.daily_variance_forecast,
+         rv.realized_variance, sq.squared_return
+  FROM fc f LEFT JOIN rv ON f.series = rv.series AND f.day = rv.day
+            LEFT JOIN sq ON f.series = sq.series AND f.day = sq.day
+  WHERE f.forc_style IN ('5min', 'daily')),
+perf AS (
+  SELECT * FROM perf2
+  UNION ALL BY NAME
+  SELECT * REPLACE ('5min_no_outlier' AS forc_style) FROM perf2
+  WHERE forc_style = '5min' AND day <> {EXCL}),
+perf3 AS (
+  SELECT f.series, f.distribution, f.forc_style, f.day, f.daily_variance_forecast,
+         rv.realized_variance, sq.squared_return
+  FROM fc f LEFT JOIN rv ON f.series = rv.series AND f.day = rv.day
+            LEFT JOIN sq ON f.series = sq.series AND f.day = sq.day
+  WHERE f.forc_style IN ('5min', '5min_filtered', 'daily'))"""
+
+EVAL_BASE = (TICKS, BARS, RET5, DRET, RV, OUTLIER, NAIVE, PERF)
+GRP = "series, distribution, forc_style"
+
+SQL["all_forecasts"] = with_(*EVAL_BASE) + (
+    f"SELECT {GRP}, day, {R('daily_variance_forecast')} FROM fc")
+SQL["performance_data"] = with_(*EVAL_BASE) + f"""SELECT {GRP}, day, {R('daily_variance_forecast')},
+  {R('realized_variance')}, {R('squared_return')} FROM perf"""
+SQL["performance_data_filtered"] = with_(*EVAL_BASE) + f"""SELECT {GRP}, day,
+  {R('daily_variance_forecast')}, {R('realized_variance')}, {R('squared_return')} FROM perf3"""
+
+
+def _compare_sql(where: str, key: str, keep: str, values: list[str], labels: dict[str, str]) -> str:
+    base = f"""cmp AS (
+  SELECT f.series, f.day, f.{keep}, f.{key} AS k, f.daily_variance_forecast AS v, rv.realized_variance
+  FROM fc f LEFT JOIN rv ON f.series = rv.series AND f.day = rv.day WHERE {where}),
+wide AS (
+  SELECT series, day, {keep}, realized_variance,
+    {", ".join(f"first(v) FILTER (WHERE k = '{v}') AS \"{v}\"" for v in values)}
+  FROM cmp GROUP BY series, day, {keep}, realized_variance),
+lng AS (
+  {" UNION ALL ".join(f"SELECT series, day, {keep}, '{v}' AS metric, \"{v}\" AS variance_estimate FROM wide" for v in values)}
+  UNION ALL SELECT series, day, {keep}, 'realized_variance' AS metric, realized_variance AS variance_estimate FROM wide)"""
+    case = "CASE metric " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in labels.items()) + " ELSE metric END"
+    return with_(*EVAL_BASE, base) + (
+        f"SELECT series, day, {keep}, {case} AS metric, {R('variance_estimate')} FROM lng")
+
+
+SQL["compare_styles_long"] = _compare_sql(
+    "f.distribution = 'Normal' AND f.forc_style IN ('5min', 'daily')", "forc_style", "distribution",
+    ["5min", "daily"], {"5min": "GARCH(1,1)-N 5-min", "daily": "GARCH(1,1)-N daily",
+                        "realized_variance": "Realized Variance"})
+SQL["compare_dists_long"] = _compare_sql(
+    "f.forc_style = '5min'", "distribution", "forc_style", ["Normal", "Student-t"],
+    {"Normal": "GARCH(1,1)-N", "Student-t": "GARCH(1,1)-T", "realized_variance": "Realized Variance"})
+SQL["compare_filtered_long"] = _compare_sql(
+    "f.distribution = 'Normal' AND f.forc_style IN ('5min', '5min_filtered')", "forc_style", "distribution",
+    ["5min", "5min_filtered"], {"5min": "GARCH(1,1)-N 5-min", "5min_filtered": "GARCH(1,1)-N 5-min-filtered",
+                                "realized_variance": "Realized Variance"})
+
+
+def _metrics_sql(src: str, proxy: str) -> str:
+    e = f"({proxy} - daily_variance_forecast)"
+    return with_(*EVAL_BASE) + f"""SELECT {GRP},
+  {R(f'avg({e} * {e})', alias='mse')}, {R(f'sqrt(avg({e} * {e}))', alias='rmse')},
+  {R(f'avg(abs({e}))', alias='mae')}, {R(f'avg(abs({e}) / nullif(sqrt({proxy}), 0))', alias='mape')},
+  count({e}) AS n_obs, count(*) FILTER (WHERE {proxy} IS NULL) AS n_missing
+FROM {src} GROUP BY {GRP}"""
+
+
+SQL["error_metrics_rv"] = _metrics_sql("perf3", "realized_variance")
+SQL["error_metrics_sqret"] = _metrics_sql("perf3", "squared_return")
+
+
+def _ols_cte(src: str, y: str, x: str, group: str) -> str:
+    return f"""ols AS (
+  SELECT {group}, regr_count({y}, {x}) AS n, regr_slope({y}, {x}) AS slope,
+         regr_intercept({y}, {x}) AS intercept, regr_r2({y}, {x}) AS r_squared,
+         regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) AS syy, regr_sxy({y}, {x}) AS sxy,
+         regr_avgx({y}, {x}) AS avgx
+  FROM {src} GROUP BY {group}),
+ols2 AS (
+  SELECT *, syy - sxy * sxy / nullif(sxx, 0) AS sse FROM ols),
+ols3 AS (
+  SELECT *, sse / nullif(n - 2, 0) AS sigma2 FROM ols2),
+ols4 AS (
+  SELECT *, sqrt(sigma2 / nullif(sxx, 0)) AS se_slope,
+         sqrt(sigma2 * (1.0 / nullif(n, 0) + avgx * avgx / nullif(sxx, 0))) AS se_intercept,
+         n - 2 AS df_residual FROM ols3)"""
+
+
+def _tidy_sql(src: str, y: str, group: str = GRP, extra: tuple[str, ...] = EVAL_BASE) -> str:
+    p = t_tail_sql("statistic", "df_residual", "duckdb")
+    return with_(*extra, _ols_cte(src, y, "daily_variance_forecast", group)) + f""", terms AS (
+  SELECT {group}, df_residual, '(Intercept)' AS term, intercept AS estimate, se_intercept AS std_error FROM ols4
+  UNION ALL
+  SELECT {group}, df_residual, 'daily_variance_forecast' AS term, slope AS estimate, se_slope AS std_error FROM ols4),
+t2 AS (SELECT *, estimate / nullif(std_error, 0) AS statistic FROM terms)
+SELECT {group}, term, {R('estimate')}, {R('std_error')}, {R('statistic')}, {R(p, alias='p_value')} FROM t2"""
+
+
+def _glance_sql(src: str, y: str, group: str = GRP, extra: tuple[str, ...] = EVAL_BASE) -> str:
+    p = t_tail_sql("t_slope", "df_residual", "duckdb")
+    ll = "(-CAST(n AS DOUBLE) / 2 * (ln(2 * pi()) + ln(sse / n) + 1))"
+    return with_(*extra, _ols_cte(src, y, "daily_variance_forecast", group)) + f""", g AS (
+  SELECT *, slope / nullif(se_slope, 0) AS t_slope FROM ols4)
+SELECT {group}, {R('r_squared')},
+  {R('1 - (1 - r_squared) * (n - 1) / nullif(n - 2, 0)', alias='adj_r_squared')},
+  {R('sqrt(sigma2)', alias='sigma')}, {R('t_slope * t_slope', alias='statistic')},
+  {R(p, alias='p_value')}, CAST(1 AS BIGINT) AS df, {R(ll, alias='loglik')},
+  {R(f'-2 * {ll} + 6', alias='aic')}, {R(f'-2 * {ll} + 3 * ln(n)', alias='bic')},
+  {R('sse', alias='deviance')}, df_residual, n AS nobs FROM g"""
+
+
+SQL["mz_tidy_rv"] = _tidy_sql("perf3", "realized_variance")
+SQL["mz_tidy_sqret"] = _tidy_sql("perf3", "squared_return")
+SQL["mz_glance_rv"] = _glance_sql("perf3", "realized_variance")
+SQL["mz_glance_sqret"] = _glance_sql("perf3", "squared_return")
+
+METRIC_ROWS = [("mape", 1, "MAPE"), ("rmse", 2, "RMSE"), ("(Intercept)_estimate", 3, "MZ Intercept"),
+               ("(Intercept)_std.error", 4, "MZ Intercept Std. Error"),
+               ("daily_variance_forecast_estimate", 5, "MZ Slope"),
+               ("daily_variance_forecast_std.error", 6, "MZ Slope Std. Error"),
+               ("r.squared", 7, "MZ $R^2$")]
+
+
+def _result_sql(src: str, styles: dict[str, str], display: bool = False) -> str:
+    grp = "series, forc_style, proxy"
+    long = f"""lp AS (
+  SELECT series, forc_style, day, daily_variance_forecast, 'realized_variance' AS proxy,
+         realized_variance AS variance_proxy FROM {src} WHERE distribution = 'Normal'
+  UNION ALL
+  SELECT series, forc_style, day, daily_variance_forecast, 'squared_return' AS proxy,
+         squared_return AS variance_proxy FROM {src} WHERE distribution = 'Normal')"""
+    e = "(variance_proxy - daily_variance_forecast)"
+    body = with_(*EVAL_BASE, long, _ols_cte("lp", "variance_proxy", "daily_variance_forecast", grp)) + f""",
+em AS (
+  SELECT {grp}, sqrt(avg({e} * {e})) AS rmse, avg(abs({e}) / nullif(sqrt(variance_proxy), 0)) AS mape
+  FROM lp GROUP BY {grp}),
+ml AS (
+  SELECT {grp}, 'mape' AS metric, mape AS value FROM em
+  UNION ALL SELECT {grp}, 'rmse', rmse FROM em
+  UNION ALL SELECT {grp}, '(Intercept)_estimate', intercept FROM ols4
+  UNION ALL SELECT {grp}, '(Intercept)_std.error', se_intercept FROM ols4
+  UNION ALL SELECT {grp}, 'daily_variance_forecast_estimate', slope FROM ols4
+  UNION ALL SELECT {grp}, 'daily_variance_forecast_std.error', se_slope FROM ols4
+  UNION ALL SELECT {grp}, 'r.squared', r_squared FROM ols4),
+mr(metric, metric_rank, label) AS (VALUES {", ".join(f"('{a}', {b}, '{c}')" for a, b, c in METRIC_ROWS)}),
+tab AS (
+  SELECT series, proxy, CAST(metric_rank AS BIGINT) AS metric_rank, label AS metric,
+    {", ".join(f"first(value) FILTER (WHERE forc_style = '{k}') AS {v}" for k, v in styles.items())}
+  FROM ml JOIN mr USING (metric) WHERE forc_style IN ({", ".join(f"'{k}'" for k in styles)})
+  GROUP BY series, proxy, metric_rank, label)
+"""
+    if not display:
+        return body + f"SELECT series, proxy, metric_rank, metric, {', '.join(R(v) for v in styles.values())} FROM tab"
+    se = "metric IN ('MZ Intercept Std. Error', 'MZ Slope Std. Error')"
+    cols = ", ".join(
+        f"CASE WHEN {v} IS NULL THEN NULL WHEN {se} THEN printf('(%.5f)', round({v}, 5)) "
+        f"ELSE printf('%.5f', round({v}, 5)) END AS {v}" for v in styles.values())
+    return body + f"SELECT series, proxy, metric_rank, CASE WHEN {se} THEN NULL ELSE metric END AS metric, {cols} FROM tab"
+
+
+_MAIN = {"5min": "five_min", "daily": "daily", "5min_no_outlier": "five_min_no_outlier"}
+SQL["result_table"] = _result_sql("perf", _MAIN)
+SQL["result_table_filtered"] = _result_sql("perf3", {"5min_filtered": "five_min_filtered"})
+SQL["result_table_display"] = _result_sql("perf", _MAIN, display=True)
