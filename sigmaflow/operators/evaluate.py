@@ -24,37 +24,38 @@ def _div(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def error_metrics(perf: DataFrame, proxy: str, group: Sequence[str] = GROUP,
-                  forecast: str = FORECAST) -> DataFrame:
-    """mse, rmse, mae and mape (error over the square root of the proxy) per group.
+def summary(perf: DataFrame, proxy: str, group: Sequence[str] = GROUP,
+            forecast: str = FORECAST) -> DataFrame:
+    """One aggregation pass per group: error moments and the OLS sums of ``proxy ~ 1 + forecast``.
 
-    Rows with a missing proxy are skipped and counted in ``n_missing``.
+    Rows where either side is null are skipped (as ``lm`` drops them); the
+    skipped proxies are counted in ``n_missing``.
     """
-    err = F.col(proxy) - F.col(forecast)
-    return (
-        perf.groupBy(*group)
-        .agg(F.avg(err * err).alias("mse"),
-             F.avg(F.abs(err)).alias("mae"),
-             F.avg(_div(F.abs(err), F.sqrt(F.col(proxy)))).alias("mape"),
-             F.count(err).cast("long").alias("n_obs"),
-             F.count_if(F.col(proxy).isNull()).cast("long").alias("n_missing"))
-        .withColumn("rmse", F.sqrt("mse"))
-        .select(*group, "mse", "rmse", "mae", "mape", "n_obs", "n_missing")
+    y, x = F.col(proxy), F.col(forecast)
+    err = y - x
+    s = perf.groupBy(*group).agg(
+        F.avg(err * err).alias("mse"),
+        F.avg(F.abs(err)).alias("mae"),
+        F.avg(_div(F.abs(err), F.sqrt(y))).alias("mape"),
+        F.count(err).cast("long").alias("n_obs"),
+        F.count_if(y.isNull()).cast("long").alias("n_missing"),
+        F.regr_count(y, x).cast("long").alias("n"),
+        F.regr_slope(y, x).alias("slope"),
+        F.regr_intercept(y, x).alias("intercept"),
+        F.regr_r2(y, x).alias("r_squared"),
+        F.regr_sxx(y, x).alias("sxx"),
+        F.regr_syy(y, x).alias("syy"),
+        F.regr_sxy(y, x).alias("sxy"),
+        F.regr_avgx(y, x).alias("avgx"),
     )
+    return _with_errors(s.withColumn("rmse", F.sqrt("mse")))
 
 
-def ols_sums(df: DataFrame, y: str, x: str, group: Sequence[str]) -> DataFrame:
-    """Sufficient statistics of ``y ~ 1 + x`` per group (rows with a null dropped)."""
-    return df.groupBy(*group).agg(
-        F.regr_count(F.col(y), F.col(x)).cast("long").alias("n"),
-        F.regr_slope(F.col(y), F.col(x)).alias("slope"),
-        F.regr_intercept(F.col(y), F.col(x)).alias("intercept"),
-        F.regr_r2(F.col(y), F.col(x)).alias("r_squared"),
-        F.regr_sxx(F.col(y), F.col(x)).alias("sxx"),
-        F.regr_syy(F.col(y), F.col(x)).alias("syy"),
-        F.regr_sxy(F.col(y), F.col(x)).alias("sxy"),
-        F.regr_avgx(F.col(y), F.col(x)).alias("avgx"),
-    )
+def error_metrics(perf: DataFrame, proxy: str, group: Sequence[str] = GROUP,
+                  forecast: str = FORECAST) -> DataFrame:
+    """mse, rmse, mae and mape (error over the square root of the proxy) per group."""
+    return summary(perf, proxy, group, forecast).select(
+        *group, "mse", "rmse", "mae", "mape", "n_obs", "n_missing")
 
 
 def _with_errors(s: DataFrame) -> DataFrame:
@@ -73,7 +74,10 @@ def _with_errors(s: DataFrame) -> DataFrame:
 def mz_tidy(perf: DataFrame, proxy: str, group: Sequence[str] = GROUP,
             forecast: str = FORECAST) -> DataFrame:
     """Per group and term: estimate, std_error, statistic, p_value (t with n-2 dof)."""
-    s = _with_errors(ols_sums(perf, proxy, forecast, group))
+    return tidy_from_summary(summary(perf, proxy, group, forecast), group)
+
+
+def tidy_from_summary(s: DataFrame, group: Sequence[str]) -> DataFrame:
     terms = F.array(
         F.struct(F.lit(INTERCEPT_TERM).alias("term"), F.col("intercept").alias("estimate"),
                  F.col("se_intercept").alias("std_error")),
@@ -89,7 +93,7 @@ def mz_tidy(perf: DataFrame, proxy: str, group: Sequence[str] = GROUP,
 def mz_glance(perf: DataFrame, proxy: str, group: Sequence[str] = GROUP,
               forecast: str = FORECAST) -> DataFrame:
     """Per group: r_squared, adj_r_squared, sigma, F statistic, p_value, logLik, AIC, BIC..."""
-    s = _with_errors(ols_sums(perf, proxy, forecast, group))
+    s = summary(perf, proxy, group, forecast)
     n = F.col("n").cast("double")
     loglik = -n / 2 * (F.lit(1.8378770664093453) + F.ln(_div(F.col("sse"), n)) + 1)  # ln(2*pi)
     t_slope = _div(F.col("slope"), F.col("se_slope"))

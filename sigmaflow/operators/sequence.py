@@ -43,16 +43,18 @@ def with_previous(
     w_in = Window.partitionBy(*keys).orderBy(*order)
     w_bucket = Window.partitionBy(*part).orderBy(bucket_col)
     order_key = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    # one row per (part, bucket): the bucket's last value, then the previous bucket's
+    # row-level lag inside each bucket: one exchange on (part, bucket)
+    rows = (df.withColumn("_rn", F.row_number().over(w_in))
+            .withColumn("_lag", F.lag(value_col).over(w_in)))
+    # one row per bucket from the same partitioning (no new exchange), then the
+    # previous bucket's last value over the small per-bucket table
     ends = (
-        df.groupBy(*keys)
+        rows.groupBy(*keys)
         .agg(F.max_by(F.col(value_col), order_key).alias("_last"))
         .select(*keys,
                 F.lag("_last").over(w_bucket).alias("_carry"),
                 F.lag(bucket_col).over(w_bucket).isNotNull().alias("_has_prev"))
     )
-    rows = (df.withColumn("_rn", F.row_number().over(w_in))
-            .withColumn("_lag", F.lag(value_col).over(w_in)))
     first_in_bucket = F.col("_rn") == 1
     return (
         rows.join(ends, keys, "inner")

@@ -122,19 +122,15 @@ def proxy_long_perf(perf: DataFrame) -> DataFrame:
 
 
 def metric_long(perf: DataFrame) -> DataFrame:
-    """(series, proxy, forc_style, metric, value) for the seven printed metrics."""
-    long = proxy_long_perf(perf)
+    """(series, proxy, forc_style, metric, value) for the seven printed metrics, from a
+    single aggregation pass per (series, style, proxy)."""
     grp = ("series", "forc_style", "proxy")
-    m = ev.error_metrics(long, "variance_proxy", grp)
-    tidy = ev.mz_tidy(long, "variance_proxy", grp)
-    glance = ev.mz_glance(long, "variance_proxy", grp)
-    m_long = gather(m, list(grp), ["mape", "rmse"], "metric", "value")
-    coef = gather(tidy.select(*grp, "term", F.col("estimate"), F.col("std_error").alias("std.error")),
-                  [*grp, "term"], ["estimate", "std.error"], "key", "value")
-    coef = coef.select(*grp, F.concat_ws("_", "term", "key").alias("metric"), "value")
-    r2 = gather(glance.select(*grp, F.col("r_squared").alias("r.squared")), list(grp),
-                ["r.squared"], "metric", "value")
-    return m_long.unionByName(coef).unionByName(r2)
+    s = ev.summary(proxy_long_perf(perf), "variance_proxy", grp)
+    pairs = [("mape", "mape"), ("rmse", "rmse"), ("(Intercept)_estimate", "intercept"),
+             ("(Intercept)_std.error", "se_intercept"), ("daily_variance_forecast_estimate", "slope"),
+             ("daily_variance_forecast_std.error", "se_slope"), ("r.squared", "r_squared")]
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("value")) for m, c in pairs])
+    return s.select(*grp, F.inline(rows))
 
 
 def result_table(perf: DataFrame, styles: dict[str, str]) -> DataFrame:

@@ -1,14 +1,69 @@
-"""Shared inputs of the registered queries: prices and returns from the test tables."""
+"""Shared inputs of the registered queries, built once per query plan.
+
+``TickInputs`` memoises each intermediate DataFrame so that a query that uses
+the returns in several branches references one logical subtree (Spark then
+reuses the exchange) instead of re-deriving it per branch.
+"""
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sigmaflow.config import DAILY_PARAMS, TICK_PARAMS
+from sigmaflow.config import DAILY_PARAMS, TICK_PARAMS, Params
+from sigmaflow.operators import proxies as px
 from sigmaflow.operators import timeseries as ts
 from sigmaflow.sources.tables import daily_prices, ticks
 
 
+class TickInputs:
+    """Intraday pipeline on ``events``: ticks -> bars -> returns -> proxies."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, params: Params = TICK_PARAMS):
+        self.spark, self.sf_dir, self.params = spark, sf_dir, params
+
+    @cached_property
+    def ticks(self) -> DataFrame:
+        return ticks(self.spark, self.sf_dir, self.params)
+
+    @cached_property
+    def bars(self) -> DataFrame:
+        return ts.resample_bars(self.ticks)
+
+    @cached_property
+    def returns_5min(self) -> DataFrame:
+        return ts.log_returns(self.bars, bucket="day")
+
+    @cached_property
+    def returns_5min_filtered(self) -> DataFrame:
+        return ts.replace_outliers(self.returns_5min)
+
+    @cached_property
+    def returns_daily(self) -> DataFrame:
+        """Daily returns from the last tick of each day."""
+        return ts.daily_returns(self.ticks)
+
+    @cached_property
+    def rv_all(self) -> DataFrame:
+        return px.realized_variance(self.returns_5min)
+
+    @cached_property
+    def rv_filtered_all(self) -> DataFrame:
+        return px.realized_variance(self.returns_5min_filtered)
+
+    @cached_property
+    def rv(self) -> DataFrame:
+        """Out-of-sample realized variance."""
+        return ts.out_of_sample(self.rv_all, self.params)
+
+    @cached_property
+    def sq(self) -> DataFrame:
+        """Out-of-sample squared daily return."""
+        return px.squared_daily_return(self.returns_daily, self.params)
+
+
 def tick_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks(spark, sf_dir, TICK_PARAMS)
 
@@ -26,10 +81,13 @@ def returns_5min_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def returns_daily_from_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily returns from the last tick of each day (the model's daily series)."""
     return ts.daily_returns(tick_prices(spark, sf_dir))
 
 
-def returns_daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def returns_daily_orders(spark: SparkSession, sf_dir: str, params: Params = DAILY_PARAMS) -> DataFrame:
     """Long daily series (one price per day and order priority) for daily GARCH fits."""
-    return ts.daily_returns(daily_prices(spark, sf_dir, DAILY_PARAMS))
+    return ts.daily_returns(daily_prices(spark, sf_dir, params))
+
+
+def day_lit(d) -> F.Column:
+    return F.lit(d).cast("timestamp_ntz")

@@ -333,3 +333,38 @@ _MAIN = {"5min": "five_min", "daily": "daily", "5min_no_outlier": "five_min_no_o
 SQL["result_table"] = _result_sql("perf", _MAIN)
 SQL["result_table_filtered"] = _result_sql("perf3", {"5min_filtered": "five_min_filtered"})
 SQL["result_table_display"] = _result_sql("perf", _MAIN, display=True)
+
+# ---------------------------------------------------------------- ACF
+DBRET = """dbar AS (
+  SELECT series, CAST(CAST(date AS DATE) AS TIMESTAMP) AS day, max(date) AS date,
+         arg_max(adjusted, date) AS adjusted FROM bars GROUP BY 1, 2),
+dbret AS (
+  SELECT series, date, adjusted, "return" FROM (
+    SELECT *, ln(adjusted) - ln(lag(adjusted) OVER (PARTITION BY series ORDER BY day)) AS "return",
+           row_number() OVER (PARTITION BY series ORDER BY day) AS rn FROM dbar) WHERE rn > 1)"""
+
+
+def _acf_sql(transform: str) -> str:
+    f = {"returns": '"return"', "squared": '"return" * "return"', "absolute": 'abs("return")'}[transform]
+    return with_(TICKS, BARS, RET5, DBRET) + f""", xs AS (
+  SELECT series, '5min' AS sampling, date, {f} AS x FROM ret5
+  UNION ALL SELECT series, 'daily' AS sampling, date, {f} AS x FROM dbret),
+ix AS (
+  SELECT series, sampling, x, row_number() OVER (PARTITION BY series, sampling ORDER BY date) AS i,
+         count(*) OVER (PARTITION BY series, sampling) AS n,
+         avg(x) OVER (PARTITION BY series, sampling) AS m FROM xs WHERE x IS NOT NULL),
+st AS (
+  SELECT DISTINCT series, sampling, n, CAST(least(floor(10 * log10(n)), n - 1) AS BIGINT) AS kmax FROM ix),
+lags AS (SELECT series, sampling, n, kmax, unnest(range(0, kmax + 1)) AS k FROM st),
+pr AS (
+  SELECT l.series, l.sampling, l.k, l.n, sum((a.x - a.m) * (b.x - b.m)) AS ck
+  FROM lags l JOIN ix a ON a.series = l.series AND a.sampling = l.sampling
+  JOIN ix b ON b.series = a.series AND b.sampling = a.sampling AND b.i = a.i + l.k
+  GROUP BY 1, 2, 3, 4)
+SELECT p.series, p.sampling, '{transform}' AS transform, CAST(p.k AS BIGINT) AS lag,
+  round(p.ck / z.ck, 6) AS acf, CAST(p.n AS BIGINT) AS n, round(1.959963984540054 / sqrt(p.n), 6) AS ci
+FROM pr p JOIN pr z ON z.series = p.series AND z.sampling = p.sampling AND z.k = 0"""
+
+
+for _t in ("returns", "squared", "absolute"):
+    SQL[f"acf_{_t}"] = _acf_sql(_t)

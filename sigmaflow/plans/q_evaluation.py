@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from sigmaflow.config import TICK_PARAMS
 from sigmaflow.operators import evaluate as ev
-from sigmaflow.operators import proxies as px
 from sigmaflow.plans import evaluation as E
 from sigmaflow.plans import inputs as inp
 from sigmaflow.plans.registry import register
@@ -14,16 +13,14 @@ STYLES_MAIN = {"5min": "five_min", "daily": "daily", "5min_no_outlier": "five_mi
 STYLES_FILTERED = {"5min_filtered": "five_min_filtered"}
 
 
-def proxies(spark, sf_dir):
-    rv = px.realized_variance(inp.returns_5min(spark, sf_dir), P)
-    sq = px.squared_daily_return(inp.returns_daily_from_ticks(spark, sf_dir), P)
-    return rv, sq
+def proxies(spark, sf_dir, ctx=None):
+    ctx = ctx or inp.TickInputs(spark, sf_dir)
+    return ctx.rv, ctx.sq
 
 
-def naive(spark, sf_dir):
-    rv_all = px.realized_variance(inp.returns_5min(spark, sf_dir))
-    rv_f_all = px.realized_variance(inp.returns_5min_filtered(spark, sf_dir))
-    return E.naive_forecasts(rv_all, rv_f_all, P)
+def naive(spark, sf_dir, ctx=None):
+    ctx = ctx or inp.TickInputs(spark, sf_dir)
+    return E.naive_forecasts(ctx.rv_all, ctx.rv_filtered_all, P)
 
 
 @register("all_forecasts")
@@ -33,37 +30,37 @@ def all_forecasts(spark, sf_dir):
 
 @register("performance_data")
 def performance_data(spark, sf_dir):
-    rv, sq = proxies(spark, sf_dir)
-    return E.performance_data(naive(spark, sf_dir), rv, sq, P)
+    ctx = inp.TickInputs(spark, sf_dir)
+    return E.performance_data(naive(spark, sf_dir, ctx), ctx.rv, ctx.sq, P)
 
 
 @register("performance_data_filtered")
 def performance_data_filtered(spark, sf_dir):
-    rv, sq = proxies(spark, sf_dir)
-    return E.performance_data_filtered(naive(spark, sf_dir), rv, sq)
+    ctx = inp.TickInputs(spark, sf_dir)
+    return E.performance_data_filtered(naive(spark, sf_dir, ctx), ctx.rv, ctx.sq)
 
 
 @register("compare_styles_long")
 def compare_styles_long(spark, sf_dir):
-    rv, _ = proxies(spark, sf_dir)
-    return E.compare_styles_long(naive(spark, sf_dir), rv)
+    ctx = inp.TickInputs(spark, sf_dir)
+    return E.compare_styles_long(naive(spark, sf_dir, ctx), ctx.rv)
 
 
 @register("compare_dists_long")
 def compare_dists_long(spark, sf_dir):
-    rv, _ = proxies(spark, sf_dir)
-    return E.compare_dists_long(naive(spark, sf_dir), rv)
+    ctx = inp.TickInputs(spark, sf_dir)
+    return E.compare_dists_long(naive(spark, sf_dir, ctx), ctx.rv)
 
 
 @register("compare_filtered_long")
 def compare_filtered_long(spark, sf_dir):
-    rv, _ = proxies(spark, sf_dir)
-    return E.compare_filtered_long(naive(spark, sf_dir), rv)
+    ctx = inp.TickInputs(spark, sf_dir)
+    return E.compare_filtered_long(naive(spark, sf_dir, ctx), ctx.rv)
 
 
 def _perf3(spark, sf_dir):
-    rv, sq = proxies(spark, sf_dir)
-    return E.performance_data_filtered(naive(spark, sf_dir), rv, sq)
+    ctx = inp.TickInputs(spark, sf_dir)
+    return E.performance_data_filtered(naive(spark, sf_dir, ctx), ctx.rv, ctx.sq)
 
 
 @register("error_metrics_rv")

@@ -102,9 +102,8 @@ def squared_daily_return(spark, sf_dir):
 
 
 def _proxies(spark, sf_dir):
-    rv = px.realized_variance(inp.returns_5min(spark, sf_dir), TICK_PARAMS)
-    sq = px.squared_daily_return(inp.returns_daily_from_ticks(spark, sf_dir), TICK_PARAMS)
-    return rv, sq
+    ctx = inp.TickInputs(spark, sf_dir)
+    return ctx.rv, ctx.sq
 
 
 @register("proxy_compare")
@@ -120,11 +119,35 @@ def proxy_noise(spark, sf_dir):
 @register("returns_union")
 def returns_union(spark, sf_dir):
     """Return-series figure data: 5-minute and daily (last bar) returns with r^2 and |r|."""
-    five = inp.returns_5min(spark, sf_dir).select("series", "date", "adjusted", "return")
-    dly = ts.log_returns(ts.daily_close(inp.bars(spark, sf_dir)), bucket="year")
+    ctx = inp.TickInputs(spark, sf_dir)
+    five = ctx.returns_5min.select("series", "date", "adjusted", "return")
+    dly = ts.log_returns(ts.daily_close(ctx.bars), bucket="year")
     both = (five.withColumn("type", F.lit("5 Minute"))
             .unionByName(dly.select("series", "date", "adjusted", "return")
                          .withColumn("type", F.lit("Daily")), allowMissingColumns=True))
     return both.select("series", "type", "date", "adjusted", "return",
                        (F.col("return") * F.col("return")).alias("squared_return"),
                        F.abs("return").alias("abs_return"))
+
+
+def _acf(spark, sf_dir, transform, knobs=None):
+    from sigmaflow.config import DEFAULT_KNOBS
+    from sigmaflow.operators.acf import acf_panels
+    ctx = inp.TickInputs(spark, sf_dir)
+    daily = ts.log_returns(ts.daily_close(ctx.bars), bucket="year")
+    return acf_panels({"5min": ctx.returns_5min, "daily": daily}, transform, knobs or DEFAULT_KNOBS)
+
+
+@register("acf_returns")
+def acf_returns(spark, sf_dir):
+    return _acf(spark, sf_dir, "returns")
+
+
+@register("acf_squared")
+def acf_squared(spark, sf_dir):
+    return _acf(spark, sf_dir, "squared")
+
+
+@register("acf_absolute")
+def acf_absolute(spark, sf_dir):
+    return _acf(spark, sf_dir, "absolute")
