@@ -1,6 +1,6 @@
 """Import every query module so that the registry is complete."""
 
-from sigmaflow.plans import q_evaluation, q_timeseries  # noqa: F401
+from sigmaflow.plans import q_evaluation, q_garch, q_timeseries  # noqa: F401
 
 
 def oracle() -> dict[str, str]:

@@ -368,3 +368,143 @@ FROM pr p JOIN pr z ON z.series = p.series AND z.sampling = p.sampling AND z.k =
 
 for _t in ("returns", "squared", "absolute"):
     SQL[f"acf_{_t}"] = _acf_sql(_t)
+
+# ---------------------------------------------------------------- windows and GARCH
+import math  # noqa: E402
+
+from sigmaflow.config import DEFAULT_GRID  # noqa: E402
+
+EPOCH_TS = "TIMESTAMP '1970-01-01 00:00:00'"
+
+
+def _days(src: str, origin: str) -> str:
+    return f"""days AS (
+  SELECT series, day, max(date) AS day_end, count(*) AS n_rows,
+         row_number() OVER (PARTITION BY series ORDER BY day) AS day_idx,
+         sum(count(*)) OVER (PARTITION BY series ORDER BY day ROWS UNBOUNDED PRECEDING) AS cum_rows
+  FROM {src} GROUP BY series, day),
+org AS (SELECT series, min(day_idx) AS o FROM days WHERE day >= {origin} GROUP BY series),
+win AS (
+  SELECT d.series, d.day_idx - g.o AS window_id, d.day_idx - g.o AS fit_first_idx,
+         d.day_idx - 1 AS fit_last_idx, d.day_idx AS target_idx, d.day AS target_day,
+         d.day_end AS hi, d.n_rows AS n_ahead
+  FROM days d JOIN org g USING (series) WHERE d.day_idx > g.o),
+windows AS (
+  SELECT w.*, f.day AS fit_first_day, l.day AS fit_last_day, coalesce(b.day_end, {EPOCH_TS}) AS lo,
+         l.day_end AS fit_hi, CAST(l.cum_rows - (f.cum_rows - f.n_rows) AS BIGINT) AS n_fit
+  FROM win w JOIN days f ON f.series = w.series AND f.day_idx = w.fit_first_idx
+  LEFT JOIN days b ON b.series = w.series AND b.day_idx = w.fit_first_idx - 1
+  JOIN days l ON l.series = w.series AND l.day_idx = w.fit_last_idx)"""
+
+
+def _grid_cte(distributions=("Normal", "Student-t")) -> str:
+    rows = []
+    for d in distributions:
+        for a, p, nu in DEFAULT_GRID.points(d):
+            nu_s = "CAST(NULL AS DOUBLE)" if nu is None else f"CAST({nu!r} AS DOUBLE)"
+            rows.append(f"('{d}', CAST({a!r} AS DOUBLE), CAST({p!r} AS DOUBLE), CAST({p - a!r} AS DOUBLE), {nu_s})")
+    return ("grid0(distribution, alpha, persistence, beta, nu) AS (VALUES " + ", ".join(rows) + "),\n"
+            "grid AS (SELECT *, lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * ln(pi() * (nu - 2)) AS c_nu FROM grid0)")
+
+
+LN2PI = repr(math.log(2 * math.pi))
+LL_SQL = (
+    "list_reduce(s.r, lambda st, x: {'h': g.alpha * x * x + g.beta * st.h, 'll': st.ll + "
+    f"CASE WHEN g.distribution = 'Normal' THEN -0.5 * ({LN2PI} + ln(st.h) + x * x / st.h) "
+    "ELSE g.c_nu - 0.5 * ln(st.h) - (g.nu + 1) / 2 * ln(1 + x * x / (st.h * (g.nu - 2))) END}, "
+    "{'h': list_reduce(s.r, lambda acc, x: acc + x * x, CAST(0 AS DOUBLE)) / len(s.r), 'll': CAST(0 AS DOUBLE)})")
+
+LLS = f"""lls AS (
+  SELECT s.series, s.window_id, g.distribution, g.alpha, g.persistence, g.beta, g.nu,
+         CAST(len(s.r) AS BIGINT) AS n_obs, {LL_SQL} AS fit
+  FROM samples s CROSS JOIN grid g),
+best AS (
+  SELECT series, window_id, distribution,
+         arg_max({{'alpha': alpha, 'persistence': persistence, 'beta': beta, 'nu': nu,
+                   'loglik': fit.ll, 'h_next': fit.h, 'n_obs': n_obs}},
+                 (fit.ll, -alpha, -persistence, -coalesce(nu, 0))) AS b
+  FROM lls GROUP BY 1, 2, 3),
+fits AS (
+  SELECT series, window_id, distribution, b.alpha AS alpha, b.persistence AS persistence, b.beta AS beta,
+         b.nu AS nu, b.loglik AS loglik, b.h_next AS h_next, b.n_obs AS n_obs FROM best)"""
+
+DAILY_VAR = ("list_reduce(range(1, n_ahead + 1), lambda acc, k: acc + pow(sqrt(h_next * pow(persistence, k - 1)), 2), "
+             "CAST(0 AS DOUBLE))")
+
+INTRA = (TICKS, BARS, RET5)
+DAILY = (ORDERS_DRET,)
+
+SQL["day_ends"] = with_(*INTRA) + """, d AS (
+  SELECT series, max(date) AS day_end, CAST(row_number() OVER (PARTITION BY series ORDER BY day) AS BIGINT) AS day_idx
+  FROM ret5 GROUP BY series, day)
+SELECT series, day_idx, day_end FROM d
+UNION ALL SELECT DISTINCT series, CAST(0 AS BIGINT) AS day_idx, TIMESTAMP '1970-01-01 00:00:00' AS day_end FROM ret5"""
+
+WIN_COLS = ("series, CAST(window_id AS BIGINT) AS window_id, CAST(fit_first_idx AS BIGINT) AS fit_first_idx, "
+            "CAST(fit_last_idx AS BIGINT) AS fit_last_idx, CAST(target_idx AS BIGINT) AS target_idx, "
+            "fit_first_day, fit_last_day, target_day, lo, fit_hi, hi, n_fit, CAST(n_ahead AS BIGINT) AS n_ahead")
+SQL["rolling_windows"] = with_(*INTRA, _days("ret5", TO)) + f"SELECT {WIN_COLS} FROM windows"
+SQL["forecast_horizon"] = with_(*INTRA, _days("ret5", TO)) + (
+    "SELECT series, CAST(window_id AS BIGINT) AS window_id, target_day, CAST(n_ahead AS BIGINT) AS n_ahead FROM windows")
+SQL["window_rows"] = with_(*INTRA, _days("ret5", TO)) + """SELECT w.series, CAST(w.window_id AS BIGINT) AS window_id,
+  count(*) AS n_rows, round(sum(r."return" * r."return"), 6) AS sum_sq
+FROM windows w JOIN ret5 r ON r.series = w.series AND r.date > w.lo AND r.date <= w.fit_hi
+GROUP BY 1, 2"""
+
+
+def _in_sample(src: str, origin: str) -> str:
+    return f"""samples AS (
+  SELECT series, 0 AS window_id, list("return" ORDER BY date) AS r FROM {src}
+  WHERE day <= {origin} GROUP BY series),
+nextday AS (
+  SELECT series, arg_min(day, day) AS target_day, arg_min(n, day) AS n_ahead FROM (
+    SELECT series, day, count(*) AS n FROM {src} WHERE day > {origin} GROUP BY 1, 2) GROUP BY 1)"""
+
+
+def _ll_table_sql(dist: str) -> str:
+    return with_(*DAILY, _in_sample("oret", DO), _grid_cte((dist,)), LLS) + """SELECT series, distribution,
+  round(alpha, 4) AS alpha, round(persistence, 4) AS persistence, round(beta, 4) AS beta, round(nu, 4) AS nu,
+  round(fit.ll, 4) AS loglik, round(fit.h, 4) AS h_next, n_obs FROM lls"""
+
+
+SQL["garch_loglik_normal"] = _ll_table_sql("Normal")
+SQL["garch_loglik_t"] = _ll_table_sql("Student-t")
+
+FIT_COLS = ("f.series, f.distribution, round(f.alpha, {d}) AS alpha, round(f.persistence, {d}) AS persistence, "
+            "round(f.beta, {d}) AS beta, round(f.nu, {d}) AS nu, round(f.loglik, {d}) AS loglik, "
+            "round(f.h_next, {d}) AS h_next, f.n_obs")
+SQL["garch_grid_fit"] = with_(*DAILY, _in_sample("oret", DO), _grid_cte(), LLS) + (
+    f"SELECT {FIT_COLS.format(d=4)}, n.target_day, CAST(n.n_ahead AS BIGINT) AS n_ahead "
+    "FROM fits f JOIN nextday n USING (series)")
+SQL["garch_grid_fit_5min"] = with_(*INTRA, _in_sample("ret5", TO), _grid_cte(), LLS) + (
+    f"SELECT {FIT_COLS.format(d=4)}, n.target_day, CAST(n.n_ahead AS BIGINT) AS n_ahead "
+    "FROM fits f JOIN nextday n USING (series)")
+SQL["garch_nstep_forecast"] = with_(*INTRA, _in_sample("ret5", TO), _grid_cte(), LLS) + """, steps AS (
+  SELECT f.series, f.distribution, n.target_day AS day, f.h_next, f.persistence,
+         unnest(range(1, n.n_ahead + 1)) AS step
+  FROM fits f JOIN nextday n USING (series))
+SELECT series, distribution, day, CAST(step AS BIGINT) AS step,
+  round(sqrt(h_next * pow(persistence, step - 1)), 6) AS sigma FROM steps"""
+SQL["garch_daily_variance"] = with_(*INTRA, _in_sample("ret5", TO), _grid_cte(), LLS) + f"""SELECT f.series,
+  f.distribution, n.target_day AS day,
+  round(list_reduce(range(1, n.n_ahead + 1), lambda acc, k: acc + pow(sqrt(f.h_next * pow(f.persistence, k - 1)), 2),
+                    CAST(0 AS DOUBLE)), 6) AS daily_variance_forecast
+FROM fits f JOIN nextday n USING (series)"""
+
+
+def _roll_sql(base: tuple[str, ...], src: str, origin: str, style: str) -> str:
+    samples = f"""samples AS (
+  SELECT w.series, w.window_id, list(r."return" ORDER BY r.date) AS r
+  FROM windows w JOIN {src} r ON r.series = w.series AND r.day >= w.fit_first_day AND r.day <= w.fit_last_day
+  GROUP BY 1, 2)"""
+    return with_(*base, _days(src, origin), samples, _grid_cte(), LLS) + f""", fc AS (
+  SELECT f.*, w.target_day, w.n_ahead FROM fits f JOIN windows w USING (series, window_id))
+SELECT series, distribution, '{style}' AS forc_style, target_day AS day, CAST(window_id AS BIGINT) AS window_id,
+  round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(nu, 6) AS nu, round(loglik, 4) AS loglik,
+  round({DAILY_VAR}, 6) AS daily_variance_forecast
+FROM fc"""
+
+
+SQL["garch_roll_daily_grid"] = _roll_sql(DAILY, "oret", DO, "daily")
+SQL["garch_roll_intraday_grid"] = _roll_sql(INTRA, "ret5", TO, "5min")
+SQL["garch_roll_filtered_grid"] = _roll_sql(INTRA + (OUTLIER,), "ret5f", TO, "5min_filtered")
