@@ -65,3 +65,4 @@ def normal_two_sided_p(z: np.ndarray | float) -> np.ndarray:
     """2 * (1 - Phi(|z|)) for numpy input (used inside pandas UDF kernels)."""
     z = np.abs(np.asarray(z, dtype=float))
     return np.vectorize(lambda v: math.erfc(v / math.sqrt(2.0)) if np.isfinite(v) else np.nan)(z)
+

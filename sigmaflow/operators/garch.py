@@ -177,7 +177,8 @@ def grid_fit_numpy(samples: DataFrame, keys: list[str], grid: GarchGrid = DEFAUL
 
 
 MLE_FIELDS = ("alpha double, persistence double, beta double, nu double, loglik double, h_next double, "
-              "n_obs long, grid_loglik double, rounds int, se_alpha double, se_beta double, se_nu double")
+              "n_obs long, grid_loglik double, rounds int, se_alpha double, se_beta double, se_nu double, "
+              "p_alpha double, p_beta double, p_nu double")
 
 
 def mle_fit_numpy(samples: DataFrame, keys: list[str], grid: GarchGrid = DEFAULT_GRID,
@@ -187,13 +188,14 @@ def mle_fit_numpy(samples: DataFrame, keys: list[str], grid: GarchGrid = DEFAULT
     import numpy as np
     import pandas as pd
 
+    from sigmaflow.functions.stats import normal_two_sided_p
     from sigmaflow.operators.garch_kernel import grid_scan, refine, robust_se
 
     g = _grid_arrays(samples.sparkSession, grid, distributions)
     key_types = {f.name: f.dataType.simpleString() for f in samples.schema.fields}
     schema = ", ".join(f"{k} {key_types[k]}" for k in keys) + ", distribution string, " + MLE_FIELDS
     cols = [*keys, "distribution", "alpha", "persistence", "beta", "nu", "loglik", "h_next", "n_obs",
-            "grid_loglik", "rounds", "se_alpha", "se_beta", "se_nu"]
+            "grid_loglik", "rounds", "se_alpha", "se_beta", "se_nu", "p_alpha", "p_beta", "p_nu"]
 
     def run(batches):
         for pdf in batches:
@@ -208,14 +210,17 @@ def mle_fit_numpy(samples: DataFrame, keys: list[str], grid: GarchGrid = DEFAULT
                     theta, best_ll, h_next, rounds = refine(
                         r, g["alpha"][i], g["persistence"][i], g["nu"][i] if student else None)
                     se = [np.nan] * 3
+                    pv = [np.nan] * 3
                     if with_se:
-                        _, s = robust_se(r, theta, student)
+                        est, s = robust_se(r, theta, student)
                         se[:len(s)] = list(s)
+                        pv[:len(s)] = list(normal_two_sided_p(est / s))
                     out.append({**{k: rec[k] for k in keys}, "distribution": d, "alpha": theta[0],
                                 "persistence": theta[1], "beta": theta[1] - theta[0],
                                 "nu": theta[2] if student else None, "loglik": best_ll, "h_next": h_next,
                                 "n_obs": len(r), "grid_loglik": ll[i], "rounds": rounds,
-                                "se_alpha": se[0], "se_beta": se[1], "se_nu": se[2] if student else None})
+                                "se_alpha": se[0], "se_beta": se[1], "se_nu": se[2] if student else None,
+                                "p_alpha": pv[0], "p_beta": pv[1], "p_nu": pv[2] if student else None})
             yield pd.DataFrame(out, columns=cols)
 
     spread = samples.select(*keys, "r").repartition(_fit_partitions(samples), *keys)

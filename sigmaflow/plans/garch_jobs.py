@@ -59,3 +59,25 @@ def forecast_from_fits(fits: DataFrame, fi: FitInputs, forc_style: str) -> DataF
     return fits.select("series", "distribution", F.lit(forc_style).alias("forc_style"),
                        F.col("target_day").alias("day"), "window_id", "alpha", "beta", "nu", "loglik",
                        G.daily_variance_expr().alias("daily_variance_forecast"))
+
+
+def in_sample_mle(fi: FitInputs, grid: GarchGrid = DEFAULT_GRID, with_se: bool = True) -> DataFrame:
+    """Refined in-sample ML fit per series and distribution (out-of-sample days held out)."""
+    return G.mle_fit_numpy(fi.samples(fi.in_sample), ["series", "window_id"], grid, with_se=with_se)
+
+
+COEF_NAMES = ("alpha", "beta", "nu")
+
+
+def coefficient_table(fits: DataFrame, sampling: str) -> DataFrame:
+    """Robust coefficient matrix rows: estimate, robust std error, t value, p value (normal).
+
+    The fixed omega row is not reported; nu only for Student-t.
+    """
+    rows = F.array(*[F.struct(F.lit(c).alias("coefficient"), F.col(c).alias("estimate"),
+                              F.col(f"se_{c}").alias("robust_se"), F.col(f"p_{c}").alias("p_value"))
+                     for c in COEF_NAMES])
+    out = fits.select("series", "distribution", F.inline(rows)).where(F.col("estimate").isNotNull())
+    return out.select("series", F.lit(sampling).alias("sampling"), "distribution", "coefficient",
+                      "estimate", "robust_se",
+                      F.try_divide(F.col("estimate"), F.col("robust_se")).alias("t_value"), "p_value")

@@ -292,7 +292,7 @@ METRIC_ROWS = [("mape", 1, "MAPE"), ("rmse", 2, "RMSE"), ("(Intercept)_estimate"
                ("r.squared", 7, "MZ $R^2$")]
 
 
-def _result_sql(src: str, styles: dict[str, str], display: bool = False) -> str:
+def _result_sql(src: str, styles: dict[str, str], display: bool = False, base: tuple = EVAL_BASE) -> str:
     grp = "series, forc_style, proxy"
     long = f"""lp AS (
   SELECT series, forc_style, day, daily_variance_forecast, 'realized_variance' AS proxy,
@@ -301,7 +301,7 @@ def _result_sql(src: str, styles: dict[str, str], display: bool = False) -> str:
   SELECT series, forc_style, day, daily_variance_forecast, 'squared_return' AS proxy,
          squared_return AS variance_proxy FROM {src} WHERE distribution = 'Normal')"""
     e = "(variance_proxy - daily_variance_forecast)"
-    body = with_(*EVAL_BASE, long, _ols_cte("lp", "variance_proxy", "daily_variance_forecast", grp)) + f""",
+    body = with_(*base, long, _ols_cte("lp", "variance_proxy", "daily_variance_forecast", grp)) + f""",
 em AS (
   SELECT {grp}, sqrt(avg({e} * {e})) AS rmse, avg(abs({e}) / nullif(sqrt(variance_proxy), 0)) AS mape
   FROM lp GROUP BY {grp}),
@@ -377,24 +377,24 @@ from sigmaflow.config import DEFAULT_GRID  # noqa: E402
 EPOCH_TS = "TIMESTAMP '1970-01-01 00:00:00'"
 
 
-def _days(src: str, origin: str) -> str:
-    return f"""days AS (
+def _days(src: str, origin: str, px: str = "") -> str:
+    return f"""{px}days AS (
   SELECT series, day, max(date) AS day_end, count(*) AS n_rows,
          row_number() OVER (PARTITION BY series ORDER BY day) AS day_idx,
          sum(count(*)) OVER (PARTITION BY series ORDER BY day ROWS UNBOUNDED PRECEDING) AS cum_rows
   FROM {src} GROUP BY series, day),
-org AS (SELECT series, min(day_idx) AS o FROM days WHERE day >= {origin} GROUP BY series),
-win AS (
+{px}org AS (SELECT series, min(day_idx) AS o FROM {px}days WHERE day >= {origin} GROUP BY series),
+{px}win AS (
   SELECT d.series, d.day_idx - g.o AS window_id, d.day_idx - g.o AS fit_first_idx,
          d.day_idx - 1 AS fit_last_idx, d.day_idx AS target_idx, d.day AS target_day,
          d.day_end AS hi, d.n_rows AS n_ahead
-  FROM days d JOIN org g USING (series) WHERE d.day_idx > g.o),
-windows AS (
+  FROM {px}days d JOIN {px}org g USING (series) WHERE d.day_idx > g.o),
+{px}windows AS (
   SELECT w.*, f.day AS fit_first_day, l.day AS fit_last_day, coalesce(b.day_end, {EPOCH_TS}) AS lo,
          l.day_end AS fit_hi, CAST(l.cum_rows - (f.cum_rows - f.n_rows) AS BIGINT) AS n_fit
-  FROM win w JOIN days f ON f.series = w.series AND f.day_idx = w.fit_first_idx
-  LEFT JOIN days b ON b.series = w.series AND b.day_idx = w.fit_first_idx - 1
-  JOIN days l ON l.series = w.series AND l.day_idx = w.fit_last_idx)"""
+  FROM {px}win w JOIN {px}days f ON f.series = w.series AND f.day_idx = w.fit_first_idx
+  LEFT JOIN {px}days b ON b.series = w.series AND b.day_idx = w.fit_first_idx - 1
+  JOIN {px}days l ON l.series = w.series AND l.day_idx = w.fit_last_idx)"""
 
 
 def _grid_cte(distributions=("Normal", "Student-t")) -> str:
@@ -414,19 +414,23 @@ LL_SQL = (
     "ELSE g.c_nu - 0.5 * ln(st.h) - (g.nu + 1) / 2 * ln(1 + x * x / (st.h * (g.nu - 2))) END}, "
     "{'h': list_reduce(s.r, lambda acc, x: acc + x * x, CAST(0 AS DOUBLE)) / len(s.r), 'll': CAST(0 AS DOUBLE)})")
 
-LLS = f"""lls AS (
+def _lls(px: str = "") -> str:
+    return f"""{px}lls AS (
   SELECT s.series, s.window_id, g.distribution, g.alpha, g.persistence, g.beta, g.nu,
          CAST(len(s.r) AS BIGINT) AS n_obs, {LL_SQL} AS fit
-  FROM samples s CROSS JOIN grid g),
-best AS (
+  FROM {px}samples s CROSS JOIN grid g),
+{px}best AS (
   SELECT series, window_id, distribution,
          arg_max({{'alpha': alpha, 'persistence': persistence, 'beta': beta, 'nu': nu,
                    'loglik': fit.ll, 'h_next': fit.h, 'n_obs': n_obs}},
                  (fit.ll, -alpha, -persistence, -coalesce(nu, 0))) AS b
-  FROM lls GROUP BY 1, 2, 3),
-fits AS (
+  FROM {px}lls GROUP BY 1, 2, 3),
+{px}fits AS (
   SELECT series, window_id, distribution, b.alpha AS alpha, b.persistence AS persistence, b.beta AS beta,
-         b.nu AS nu, b.loglik AS loglik, b.h_next AS h_next, b.n_obs AS n_obs FROM best)"""
+         b.nu AS nu, b.loglik AS loglik, b.h_next AS h_next, b.n_obs AS n_obs FROM {px}best)"""
+
+
+LLS = _lls()
 
 DAILY_VAR = ("list_reduce(range(1, n_ahead + 1), lambda acc, k: acc + pow(sqrt(h_next * pow(persistence, k - 1)), 2), "
              "CAST(0 AS DOUBLE))")
@@ -492,19 +496,39 @@ SQL["garch_daily_variance"] = with_(*INTRA, _in_sample("ret5", TO), _grid_cte(),
 FROM fits f JOIN nextday n USING (series)"""
 
 
-def _roll_sql(base: tuple[str, ...], src: str, origin: str, style: str) -> str:
-    samples = f"""samples AS (
+def _roll_ctes(src: str, origin: str, style: str, px: str) -> tuple[str, ...]:
+    samples = f"""{px}samples AS (
   SELECT w.series, w.window_id, list(r."return" ORDER BY r.date) AS r
-  FROM windows w JOIN {src} r ON r.series = w.series AND r.day >= w.fit_first_day AND r.day <= w.fit_last_day
+  FROM {px}windows w JOIN {src} r ON r.series = w.series AND r.day >= w.fit_first_day AND r.day <= w.fit_last_day
   GROUP BY 1, 2)"""
-    return with_(*base, _days(src, origin), samples, _grid_cte(), LLS) + f""", fc AS (
-  SELECT f.*, w.target_day, w.n_ahead FROM fits f JOIN windows w USING (series, window_id))
-SELECT series, distribution, '{style}' AS forc_style, target_day AS day, CAST(window_id AS BIGINT) AS window_id,
-  round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(nu, 6) AS nu, round(loglik, 4) AS loglik,
-  round({DAILY_VAR}, 6) AS daily_variance_forecast
+    fc = f"""{px}fc AS (
+  SELECT series, distribution, '{style}' AS forc_style, target_day AS day, window_id, alpha, beta,
+         nu, loglik, {DAILY_VAR} AS daily_variance_forecast
+  FROM (SELECT f.*, w.n_ahead, w.target_day FROM {px}fits f JOIN {px}windows w USING (series, window_id)))"""
+    return _days(src, origin, px), samples, _lls(px), fc
+
+
+def _roll_sql(base: tuple[str, ...], src: str, origin: str, style: str) -> str:
+    return with_(*base, _grid_cte(), *_roll_ctes(src, origin, style, "")) + """SELECT series, distribution,
+  forc_style, day, CAST(window_id AS BIGINT) AS window_id, round(alpha, 6) AS alpha, round(beta, 6) AS beta,
+  round(nu, 6) AS nu, round(loglik, 4) AS loglik, round(daily_variance_forecast, 6) AS daily_variance_forecast
 FROM fc"""
 
 
 SQL["garch_roll_daily_grid"] = _roll_sql(DAILY, "oret", DO, "daily")
 SQL["garch_roll_intraday_grid"] = _roll_sql(INTRA, "ret5", TO, "5min")
 SQL["garch_roll_filtered_grid"] = _roll_sql(INTRA + (OUTLIER,), "ret5f", TO, "5min_filtered")
+
+
+# GARCH forecasts of the three styles evaluated against the proxies (the full pipeline)
+GARCH_FC = (_grid_cte(),) + _roll_ctes("ret5", TO, "5min", "a_") + _roll_ctes("ret5f", TO, "5min_filtered", "b_") \
+    + _roll_ctes("dret", TO, "daily", "c_") + ("""fc AS (
+  SELECT series, distribution, forc_style, day, daily_variance_forecast FROM a_fc
+  UNION ALL SELECT series, distribution, forc_style, day, daily_variance_forecast FROM b_fc
+  UNION ALL SELECT series, distribution, forc_style, day, daily_variance_forecast FROM c_fc)""",)
+GARCH_BASE = (TICKS, BARS, RET5, DRET, RV, OUTLIER) + GARCH_FC + (PERF,)
+
+SQL["garch_all_forecasts"] = with_(*GARCH_BASE) + f"SELECT {GRP}, day, {R('daily_variance_forecast')} FROM fc"
+SQL["garch_performance_data"] = with_(*GARCH_BASE) + f"""SELECT {GRP}, day, {R('daily_variance_forecast')},
+  {R('realized_variance')}, {R('squared_return')} FROM perf"""
+SQL["garch_result_table"] = _result_sql("perf", _MAIN, base=GARCH_BASE)

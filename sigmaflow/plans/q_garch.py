@@ -98,3 +98,70 @@ def garch_roll_intraday_grid(spark, sf_dir):
 def garch_roll_filtered_grid(spark, sf_dir):
     """Same on outlier-replaced 5-minute returns."""
     return J.rolling_grid_forecast(spark, intraday(spark, sf_dir, True), "5min_filtered").select(*ROLL_COLS)
+
+
+def intraday_daily(spark, sf_dir):
+    """Daily returns of the same tick series (the daily model of the same asset)."""
+    return J.FitInputs(inp.TickInputs(spark, sf_dir).returns_daily, TICK_PARAMS)
+
+
+@register("garch_mle_fit")
+def garch_mle_fit(spark, sf_dir):
+    """Refined in-sample ML fits (5-minute and daily sampling of the tick series)."""
+    five = J.in_sample_mle(intraday(spark, sf_dir), with_se=False).withColumn("sampling", F.lit("5min"))
+    day = J.in_sample_mle(intraday_daily(spark, sf_dir), with_se=False).withColumn("sampling", F.lit("daily"))
+    cols = ["series", "sampling", "distribution", "alpha", "persistence", "beta", "nu", "loglik",
+            "grid_loglik", "h_next", "n_obs", "rounds"]
+    return five.select(*cols).unionByName(day.select(*cols))
+
+
+@register("garch_coef_table")
+def garch_coef_table(spark, sf_dir):
+    """Four models per series: robust coefficient rows for Normal and Student-t, 5-minute and daily."""
+    five = J.coefficient_table(J.in_sample_mle(intraday(spark, sf_dir)), "5min")
+    day = J.coefficient_table(J.in_sample_mle(intraday_daily(spark, sf_dir)), "daily")
+    return five.unionByName(day)
+
+
+@register("garch_roll_mle", overrides={"loglik": 4})
+def garch_roll_mle(spark, sf_dir):
+    """Rolling refined-ML refits of the 5-minute series with next-day variance forecasts."""
+    return J.rolling_mle_forecast(spark, intraday(spark, sf_dir), "5min").select(*ROLL_COLS)
+
+
+def garch_forecasts(spark, sf_dir, ctx=None):
+    """Rolling grid-QMLE forecasts of the three styles on the same tick series."""
+    from sigmaflow.plans.inputs import TickInputs
+    ctx = ctx or TickInputs(spark, sf_dir)
+    parts = [
+        J.rolling_grid_forecast(spark, J.FitInputs(ctx.returns_5min, TICK_PARAMS), "5min"),
+        J.rolling_grid_forecast(spark, J.FitInputs(ctx.returns_5min_filtered, TICK_PARAMS), "5min_filtered"),
+        J.rolling_grid_forecast(spark, J.FitInputs(ctx.returns_daily, TICK_PARAMS), "daily"),
+    ]
+    cols = ["series", "distribution", "forc_style", "day", "daily_variance_forecast"]
+    out = parts[0].select(*cols)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*cols))
+    return out
+
+
+@register("garch_all_forecasts")
+def garch_all_forecasts(spark, sf_dir):
+    return garch_forecasts(spark, sf_dir)
+
+
+@register("garch_performance_data")
+def garch_performance_data(spark, sf_dir):
+    from sigmaflow.plans import evaluation as E
+    ctx = inp.TickInputs(spark, sf_dir)
+    return E.performance_data(garch_forecasts(spark, sf_dir, ctx), ctx.rv, ctx.sq, TICK_PARAMS)
+
+
+@register("garch_result_table")
+def garch_result_table(spark, sf_dir):
+    """The paper's metric table (MAPE, RMSE, MZ coefficients, R^2) from GARCH forecasts."""
+    from sigmaflow.plans import evaluation as E
+    from sigmaflow.plans.q_evaluation import STYLES_MAIN
+    ctx = inp.TickInputs(spark, sf_dir)
+    perf = E.performance_data(garch_forecasts(spark, sf_dir, ctx), ctx.rv, ctx.sq, TICK_PARAMS)
+    return E.result_table(perf, STYLES_MAIN)

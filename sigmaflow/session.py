@@ -29,6 +29,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -44,6 +45,48 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sigmaflow`` importable in Python workers (pandas UDF kernels).
+
+    The package is zipped once per SparkContext into the shared checkpoint
+    folder and registered with ``addPyFile``, so executors on other hosts get it.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import io
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, names in os.walk(pkg_dir):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(root, n)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    target = scratch_path(spark, "sigmaflow-pkg") + ".zip"
+    _write_bytes(spark, target, buf.getvalue())
+    sc.addPyFile(target)
+    _SHIPPED.add(key)
+
+
+def _write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file through the Hadoop FileSystem API (works for any shared scheme)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(hpath, False)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint dir (never reused)."""
     base = ensure_checkpoint_dir(spark)
