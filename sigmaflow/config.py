@@ -74,6 +74,8 @@ class ScaleKnobs:
     median_accuracy: int = 100_000
     # fit tasks per core when model fits are spread with repartition
     fit_partitions: int | None = None
+    # write shared intermediates (returns tables) to the checkpoint folder once per plan
+    materialize: bool = True
     extra: dict = field(default_factory=dict)
 
 

@@ -26,39 +26,79 @@ def t_const(nu: np.ndarray) -> np.ndarray:
     return lgamma_vec((nu + 1) / 2) - lgamma_vec(nu / 2) - 0.5 * np.log(np.pi * (nu - 2))
 
 
+def _sequential_sum_sq(r: np.ndarray) -> float:
+    total = 0.0
+    for x in r:  # same summation order as the SQL scan
+        total += x * x
+    return total
+
+
 def scan(r: np.ndarray, alpha: np.ndarray, beta: np.ndarray, nu: np.ndarray | None,
-         keep_terms: bool = False):
+         keep_terms: bool = False, block: int | None = None):
     """Log-likelihood and next-step variance for every candidate (vectors of equal length).
 
     ``nu`` None means Normal. With ``keep_terms`` the per-observation terms are
     returned as an (n, G) matrix (for scores).
+
+    The recursion h_t = alpha r_{t-1}^2 + beta h_{t-1} is linear in h, so a block
+    of L steps is one batched matrix product: h[i] = beta^i h_in +
+    alpha sum_{j<i} beta^(i-1-j) r2[j]. Only block boundaries are sequential.
     """
     r = np.asarray(r, dtype=float)
     alpha = np.asarray(alpha, dtype=float)
     beta = np.asarray(beta, dtype=float)
     n, g = len(r), len(alpha)
-    h1 = 0.0
-    for x in r:  # sequential sum, same order as the SQL scan
-        h1 += x * x
-    h = np.full(g, h1 / n if n else np.nan)
+    r2 = r * r
+    h_in = np.full(g, _sequential_sum_sq(r) / n if n else np.nan)
     ll = np.zeros(g)
     terms = np.empty((n, g)) if keep_terms else None
+    if nu is not None:
+        nu = np.asarray(nu, dtype=float)
+        c = t_const(nu)[:, None]
+        half_nu1 = ((nu + 1) / 2)[:, None]
+        nu2 = (nu - 2)[:, None]
+    if block is None:  # keep the (G, L, L) block operator around 64k entries
+        block = 64 if g <= 16 else 32 if g <= 64 else 16
+    L = max(1, min(block, n))
+    i = np.arange(L)
+    expo = i[:, None] - 1 - i[None, :]
+    lower = expo >= 0
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        P = np.where(lower[None], beta[:, None, None] ** np.where(lower, expo, 0)[None], 0.0)
+        B = beta[:, None] ** i[None, :]
+    a = alpha[:, None]
+    for start in range(0, n, L):
+        blk = r2[start:start + L]
+        m = len(blk)
+        H = B[:, :m] * h_in[:, None] + a * (P[:, :m, :m] @ blk)
+        if nu is None:
+            term = -0.5 * (LN_2PI + np.log(H) + blk[None, :] / H)
+        else:
+            term = c - 0.5 * np.log(H) - half_nu1 * np.log(1 + blk[None, :] / (H * nu2))
+        ll += term.sum(axis=1)
+        if keep_terms:
+            terms[start:start + m] = term.T
+        h_in = alpha * blk[-1] + beta * H[:, -1]
+    return ll, h_in, terms
+
+
+def scan_sequential(r: np.ndarray, alpha: np.ndarray, beta: np.ndarray, nu: np.ndarray | None):
+    """Step-by-step reference implementation of ``scan`` (for tests)."""
+    r = np.asarray(r, dtype=float)
+    alpha, beta = np.asarray(alpha, dtype=float), np.asarray(beta, dtype=float)
+    h = np.full(len(alpha), _sequential_sum_sq(r) / len(r))
+    ll = np.zeros(len(alpha))
     if nu is not None:
         nu = np.asarray(nu, dtype=float)
         c = t_const(nu)
-        half_nu1 = (nu + 1) / 2
-        nu2 = nu - 2
-    for t, x in enumerate(r):
+    for x in r:
         x2 = x * x
         if nu is None:
-            term = -0.5 * (LN_2PI + np.log(h) + x2 / h)
+            ll += -0.5 * (LN_2PI + np.log(h) + x2 / h)
         else:
-            term = c - 0.5 * np.log(h) - half_nu1 * np.log(1 + x2 / (h * nu2))
-        ll += term
-        if keep_terms:
-            terms[t] = term
+            ll += c - 0.5 * np.log(h) - (nu + 1) / 2 * np.log(1 + x2 / (h * (nu - 2)))
         h = alpha * x2 + beta * h
-    return ll, h, terms
+    return ll, h
 
 
 def grid_scan(r: np.ndarray, grid: dict[str, np.ndarray]):

@@ -52,13 +52,17 @@ def log_returns(prices: DataFrame, bucket: str = "day") -> DataFrame:
     no task ever holds a whole series.
     """
     order = _order_cols(prices)
-    with_b = prices.withColumn("_bucket", bucket_column("date", bucket))
-    out = with_previous(with_b, "adjusted", "_prev", ("series",), order, "_bucket")
+    with_day = prices.withColumn("day", day_ts("date"))
+    if bucket == "day":
+        # bucket on ``day`` itself: later (series, day) aggregations reuse this partitioning
+        out = with_previous(with_day, "adjusted", "_prev", ("series",), order, "day")
+    else:
+        out = with_previous(with_day.withColumn("_bucket", bucket_column("date", bucket)),
+                            "adjusted", "_prev", ("series",), order, "_bucket").drop("_bucket")
     return (
         out.where(~F.col("_is_first"))
-        .withColumn("day", day_ts("date"))
         .withColumn("return", F.ln("adjusted") - F.ln("_prev"))
-        .drop("_prev", "_is_first", "_bucket")
+        .drop("_prev", "_is_first")
     )
 
 

@@ -12,17 +12,23 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmaflow.config import DAILY_PARAMS, TICK_PARAMS, Params
+from sigmaflow.config import DAILY_PARAMS, DEFAULT_KNOBS, TICK_PARAMS, Params, ScaleKnobs
 from sigmaflow.operators import proxies as px
 from sigmaflow.operators import timeseries as ts
+from sigmaflow.session import materialize
 from sigmaflow.sources.tables import daily_prices, ticks
 
 
+def _keep(df: DataFrame, name: str, knobs: ScaleKnobs) -> DataFrame:
+    return materialize(df, name) if knobs.materialize else df
+
+
 class TickInputs:
     """Intraday pipeline on ``events``: ticks -> bars -> returns -> proxies."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, params: Params = TICK_PARAMS):
-        self.spark, self.sf_dir, self.params = spark, sf_dir, params
+    def __init__(self, spark: SparkSession, sf_dir: str, params: Params = TICK_PARAMS,
+                 knobs: ScaleKnobs = DEFAULT_KNOBS):
+        self.spark, self.sf_dir, self.params, self.knobs = spark, sf_dir, params, knobs
 
     @cached_property
     def ticks(self) -> DataFrame:
@@ -34,16 +40,16 @@ class TickInputs:
 
     @cached_property
     def returns_5min(self) -> DataFrame:
-        return ts.log_returns(self.bars, bucket="day")
+        return _keep(ts.log_returns(self.bars, bucket="day"), "returns-5min", self.knobs)
 
     @cached_property
     def returns_5min_filtered(self) -> DataFrame:
-        return ts.replace_outliers(self.returns_5min)
+        return _keep(ts.replace_outliers(self.returns_5min, knobs=self.knobs), "returns-5min-filtered", self.knobs)
 
     @cached_property
     def returns_daily(self) -> DataFrame:
         """Daily returns from the last tick of each day."""
-        return ts.daily_returns(self.ticks)
+        return _keep(ts.daily_returns(self.ticks), "returns-daily", self.knobs)
 
     @cached_property
     def rv_all(self) -> DataFrame:
@@ -84,9 +90,10 @@ def returns_daily_from_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.daily_returns(tick_prices(spark, sf_dir))
 
 
-def returns_daily_orders(spark: SparkSession, sf_dir: str, params: Params = DAILY_PARAMS) -> DataFrame:
+def returns_daily_orders(spark: SparkSession, sf_dir: str, params: Params = DAILY_PARAMS,
+                         knobs: ScaleKnobs = DEFAULT_KNOBS) -> DataFrame:
     """Long daily series (one price per day and order priority) for daily GARCH fits."""
-    return ts.daily_returns(daily_prices(spark, sf_dir, params))
+    return _keep(ts.daily_returns(daily_prices(spark, sf_dir, params)), "returns-daily-orders", knobs)
 
 
 def day_lit(d) -> F.Column:

@@ -91,3 +91,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint dir (never reused)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df, name: str):
+    """Write an intermediate table to the shared checkpoint folder and read it back.
+
+    Cuts the lineage (an executor loss re-reads the table instead of recomputing
+    the whole upstream) and lets every branch of a plan scan it once, with
+    column pruning and pushed filters. Never a machine-local folder.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
