@@ -60,22 +60,43 @@ def h1_expr(arr: str = "r") -> str:
     return f"aggregate({arr}, CAST(0 AS DOUBLE), (a, x) -> a + x * x) / size({arr})"
 
 
-def loglik_expr(arr: str = "r") -> str:
-    """SQL: struct(h = variance for the step after the sample, ll = log-likelihood)."""
+def grid_literal_sql(grid: GarchGrid = DEFAULT_GRID, distributions: tuple[str, ...] = DISTRIBUTIONS) -> str:
+    """The candidate grid as a literal array of structs (its size is fixed by the grid)."""
+    items = []
+    for d in distributions:
+        for a, p, nu in grid.points(d):
+            nu_s = "CAST(NULL AS DOUBLE)" if nu is None else f"CAST({nu!r} AS DOUBLE)"
+            c_s = "CAST(NULL AS DOUBLE)" if nu is None else f"CAST({student_t_constant(nu)!r} AS DOUBLE)"
+            items.append(f"named_struct('distribution', '{d}', 'alpha', CAST({a!r} AS DOUBLE), "
+                         f"'persistence', CAST({p!r} AS DOUBLE), 'beta', CAST({p - a!r} AS DOUBLE), "
+                         f"'nu', {nu_s}, 'c_nu', {c_s})")
+    return "array(" + ", ".join(items) + ")"
+
+
+def loglik_expr(arr: str = "r", h1: str = "_h1", g: str = "g") -> str:
+    """SQL: struct(h = variance for the step after the sample, ll = log-likelihood) of
+    candidate ``g`` (a struct with alpha, beta, nu, c_nu, distribution)."""
     normal = f"-0.5 * ({LN_2PI!r} + ln(s.h) + x * x / s.h)"
-    student = "c_nu - 0.5 * ln(s.h) - (nu + 1) / 2 * ln(1 + x * x / (s.h * (nu - 2)))"
-    term = f"CASE WHEN distribution = 'Normal' THEN {normal} ELSE {student} END"
-    return (f"aggregate({arr}, named_struct('h', {h1_expr(arr)}, 'll', CAST(0 AS DOUBLE)), "
-            f"(s, x) -> named_struct('h', alpha * x * x + beta * s.h, 'll', s.ll + {term}))")
+    student = f"{g}.c_nu - 0.5 * ln(s.h) - ({g}.nu + 1) / 2 * ln(1 + x * x / (s.h * ({g}.nu - 2)))"
+    term = f"CASE WHEN {g}.distribution = 'Normal' THEN {normal} ELSE {student} END"
+    return (f"aggregate({arr}, named_struct('h', {h1}, 'll', CAST(0 AS DOUBLE)), "
+            f"(s, x) -> named_struct('h', {g}.alpha * x * x + {g}.beta * s.h, 'll', s.ll + {term}))")
+
 
+def grid_loglik(samples: DataFrame, keys: list[str], grid: GarchGrid = DEFAULT_GRID,
+                distributions: tuple[str, ...] = DISTRIBUTIONS) -> DataFrame:
+    """Log-likelihood of every grid candidate on every fit sample ``keys..., r``, in the JVM.
 
-def grid_loglik(samples: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
-    """Log-likelihood of every grid candidate on every fit sample ``keys..., r``."""
-    joined = samples.crossJoin(F.broadcast(grid))
-    return (joined.withColumn("_fit", F.expr(loglik_expr("r")))
+    Each sample row maps the literal candidate array through a Catalyst
+    ``aggregate`` scan (no join, and the sample array is not copied per candidate).
+    """
+    per_candidate = (f"transform({grid_literal_sql(grid, distributions)}, g -> named_struct("
+                     f"'distribution', g.distribution, 'alpha', g.alpha, 'persistence', g.persistence, "
+                     f"'beta', g.beta, 'nu', g.nu, 'fit', {loglik_expr()}))")
+    return (samples.withColumn("_h1", F.expr(h1_expr("r")))
+            .select(*keys, F.size("r").cast("long").alias("n_obs"), F.inline(F.expr(per_candidate)))
             .select(*keys, "distribution", "alpha", "persistence", "beta", "nu",
-                    F.col("_fit.ll").alias("loglik"), F.col("_fit.h").alias("h_next"),
-                    F.size("r").cast("long").alias("n_obs")))
+                    F.col("fit.ll").alias("loglik"), F.col("fit.h").alias("h_next"), "n_obs"))
 
 
 def grid_fit(lls: DataFrame, keys: list[str]) -> DataFrame:

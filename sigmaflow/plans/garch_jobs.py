@@ -28,7 +28,7 @@ def grid_loglik_table(spark: SparkSession, fi: FitInputs, grid: GarchGrid = DEFA
                       distributions: tuple[str, ...] = DISTRIBUTIONS) -> DataFrame:
     """In-sample log-likelihood of every candidate, per series."""
     samples = fi.samples(fi.in_sample)
-    return G.grid_loglik(samples, G.param_grid(spark, grid, distributions), ["series", "window_id"])
+    return G.grid_loglik(samples, ["series", "window_id"], grid, distributions)
 
 
 def in_sample_grid_fit(spark: SparkSession, fi: FitInputs, grid: GarchGrid = DEFAULT_GRID) -> DataFrame:

@@ -532,3 +532,11 @@ SQL["garch_all_forecasts"] = with_(*GARCH_BASE) + f"SELECT {GRP}, day, {R('daily
 SQL["garch_performance_data"] = with_(*GARCH_BASE) + f"""SELECT {GRP}, day, {R('daily_variance_forecast')},
   {R('realized_variance')}, {R('squared_return')} FROM perf"""
 SQL["garch_result_table"] = _result_sql("perf", _MAIN, base=GARCH_BASE)
+SQL["garch_models"] = with_(*INTRA, _in_sample("ret5", TO), _grid_cte(), LLS) + """, specs(distribution, model,
+  garch_p, garch_q, include_mean, omega, dist_code) AS (
+  VALUES ('Normal', 'sGARCH', 1, 1, false, CAST(0 AS DOUBLE), 'norm'),
+         ('Student-t', 'sGARCH', 1, 1, false, CAST(0 AS DOUBLE), 'std'))
+SELECT f.series, f.distribution, s.model, CAST(s.garch_p AS INTEGER) AS garch_p, CAST(s.garch_q AS INTEGER) AS garch_q,
+  s.include_mean, s.omega, s.dist_code, f.n_obs, round(f.alpha, 4) AS alpha, round(f.beta, 4) AS beta,
+  round(f.nu, 4) AS nu, round(f.loglik, 4) AS loglik
+FROM fits f JOIN specs s USING (distribution)"""

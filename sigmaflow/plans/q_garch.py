@@ -165,3 +165,13 @@ def garch_result_table(spark, sf_dir):
     ctx = inp.TickInputs(spark, sf_dir)
     perf = E.performance_data(garch_forecasts(spark, sf_dir, ctx), ctx.rv, ctx.sq, TICK_PARAMS)
     return E.result_table(perf, STYLES_MAIN)
+
+
+@register("garch_models", digits=4)
+def garch_models(spark, sf_dir):
+    """The model table: spec columns of each distribution attached to every series' in-sample fit."""
+    specs = G.model_specs(spark)  # two rows by definition
+    fits = J.in_sample_grid_fit(spark, intraday(spark, sf_dir))
+    return (fits.join(F.broadcast(specs), "distribution", "inner")
+            .select("series", "distribution", "model", "garch_p", "garch_q", "include_mean", "omega",
+                    "dist_code", "n_obs", "alpha", "beta", "nu", "loglik"))

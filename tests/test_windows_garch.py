@@ -64,15 +64,14 @@ def _simulate(alpha, beta, n, seed):
 def test_scan_matches_sql_aggregate(spark):
     r = _simulate(0.08, 0.919, 500, 11)
     samples = spark.createDataFrame([("s", 0, r.tolist())], "series string, window_id int, r array<double>")
-    sql = G.grid_loglik(samples, G.param_grid(spark), ["series", "window_id"]).toPandas()
+    sql = G.grid_loglik(samples, ["series", "window_id"]).toPandas()
     g = {c: sql[c].to_numpy(dtype=float) for c in ("alpha", "beta")}
     g["nu"] = sql["nu"].to_numpy(dtype=float)
     ll, h = grid_scan(r, g)
     assert np.allclose(ll, sql["loglik"].to_numpy(), rtol=1e-11)
     assert np.allclose(h, sql["h_next"].to_numpy(), rtol=1e-11)
     fits = G.grid_fit_numpy(samples, ["series", "window_id"]).toPandas()
-    best = G.grid_fit(G.grid_loglik(samples, G.param_grid(spark), ["series", "window_id"]),
-                      ["series", "window_id"]).toPandas()
+    best = G.grid_fit(G.grid_loglik(samples, ["series", "window_id"]), ["series", "window_id"]).toPandas()
     m = fits.merge(best, on=["series", "window_id", "distribution"])
     assert np.allclose(m["alpha_x"], m["alpha_y"]) and np.allclose(m["persistence_x"], m["persistence_y"])
 
