@@ -540,3 +540,11 @@ SELECT f.series, f.distribution, s.model, CAST(s.garch_p AS INTEGER) AS garch_p,
   s.include_mean, s.omega, s.dist_code, f.n_obs, round(f.alpha, 4) AS alpha, round(f.beta, 4) AS beta,
   round(f.nu, 4) AS nu, round(f.loglik, 4) AS loglik
 FROM fits f JOIN specs s USING (distribution)"""
+
+# streaming: every day of each series except its last (still open when the stream ends)
+SQL["stream_realized_variance"] = with_(TICKS, BARS, RET5) + """, rvd AS (
+  SELECT series, day, max(date) AS date, sum("return" * "return") AS realized_variance, count(*) AS n_returns
+  FROM ret5 GROUP BY 1, 2),
+lastbar AS (SELECT series, max(CAST(CAST(date AS DATE) AS TIMESTAMP)) AS last_day FROM bars GROUP BY 1)
+SELECT r.series, r.day, r.date, round(r.realized_variance, 6) AS realized_variance, r.n_returns
+FROM rvd r JOIN lastbar l USING (series) WHERE r.day < l.last_day"""

@@ -151,3 +151,11 @@ def acf_squared(spark, sf_dir):
 @register("acf_absolute")
 def acf_absolute(spark, sf_dir):
     return _acf(spark, sf_dir, "absolute")
+
+
+@register("stream_realized_variance")
+def stream_realized_variance(spark, sf_dir):
+    """Realized variance of every completed day, computed by the two-stage streaming job."""
+    from sigmaflow.streaming import run_realized_variance
+    return run_realized_variance(spark, sf_dir, TICK_PARAMS).select(
+        "series", "day", "date", "realized_variance", "n_returns")

@@ -1,0 +1,7 @@
+"""Structured Streaming form of the tick -> bar -> realized-variance pipeline."""
+
+from sigmaflow.streaming.realized import (  # noqa: F401
+    bars_stream,
+    realized_variance_stream,
+    run_realized_variance,
+)
