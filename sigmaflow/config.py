@@ -70,8 +70,10 @@ class ScaleKnobs:
 
     # rows per chunk when a long series is split for sequential operators (ACF)
     chunk_rows: int = 1_000_000
-    # percentile_approx accuracy used to bracket the exact median
-    median_accuracy: int = 100_000
+    # exact median: histogram buckets per refinement pass, and the most values
+    # a series may still have in its bracket before the final exact ranking
+    median_buckets: int = 4096
+    median_max_candidates: int = 1_000_000
     # fit tasks per core when model fits are spread with repartition
     fit_partitions: int | None = None
     # write shared intermediates (returns tables) to the checkpoint folder once per plan

@@ -103,34 +103,54 @@ def exact_median(df: DataFrame, value_col: str, part: tuple[str, ...] = ("series
                  knobs: ScaleKnobs = DEFAULT_KNOBS) -> DataFrame:
     """Exact median of ``value_col`` per part (mean of the two middle values for even n).
 
-    Spark's exact ``median`` keeps every distinct value of a group in one
-    buffer, which a hot series cannot afford. Here an approximate quantile
-    sketch (bounded memory) brackets the middle ranks; only the few distinct
-    values inside the bracket are counted and ranked exactly.
+    Spark's exact ``median`` keeps every distinct value of a group in one buffer,
+    which a hot series cannot afford. Instead a histogram select: each pass
+    counts the values of every still-wide part in ``median_buckets`` equal-width
+    buckets of its current bracket (a hash aggregate with map-side combine) and
+    narrows the bracket to the buckets holding the two middle ranks. Once a
+    bracket holds at most ``median_max_candidates`` values, its distinct values
+    are ranked exactly. Memory per task and the final ranking set are bounded by
+    the knobs, not by the series length.
     """
+    from sigmaflow.session import materialize
+
     part = list(part)
-    v = F.col(value_col)
-    margin = 2.0 / knobs.median_accuracy
-    stats = (
-        df.where(v.isNotNull()).groupBy(*part)
-        .agg(F.count(v).alias("_n"),
-             F.percentile_approx(v, [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)],
-                                 knobs.median_accuracy).alias("_q"))
-        .select(*part, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
-    )
-    tagged = df.where(v.isNotNull()).join(stats, part, "inner")
-    below = tagged.groupBy(*part).agg(F.count_if(v < F.col("_lo")).alias("_below"))
-    inside = (tagged.where(v.between(F.col("_lo"), F.col("_hi")))
-              .groupBy(*part, "_n", v.alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    n_buckets, max_cand = int(knobs.median_buckets), int(knobs.median_max_candidates)
+    data = df.where(F.col(value_col).isNotNull()).select(*part, F.col(value_col).alias("_v"))
+    state = (data.groupBy(*part)
+             .agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+             .select(*part, "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_cnt"),
+                     F.floor((F.col("_n") + 1) / 2).alias("_k1"), (F.floor(F.col("_n") / 2) + 1).alias("_k2")))
+    for _ in range(64):
+        wide = state.where((F.col("_cnt") > max_cand) & (F.col("_lo") < F.col("_hi")))
+        if wide.isEmpty():
+            break
+        width = (F.col("_hi") - F.col("_lo")) / n_buckets
+        bucket = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(n_buckets - 1)).cast("long")
+        hist = (data.join(wide.select(*part, "_lo", "_hi"), part, "inner")
+                .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+                .groupBy(*part, bucket.alias("_b"))
+                .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")))
+        upto = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+        hist = (hist.join(wide.select(*part, "_below", "_k1", "_k2"), part, "inner")
+                .withColumn("_cum", F.col("_below") + F.sum("_c").over(upto)))
+        keep = hist.where((F.col("_cum") >= F.col("_k1")) & (F.col("_cum") - F.col("_c") < F.col("_k2")))
+        narrowed = keep.groupBy(*part, "_k1", "_k2").agg(
+            F.min("_bmin").alias("_lo"), F.max("_bmax").alias("_hi"),
+            F.min(F.col("_cum") - F.col("_c")).cast("long").alias("_below"),
+            F.sum("_c").cast("long").alias("_cnt"))
+        untouched = state.join(wide.select(*part), part, "left_anti")
+        state = materialize(untouched.unionByName(narrowed), "median-state")
+    cand = (data.join(state, part, "inner")
+            .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+            .groupBy(*part, "_below", "_k1", "_k2", "_v").agg(F.count(F.lit(1)).alias("_c")))
     w = Window.partitionBy(*part).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (inside.join(below, part, "inner")
-              .withColumn("_cum", F.col("_below") + F.sum("_c").over(w)))
-    k1 = F.floor((F.col("_n") + 1) / 2)
-    k2 = F.floor(F.col("_n") / 2) + 1
-    covers = lambda k: (F.col("_cum") - F.col("_c") < k) & (k <= F.col("_cum"))
-    return ranked.groupBy(*part).agg(
-        ((F.max(F.when(covers(k1), F.col("_v"))) + F.max(F.when(covers(k2), F.col("_v")))) / 2)
-        .alias("median"))
+    ranked = cand.withColumn("_cum", F.col("_below") + F.sum("_c").over(w))
+
+    def at(k: str):
+        return F.max(F.when((F.col("_cum") - F.col("_c") < F.col(k)) & (F.col(k) <= F.col("_cum")), F.col("_v")))
+
+    return ranked.groupBy(*part).agg(((at("_k1") + at("_k2")) / 2).alias("median"))
 
 
 def replace_outliers(returns: DataFrame, k: float = OUTLIER_SD_MULTIPLIER,

@@ -62,11 +62,12 @@ def test_exact_median_with_ties_and_tight_sketch(spark):
     vals = np.concatenate([rng.normal(size=2001), np.zeros(500), rng.normal(size=1000)])
     rows = [("a", float(v)) for v in vals] + [("b", float(v)) for v in vals[:1000]] + [("c", 1.0), ("c", 3.0)]
     df = spark.createDataFrame(rows, "series string, return double")
-    got = ts.exact_median(df, "return", ("series",), ScaleKnobs(median_accuracy=50)).toPandas()
-    got = dict(zip(got.series, got["median"]))
-    assert got["a"] == np.median(vals)
-    assert got["b"] == np.median(vals[:1000])
-    assert got["c"] == 2.0
+    for knobs in (ScaleKnobs(), ScaleKnobs(median_buckets=8, median_max_candidates=40)):
+        got = ts.exact_median(df, "return", ("series",), knobs).toPandas()
+        got = dict(zip(got.series, got["median"]))
+        assert got["a"] == np.median(vals)
+        assert got["b"] == np.median(vals[:1000])
+        assert got["c"] == 2.0
 
 
 def test_log_returns_null_and_repeated_price(spark):
