@@ -23,6 +23,16 @@ def epoch_to_ts(col: str) -> Column:
     return F.expr(f"timestampadd(SECOND, CAST(`{col}` AS BIGINT), {_EPOCH_NTZ})")
 
 
+def ntz_lit(value) -> Column:
+    """A naive timestamp literal (datetime or date) that no session time zone can shift."""
+    import datetime as _dt
+    if isinstance(value, _dt.datetime):
+        text = value.strftime("%Y-%m-%d %H:%M:%S.%f")
+    else:
+        text = value.strftime("%Y-%m-%d 00:00:00")
+    return F.expr(f"TIMESTAMP_NTZ'{text}'")
+
+
 def floor_bar(col: str | Column, interval: str = BAR_INTERVAL) -> Column:
     """Start of the fixed bar containing the timestamp (floor to 5 minutes)."""
     c = F.col(col) if isinstance(col, str) else col

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigmaflow.config import BAR_INTERVAL, DEFAULT_KNOBS, OUTLIER_SD_MULTIPLIER, Params, ScaleKnobs
-from sigmaflow.functions.columns import day_ts, floor_bar
+from sigmaflow.functions.columns import day_ts, floor_bar, ntz_lit
 from sigmaflow.operators.sequence import bucket_column, with_previous
 
 
@@ -84,16 +84,16 @@ def collapse_to_daily(df: DataFrame) -> DataFrame:
 
 def out_of_sample(df: DataFrame, params: Params) -> DataFrame:
     """Rows of days after the forecast origin day (``date > forecast_start`` on a 5-min grid)."""
-    return df.where(F.col("day") > F.lit(params.origin_day).cast("timestamp_ntz"))
+    return df.where(F.col("day") > ntz_lit(params.origin_day))
 
 
 def in_sample(df: DataFrame, params: Params) -> DataFrame:
-    return df.where(F.col("day") <= F.lit(params.origin_day).cast("timestamp_ntz"))
+    return df.where(F.col("day") <= ntz_lit(params.origin_day))
 
 
 def oos_count(returns: DataFrame, params: Params) -> DataFrame:
     """Number of out-of-sample returns per series (the ``out.sample`` size)."""
-    oos = F.col("day") > F.lit(params.origin_day).cast("timestamp_ntz")
+    oos = F.col("day") > ntz_lit(params.origin_day)
     return returns.groupBy("series").agg(
         F.count_if(oos).cast("long").alias("n_out_sample"),
         F.count_if(~oos).cast("long").alias("n_in_sample"))

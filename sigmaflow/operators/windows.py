@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigmaflow.config import EPOCH, Params
+from sigmaflow.functions.columns import ntz_lit
 
 
 def day_table(returns: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def day_ends(returns: DataFrame) -> DataFrame:
     d = day_table(returns).select("series", "day_idx", "day_end")
     epoch = (d.select("series").distinct()
              .select("series", F.lit(0).cast("long").alias("day_idx"),
-                     F.lit(EPOCH).cast("timestamp_ntz").alias("day_end")))
+                     ntz_lit(EPOCH).alias("day_end")))
     return d.unionByName(epoch)
 
 
@@ -41,7 +42,7 @@ def rolling_windows(returns: DataFrame, params: Params, days: DataFrame | None =
     inclusive, matching an ``a/b`` slice of ``lo + 1s`` to ``hi``.
     """
     d = days if days is not None else day_table(returns)
-    origin = F.lit(params.origin_day).cast("timestamp_ntz")
+    origin = ntz_lit(params.origin_day)
     o = d.where(F.col("day") >= origin).groupBy("series").agg(F.min("day_idx").alias("_o"))
     tgt = (d.join(o, "series", "inner").where(F.col("day_idx") > F.col("_o"))
            .select("series", (F.col("day_idx") - F.col("_o")).alias("window_id"),
@@ -60,7 +61,7 @@ def rolling_windows(returns: DataFrame, params: Params, days: DataFrame | None =
             .select("series", F.col("window_id").cast("long").alias("window_id"),
                     "fit_first_idx", "fit_last_idx", "target_idx",
                     "fit_first_day", "fit_last_day", "target_day",
-                    F.coalesce("lo", F.lit(EPOCH).cast("timestamp_ntz")).alias("lo"),
+                    F.coalesce("lo", ntz_lit(EPOCH)).alias("lo"),
                     "fit_hi", "hi",
                     (F.col("_cum_last") - F.col("_cum_before")).cast("long").alias("n_fit"),
                     F.col("n_ahead").cast("long").alias("n_ahead")))
@@ -69,7 +70,7 @@ def rolling_windows(returns: DataFrame, params: Params, days: DataFrame | None =
 def in_sample_window(returns: DataFrame, params: Params, days: DataFrame | None = None) -> DataFrame:
     """Window 0: every day up to the origin day (the in-sample fit, ``out.sample`` held out)."""
     d = days if days is not None else day_table(returns)
-    origin = F.lit(params.origin_day).cast("timestamp_ntz")
+    origin = ntz_lit(params.origin_day)
     ins = d.where(F.col("day") <= origin)
     nxt = (d.where(F.col("day") > origin).groupBy("series")
            .agg(F.min_by(F.struct("day", "n_rows"), F.col("day")).alias("_next")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigmaflow.config import Params
-from sigmaflow.functions.columns import recode
+from sigmaflow.functions.columns import ntz_lit, recode
 from sigmaflow.operators import evaluate as ev
 from sigmaflow.operators.reshape import gather, spread
 from sigmaflow.operators.timeseries import out_of_sample
@@ -75,7 +75,7 @@ def performance_data(forecasts: DataFrame, rv: DataFrame, sq: DataFrame,
     joined = attach_proxies(two, rv, sq)
     out = joined
     if params.excluded_day is not None:
-        excl = F.lit(params.excluded_day).cast("timestamp_ntz")
+        excl = ntz_lit(params.excluded_day)
         no_outlier = (joined.where((F.col("forc_style") == "5min") & (F.col("day") != excl))
                       .withColumn("forc_style", F.lit("5min_no_outlier")))
         out = joined.unionByName(no_outlier)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigmaflow.config import Params
-from sigmaflow.functions.columns import epoch_to_ts, ts_to_epoch
+from sigmaflow.functions.columns import epoch_to_ts, ntz_lit, ts_to_epoch
 
 # Raw price file layout: epoch seconds and a weighted price (plus our series key).
 RAW_PRICE_SCHEMA = T.StructType([
@@ -36,7 +36,7 @@ def read_raw_prices_csv(spark: SparkSession, path: str, params: Params | None =
     out = raw.select("series", epoch_to_ts("Timestamp").alias("date"),
                      F.col("Weighted_Price").alias("adjusted"))
     if params is not None:
-        out = out.where(F.col("date").between(F.lit(params.start), F.lit(params.end)))
+        out = out.where(F.col("date").between(ntz_lit(params.start), ntz_lit(params.end)))
     return out
 
 

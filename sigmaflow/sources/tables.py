@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmaflow.config import DAILY_PARAMS, TICK_PARAMS, Params
+from sigmaflow.functions.columns import ntz_lit
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,7 @@ def ticks(spark: SparkSession, sf_dir: str, params: Params = TICK_PARAMS) -> Dat
     ev = load(spark, sf_dir, "events")
     return (
         ev.where((F.col("value") > 0)
-                 & F.col("ts").between(F.lit(params.start), F.lit(params.end)))
+                 & F.col("ts").between(ntz_lit(params.start), ntz_lit(params.end)))
         .select(
             F.col("event_type").alias("series"),
             F.col("ts").alias("date"),
@@ -47,7 +48,7 @@ def daily_prices(spark: SparkSession, sf_dir: str, params: Params = DAILY_PARAMS
     """
     od = load(spark, sf_dir, "orders")
     return (
-        od.where(F.col("o_orderdate").between(F.lit(params.start), F.lit(params.end))
+        od.where(F.col("o_orderdate").between(ntz_lit(params.start), ntz_lit(params.end))
                  & (F.col("o_totalprice") > 0))
         .select(
             F.col("o_orderpriority").alias("series"),

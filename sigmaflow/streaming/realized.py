@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from sigmaflow.config import BAR_INTERVAL, Params
+from sigmaflow.functions.columns import ntz_lit
 from sigmaflow.session import scratch_path
 
 BAR_SCHEMA = "series string, bar timestamp_ntz, date timestamp_ntz, adjusted double"
@@ -92,7 +93,7 @@ def tick_stream(spark: SparkSession, source_dir: str, params: Params) -> DataFra
     schema = spark.read.parquet(os.path.join(source_dir, "events.parquet")).schema
     ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
           .option("maxFilesPerTrigger", 1).parquet(source_dir))
-    return (ev.where((F.col("value") > 0) & F.col("ts").between(F.lit(params.start), F.lit(params.end)))
+    return (ev.where((F.col("value") > 0) & F.col("ts").between(ntz_lit(params.start), ntz_lit(params.end)))
             .select(F.col("event_type").alias("series"), F.col("ts").alias("date"),
                     F.col("value").alias("adjusted"), F.col("event_id").alias("tick_id")))
 

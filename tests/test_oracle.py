@@ -55,3 +55,15 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["series", "day", "date", "realized_variance"]
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["clean_prices", "scan_csv_roundtrip", "realized_variance", "rolling_windows",
+                                  "stream_realized_variance"])
+def test_results_do_not_depend_on_session_time_zone(spark, con_small, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        got = QUERIES[name](spark, SF_SMALL).toPandas()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert compare(got, con_small.sql(SQL[name]).df()) == "OK"
