@@ -28,15 +28,21 @@ def default_max_lag(n):
 
 
 def acf(df: DataFrame, value_col: str, part: Sequence[str], order: str = "date",
-        knobs: ScaleKnobs = DEFAULT_KNOBS) -> DataFrame:
-    """Autocorrelations ``(part..., lag, acf, n, ci)`` of ``value_col`` ordered by ``order``."""
+        knobs: ScaleKnobs = DEFAULT_KNOBS, max_lag_cap: int | None = None) -> DataFrame:
+    """Autocorrelations ``(part..., lag, acf, n, ci)`` of ``value_col`` ordered by ``order``.
+
+    ``max_lag_cap`` is any upper bound of the per-part lag count (e.g. from the
+    total row count); without it the bound is read from the per-part counts.
+    """
     part = list(part)
     x = df.where(F.col(value_col).isNotNull()).select(*part, order, F.col(value_col).alias("_x"))
     stats = (x.groupBy(*part).agg(F.count("_x").alias("n"), F.avg("_x").alias("_mean"))
              .withColumn("_K", default_max_lag(F.col("n"))))
     # the number of lag columns is part of the plan: read it from the tiny stats table
-    k_max = stats.agg(F.max("_K")).first()[0]
-    k_max = int(k_max or 0)
+    if max_lag_cap is None:
+        k_max = int(stats.agg(F.max("_K")).first()[0] or 0)
+    else:
+        k_max = int(max_lag_cap)
     chunk = max(int(knobs.chunk_rows), k_max + 1)
     idx = with_row_index(x.withColumn("_bucket", bucket_column(order, "day")), "_idx", part, [order],
                          "_bucket").drop("_bucket")
@@ -74,14 +80,20 @@ def transformed(returns: DataFrame, transform: str) -> DataFrame:
     return returns.select("series", "date", expr.alias("value"))
 
 
+def lag_cap(n_rows: int) -> int:
+    """floor(10 log10 n) for the largest possible part size n."""
+    import math
+    return int(math.floor(10 * math.log10(n_rows))) if n_rows > 1 else 0
+
+
 def acf_panels(returns_by_sampling: dict[str, DataFrame], transform: str,
-               knobs: ScaleKnobs = DEFAULT_KNOBS) -> DataFrame:
+               knobs: ScaleKnobs = DEFAULT_KNOBS, max_lag_cap: int | None = None) -> DataFrame:
     """ACF of one transform of the returns for each sampling (e.g. '5min', 'daily')."""
     parts = [transformed(df, transform).withColumn("sampling", F.lit(name))
              for name, df in returns_by_sampling.items()]
     stacked = parts[0]
     for p in parts[1:]:
         stacked = stacked.unionByName(p)
-    out = acf(stacked, "value", ["series", "sampling"], "date", knobs)
+    out = acf(stacked, "value", ["series", "sampling"], "date", knobs, max_lag_cap)
     return out.withColumn("transform", F.lit(transform)).select(
         "series", "sampling", "transform", "lag", "acf", "n", "ci")

@@ -132,10 +132,13 @@ def returns_union(spark, sf_dir):
 
 def _acf(spark, sf_dir, transform, knobs=None):
     from sigmaflow.config import DEFAULT_KNOBS
-    from sigmaflow.operators.acf import acf_panels
+    from sigmaflow.operators.acf import acf_panels, lag_cap
     ctx = inp.TickInputs(spark, sf_dir)
     daily = ts.log_returns(ts.daily_close(ctx.bars), bucket="year")
-    return acf_panels({"5min": ctx.returns_5min, "daily": daily}, transform, knobs or DEFAULT_KNOBS)
+    # the materialized returns table counts from parquet metadata; no series (5-minute
+    # or daily) has more rows than it
+    cap = lag_cap(ctx.returns_5min.count())
+    return acf_panels({"5min": ctx.returns_5min, "daily": daily}, transform, knobs or DEFAULT_KNOBS, cap)
 
 
 @register("acf_returns")
