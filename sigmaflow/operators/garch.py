@@ -147,8 +147,14 @@ def _grid_arrays(spark: SparkSession, grid: GarchGrid, distributions: tuple[str,
 
 
 def _fit_partitions(samples: DataFrame) -> int:
+    """Enough tasks for every core: fits are CPU-heavy and byte-small."""
     spark = samples.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        n = max(n, spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - remote sessions
+        pass
+    return n
 
 
 def grid_fit_numpy(samples: DataFrame, keys: list[str], grid: GarchGrid = DEFAULT_GRID,

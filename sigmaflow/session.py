@@ -33,16 +33,24 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None for a remote (Spark Connect) session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions have no context
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; create a local one only when unset (tests)."""
-    sc = spark.sparkContext
-    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    path = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="sigmaflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if not sc.getCheckpointDir():
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+    return (sc.getCheckpointDir() if sc else None) or path
 
 
 _SHIPPED: set[str] = set()
@@ -54,8 +62,8 @@ def ship_package(spark: SparkSession) -> None:
     The package is zipped once per SparkContext into the shared checkpoint
     folder and registered with ``addPyFile``, so executors on other hosts get it.
     """
-    sc = spark.sparkContext
-    key = sc.applicationId
+    sc = _context(spark)
+    key = sc.applicationId if sc is not None else str(id(spark))
     if key in _SHIPPED:
         return
     import io
@@ -70,8 +78,15 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, n)
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     target = scratch_path(spark, "sigmaflow-pkg") + ".zip"
-    _write_bytes(spark, target, buf.getvalue())
-    sc.addPyFile(target)
+    if sc is not None:
+        _write_bytes(spark, target, buf.getvalue())
+        sc.addPyFile(target)
+    else:  # Spark Connect: upload as a Python artifact
+        local = target.split(":", 1)[1] if target.startswith("file:") else target
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with open(local, "wb") as fh:
+            fh.write(buf.getvalue())
+        spark.addArtifacts(local, pyfile=True)
     _SHIPPED.add(key)
 
 
