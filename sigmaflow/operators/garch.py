@@ -157,6 +157,45 @@ def _fit_partitions(samples: DataFrame) -> int:
     return n
 
 
+def _iter_samples(rec: dict, keys: list[str]):
+    """Yield (key values, sample array) from a per-window row (``r``) or a window block
+    (``days`` + ``wins``), slicing each window out of the block's concatenated days."""
+    import numpy as np
+    if "days" not in rec:
+        yield {k: rec[k] for k in keys}, np.asarray(rec["r"], dtype=float)
+        return
+    days = rec["days"]
+    idx = np.array([d["day_idx"] for d in days], dtype=np.int64)
+    parts = [np.asarray(d["values"], dtype=float) for d in days]
+    starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    allv = np.concatenate(parts) if parts else np.empty(0)
+    for w in rec["wins"]:
+        a = int(np.searchsorted(idx, w["fit_first_idx"], "left"))
+        b = int(np.searchsorted(idx, w["fit_last_idx"], "right"))
+        base = {k: rec[k] for k in keys if k != "window_id"}
+        base["window_id"] = w["window_id"]
+        yield base, allv[starts[a]:starts[b]]
+
+
+def _input(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Spread fit inputs over tasks with an explicit repartition on their keys (AQE does
+    not merge these CPU-heavy, byte-small partitions)."""
+    if "days" in samples.columns:
+        cols = [k for k in keys if k != "window_id"] + ["block_id", "days", "wins"]
+        part = [k for k in keys if k != "window_id"] + ["block_id"]
+    else:
+        cols, part = [*keys, "r"], keys
+    return samples.select(*cols).repartition(_fit_partitions(samples), *part)
+
+
+def _out_schema(samples: DataFrame, keys: list[str], fields: str) -> str:
+    types = {f.name: f.dataType.simpleString() for f in samples.schema.fields}
+    types.setdefault("window_id", "bigint")
+    if "days" in samples.columns:
+        types["window_id"] = "bigint"
+    return ", ".join(f"{k} {types[k]}" for k in keys) + ", distribution string, " + fields
+
+
 def grid_fit_numpy(samples: DataFrame, keys: list[str], grid: GarchGrid = DEFAULT_GRID,
                    distributions: tuple[str, ...] = DISTRIBUTIONS, keep_all: bool = False) -> DataFrame:
     """Grid QMLE of every sample row ``keys..., r`` in a vectorised numpy scan.
@@ -171,36 +210,38 @@ def grid_fit_numpy(samples: DataFrame, keys: list[str], grid: GarchGrid = DEFAUL
     from sigmaflow.operators.garch_kernel import grid_scan
 
     g = _grid_arrays(samples.sparkSession, grid, distributions)
-    key_types = {f.name: f.dataType.simpleString() for f in samples.schema.fields}
-    schema = ", ".join(f"{k} {key_types[k]}" for k in keys) + ", distribution string, " + FIT_FIELDS
+    schema = _out_schema(samples, keys, FIT_FIELDS)
+
+    def fit_one(rec: dict, r) -> list[dict]:
+        ll, h = grid_scan(r, g)
+        ll_key = np.where(np.isfinite(ll), ll, -np.inf)
+        rows = []
+        for d in distributions:
+            sel = np.flatnonzero(g["distribution"] == d)
+            if keep_all:
+                chosen = sel
+            else:
+                # arg-max of loglik, ties to the smallest (alpha, persistence, nu)
+                order = np.lexsort((-np.nan_to_num(g["nu"][sel]), -g["persistence"][sel],
+                                    -g["alpha"][sel], ll_key[sel]))
+                chosen = sel[order[-1:]]
+            for i in chosen:
+                rows.append({**rec, "distribution": d, "alpha": g["alpha"][i],
+                             "persistence": g["persistence"][i], "beta": g["beta"][i],
+                             "nu": None if np.isnan(g["nu"][i]) else g["nu"][i],
+                             "loglik": ll[i], "h_next": h[i], "n_obs": len(r)})
+        return rows
 
     def run(batches):
         for pdf in batches:
             out = []
-            for rec in pdf.to_dict("records"):
-                r = np.asarray(rec["r"], dtype=float)
-                ll, h = grid_scan(r, g)
-                ll_key = np.where(np.isfinite(ll), ll, -np.inf)
-                for d in distributions:
-                    sel = np.flatnonzero(g["distribution"] == d)
-                    if keep_all:
-                        chosen = sel
-                    else:
-                        # arg-max of loglik, ties to the smallest (alpha, persistence, nu)
-                        order = np.lexsort((-np.nan_to_num(g["nu"][sel]), -g["persistence"][sel],
-                                            -g["alpha"][sel], ll_key[sel]))
-                        chosen = sel[order[-1:]]
-                    for i in chosen:
-                        row = {k: rec[k] for k in keys}
-                        row.update(distribution=d, alpha=g["alpha"][i], persistence=g["persistence"][i],
-                                   beta=g["beta"][i], nu=None if np.isnan(g["nu"][i]) else g["nu"][i],
-                                   loglik=ll[i], h_next=h[i], n_obs=len(r))
-                        out.append(row)
+            for block in pdf.to_dict("records"):
+                for rec, r in _iter_samples(block, keys):
+                    out.extend(fit_one(rec, r))
             yield pd.DataFrame(out, columns=[*keys, "distribution", "alpha", "persistence", "beta", "nu",
                                              "loglik", "h_next", "n_obs"])
 
-    spread = samples.select(*keys, "r").repartition(_fit_partitions(samples), *keys)
-    return spread.mapInPandas(run, schema)
+    return _input(samples, keys).mapInPandas(run, schema)
 
 
 MLE_FIELDS = ("alpha double, persistence double, beta double, nu double, loglik double, h_next double, "
@@ -219,36 +260,39 @@ def mle_fit_numpy(samples: DataFrame, keys: list[str], grid: GarchGrid = DEFAULT
     from sigmaflow.operators.garch_kernel import grid_scan, refine, robust_se
 
     g = _grid_arrays(samples.sparkSession, grid, distributions)
-    key_types = {f.name: f.dataType.simpleString() for f in samples.schema.fields}
-    schema = ", ".join(f"{k} {key_types[k]}" for k in keys) + ", distribution string, " + MLE_FIELDS
+    schema = _out_schema(samples, keys, MLE_FIELDS)
     cols = [*keys, "distribution", "alpha", "persistence", "beta", "nu", "loglik", "h_next", "n_obs",
             "grid_loglik", "rounds", "se_alpha", "se_beta", "se_nu", "p_alpha", "p_beta", "p_nu"]
 
+    def fit_one(rec: dict, r) -> list[dict]:
+        ll, _ = grid_scan(r, g)
+        rows = []
+        for d in distributions:
+            sel = np.flatnonzero(g["distribution"] == d)
+            i = sel[int(np.argmax(np.where(np.isfinite(ll[sel]), ll[sel], -np.inf)))]
+            student = d != "Normal"
+            theta, best_ll, h_next, rounds = refine(
+                r, g["alpha"][i], g["persistence"][i], g["nu"][i] if student else None)
+            se = [np.nan] * 3
+            pv = [np.nan] * 3
+            if with_se:
+                est, sd = robust_se(r, theta, student)
+                se[:len(sd)] = list(sd)
+                pv[:len(sd)] = list(normal_two_sided_p(est / sd))
+            rows.append({**rec, "distribution": d, "alpha": theta[0], "persistence": theta[1],
+                         "beta": theta[1] - theta[0], "nu": theta[2] if student else None,
+                         "loglik": best_ll, "h_next": h_next, "n_obs": len(r), "grid_loglik": ll[i],
+                         "rounds": rounds, "se_alpha": se[0], "se_beta": se[1],
+                         "se_nu": se[2] if student else None, "p_alpha": pv[0], "p_beta": pv[1],
+                         "p_nu": pv[2] if student else None})
+        return rows
+
     def run(batches):
         for pdf in batches:
             out = []
-            for rec in pdf.to_dict("records"):
-                r = np.asarray(rec["r"], dtype=float)
-                ll, _ = grid_scan(r, g)
-                for d in distributions:
-                    sel = np.flatnonzero(g["distribution"] == d)
-                    i = sel[int(np.argmax(np.where(np.isfinite(ll[sel]), ll[sel], -np.inf)))]
-                    student = d != "Normal"
-                    theta, best_ll, h_next, rounds = refine(
-                        r, g["alpha"][i], g["persistence"][i], g["nu"][i] if student else None)
-                    se = [np.nan] * 3
-                    pv = [np.nan] * 3
-                    if with_se:
-                        est, s = robust_se(r, theta, student)
-                        se[:len(s)] = list(s)
-                        pv[:len(s)] = list(normal_two_sided_p(est / s))
-                    out.append({**{k: rec[k] for k in keys}, "distribution": d, "alpha": theta[0],
-                                "persistence": theta[1], "beta": theta[1] - theta[0],
-                                "nu": theta[2] if student else None, "loglik": best_ll, "h_next": h_next,
-                                "n_obs": len(r), "grid_loglik": ll[i], "rounds": rounds,
-                                "se_alpha": se[0], "se_beta": se[1], "se_nu": se[2] if student else None,
-                                "p_alpha": pv[0], "p_beta": pv[1], "p_nu": pv[2] if student else None})
+            for block in pdf.to_dict("records"):
+                for rec, r in _iter_samples(block, keys):
+                    out.extend(fit_one(rec, r))
             yield pd.DataFrame(out, columns=cols)
 
-    spread = samples.select(*keys, "r").repartition(_fit_partitions(samples), *keys)
-    return spread.mapInPandas(run, schema)
+    return _input(samples, keys).mapInPandas(run, schema)

@@ -118,3 +118,28 @@ def window_rows(windows: DataFrame, returns: DataFrame, days: DataFrame) -> Data
     return (window_days(windows).join(per_day, ["series", "day_idx"], "inner")
             .groupBy("series", "window_id")
             .agg(F.sum("_n").cast("long").alias("n_rows"), F.sum("_ss").alias("sum_sq")))
+
+
+def window_blocks(windows: DataFrame, arrays: DataFrame, windows_per_block: int = 16) -> DataFrame:
+    """Consecutive windows of a series grouped into blocks that share one copy of their days.
+
+    A window's sample overlaps its neighbour's in all but one day, so shipping every
+    window separately copies each day into up to ``fit days`` windows. A block ships
+    the union of its windows' days once (``days``: sorted day arrays) plus the
+    window bounds (``wins``); the fit kernel slices each window locally. The
+    shuffle shrinks by about ``windows_per_block`` and a task still holds a bounded
+    sample (fit length + block length days).
+    """
+    blk = windows.withColumn("block_id", F.floor((F.col("window_id") - 1) / windows_per_block).cast("long"))
+    spans = (blk.groupBy("series", "block_id")
+             .agg(F.min("fit_first_idx").alias("_lo"), F.max("fit_last_idx").alias("_hi"),
+                  F.array_sort(F.collect_list(F.struct(
+                      F.col("window_id").cast("long").alias("window_id"),
+                      F.col("fit_first_idx").cast("long").alias("fit_first_idx"),
+                      F.col("fit_last_idx").cast("long").alias("fit_last_idx")))).alias("wins")))
+    days = (spans.select("series", "block_id", F.explode(F.sequence("_lo", "_hi")).alias("day_idx"))
+            .join(arrays, ["series", "day_idx"], "inner")
+            .groupBy("series", "block_id")
+            .agg(F.array_sort(F.collect_list(F.struct(F.col("day_idx").cast("long").alias("day_idx"),
+                                                      "values"))).alias("days")))
+    return days.join(spans.select("series", "block_id", "wins"), ["series", "block_id"], "inner")

@@ -21,8 +21,13 @@ class FitInputs:
         self.in_sample = W.in_sample_window(returns, params, self.days)
 
     def samples(self, windows: DataFrame) -> DataFrame:
+        """One array per window (used by the JVM scan and the in-sample fits)."""
         return W.window_arrays(windows, self.arrays)
 
+    def blocks(self, windows: DataFrame, windows_per_block: int = 16) -> DataFrame:
+        """Blocks of consecutive windows sharing one copy of their days (rolling refits)."""
+        return W.window_blocks(windows, self.arrays, windows_per_block)
+
 
 def grid_loglik_table(spark: SparkSession, fi: FitInputs, grid: GarchGrid = DEFAULT_GRID,
                       distributions: tuple[str, ...] = DISTRIBUTIONS) -> DataFrame:
@@ -40,14 +45,14 @@ def in_sample_grid_fit(spark: SparkSession, fi: FitInputs, grid: GarchGrid = DEF
 def rolling_grid_forecast(spark: SparkSession, fi: FitInputs, forc_style: str,
                           grid: GarchGrid = DEFAULT_GRID) -> DataFrame:
     """Refit every window on the grid, forecast the next day, sum to a daily variance."""
-    fits = G.grid_fit_numpy(fi.samples(fi.windows), ["series", "window_id"], grid)
+    fits = G.grid_fit_numpy(fi.blocks(fi.windows), ["series", "window_id"], grid)
     return forecast_from_fits(fits, fi, forc_style)
 
 
 def rolling_mle_forecast(spark: SparkSession, fi: FitInputs, forc_style: str,
                          grid: GarchGrid = DEFAULT_GRID) -> DataFrame:
     """Refit every window by refined ML (no standard errors), forecast the next day."""
-    fits = G.mle_fit_numpy(fi.samples(fi.windows), ["series", "window_id"], grid, with_se=False)
+    fits = G.mle_fit_numpy(fi.blocks(fi.windows), ["series", "window_id"], grid, with_se=False)
     return forecast_from_fits(fits, fi, forc_style)
 
 

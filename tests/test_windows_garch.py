@@ -108,3 +108,22 @@ def test_nstep_sum_equals_geometric_closed_form(spark):
     assert np.isclose(got, 2.0 * (1 - 0.95 ** 288) / (1 - 0.95))
     steps = G.nstep_forecast(fits).toPandas()
     assert len(steps) == 288 and np.isclose((steps["sigma"] ** 2).sum(), got)
+
+
+def test_window_blocks_give_the_same_fits_as_single_windows(spark):
+    from sigmaflow.plans.garch_jobs import FitInputs
+    r = _simulate(0.06, 0.93, 40 * 48, 21)
+    rows = [("s", dt.datetime(2020, 1, 1) + dt.timedelta(minutes=30 * i), float(x)) for i, x in enumerate(r)]
+    rets = (spark.createDataFrame(rows, "series string, date timestamp_ntz, return double")
+            .withColumn("day", F.to_date("date").cast("timestamp_ntz")))
+    params = Params(start=dt.datetime(2020, 1, 1), end=dt.datetime(2020, 2, 9, 23, 59, 59),
+                    forecast_start=dt.datetime(2020, 1, 30, 23, 55), excluded_day=None)
+    fi = FitInputs(rets, params)
+    keys = ["series", "window_id"]
+    one = G.grid_fit_numpy(fi.samples(fi.windows), keys).toPandas()
+    for per_block in (3, 16):
+        blk = G.grid_fit_numpy(fi.blocks(fi.windows, per_block), keys).toPandas()
+        m = one.merge(blk, on=["series", "window_id", "distribution"])
+        assert len(m) == len(one) == 20
+        assert np.allclose(m["loglik_x"], m["loglik_y"], rtol=1e-12)
+        assert (m["n_obs_x"] == m["n_obs_y"]).all()
