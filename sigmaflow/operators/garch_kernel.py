@@ -58,7 +58,7 @@ def scan(r: np.ndarray, alpha: np.ndarray, beta: np.ndarray, nu: np.ndarray | No
         half_nu1 = ((nu + 1) / 2)[:, None]
         nu2 = (nu - 2)[:, None]
     if block is None:  # keep the (G, L, L) block operator around 64k entries
-        block = 64 if g <= 16 else 32 if g <= 64 else 16
+        block = 64 if g <= 16 else 32
     L = max(1, min(block, n))
     i = np.arange(L)
     expo = i[:, None] - 1 - i[None, :]
