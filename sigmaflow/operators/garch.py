@@ -17,7 +17,6 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sigmaflow.config import DEFAULT_GRID, DISTRIBUTIONS, GarchGrid
 
@@ -36,26 +35,6 @@ def model_specs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-GRID_SCHEMA = T.StructType([
-    T.StructField("distribution", T.StringType()),
-    T.StructField("alpha", T.DoubleType()),
-    T.StructField("persistence", T.DoubleType()),
-    T.StructField("beta", T.DoubleType()),
-    T.StructField("nu", T.DoubleType()),
-    T.StructField("c_nu", T.DoubleType()),
-])
-
-
-def param_grid(spark: SparkSession, grid: GarchGrid = DEFAULT_GRID,
-               distributions: tuple[str, ...] = DISTRIBUTIONS) -> DataFrame:
-    """Candidate table: alpha, persistence = alpha + beta, beta, nu, c(nu)."""
-    rows = []
-    for d in distributions:
-        for a, p, nu in grid.points(d):
-            rows.append((d, a, p, p - a, nu, student_t_constant(nu) if nu is not None else None))
-    return spark.createDataFrame(rows, GRID_SCHEMA)
-
-
 def h1_expr(arr: str = "r") -> str:
     return f"aggregate({arr}, CAST(0 AS DOUBLE), (a, x) -> a + x * x) / size({arr})"
 

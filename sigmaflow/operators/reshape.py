@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def spread(df: DataFrame, ids: Sequence[str], key: str, value: str,
@@ -20,7 +19,3 @@ def spread(df: DataFrame, ids: Sequence[str], key: str, value: str,
 def gather(df: DataFrame, ids: Sequence[str], cols: Sequence[str], key: str, value: str) -> DataFrame:
     """Wide -> long over ``cols``."""
     return df.unpivot([F.col(f"`{c}`") for c in ids], [F.col(f"`{c}`") for c in cols], key, value)
-
-
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]

@@ -10,7 +10,6 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sigmaflow.config import DAILY_PARAMS, DEFAULT_KNOBS, TICK_PARAMS, Params, ScaleKnobs
 from sigmaflow.operators import proxies as px
@@ -94,7 +93,3 @@ def returns_daily_orders(spark: SparkSession, sf_dir: str, params: Params = DAIL
                          knobs: ScaleKnobs = DEFAULT_KNOBS) -> DataFrame:
     """Long daily series (one price per day and order priority) for daily GARCH fits."""
     return _keep(ts.daily_returns(daily_prices(spark, sf_dir, params)), "returns-daily-orders", knobs)
-
-
-def day_lit(d) -> F.Column:
-    return F.lit(d).cast("timestamp_ntz")

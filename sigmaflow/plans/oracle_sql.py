@@ -141,6 +141,13 @@ SELECT series, type, date, round(adjusted, 6) AS adjusted, round("return", 6) AS
 
 # ---------------------------------------------------------------- evaluation
 from sigmaflow.functions.stats import t_tail_sql  # noqa: E402
+from sigmaflow.plans.evaluation import (  # noqa: E402
+    DIST_LABELS,
+    FILTER_LABELS,
+    METRIC_LABELS,
+    STD_ERROR_METRICS,
+    STYLE_LABELS_NORMAL,
+)
 
 EXCL = _day(TICK_PARAMS.excluded_day)
 
@@ -216,15 +223,12 @@ lng AS (
 
 SQL["compare_styles_long"] = _compare_sql(
     "f.distribution = 'Normal' AND f.forc_style IN ('5min', 'daily')", "forc_style", "distribution",
-    ["5min", "daily"], {"5min": "GARCH(1,1)-N 5-min", "daily": "GARCH(1,1)-N daily",
-                        "realized_variance": "Realized Variance"})
+    ["5min", "daily"], STYLE_LABELS_NORMAL)
 SQL["compare_dists_long"] = _compare_sql(
-    "f.forc_style = '5min'", "distribution", "forc_style", ["Normal", "Student-t"],
-    {"Normal": "GARCH(1,1)-N", "Student-t": "GARCH(1,1)-T", "realized_variance": "Realized Variance"})
+    "f.forc_style = '5min'", "distribution", "forc_style", ["Normal", "Student-t"], DIST_LABELS)
 SQL["compare_filtered_long"] = _compare_sql(
     "f.distribution = 'Normal' AND f.forc_style IN ('5min', '5min_filtered')", "forc_style", "distribution",
-    ["5min", "5min_filtered"], {"5min": "GARCH(1,1)-N 5-min", "5min_filtered": "GARCH(1,1)-N 5-min-filtered",
-                                "realized_variance": "Realized Variance"})
+    ["5min", "5min_filtered"], FILTER_LABELS)
 
 
 def _metrics_sql(src: str, proxy: str) -> str:
@@ -285,11 +289,7 @@ SQL["mz_tidy_sqret"] = _tidy_sql("perf3", "squared_return")
 SQL["mz_glance_rv"] = _glance_sql("perf3", "realized_variance")
 SQL["mz_glance_sqret"] = _glance_sql("perf3", "squared_return")
 
-METRIC_ROWS = [("mape", 1, "MAPE"), ("rmse", 2, "RMSE"), ("(Intercept)_estimate", 3, "MZ Intercept"),
-               ("(Intercept)_std.error", 4, "MZ Intercept Std. Error"),
-               ("daily_variance_forecast_estimate", 5, "MZ Slope"),
-               ("daily_variance_forecast_std.error", 6, "MZ Slope Std. Error"),
-               ("r.squared", 7, "MZ $R^2$")]
+METRIC_ROWS = [(k, i + 1, v) for i, (k, v) in enumerate(METRIC_LABELS.items())]
 
 
 def _result_sql(src: str, styles: dict[str, str], display: bool = False, base: tuple = EVAL_BASE) -> str:
@@ -322,7 +322,7 @@ tab AS (
 """
     if not display:
         return body + f"SELECT series, proxy, metric_rank, metric, {', '.join(R(v) for v in styles.values())} FROM tab"
-    se = "metric IN ('MZ Intercept Std. Error', 'MZ Slope Std. Error')"
+    se = "metric IN (" + ", ".join(f"'{m}'" for m in STD_ERROR_METRICS) + ")"
     cols = ", ".join(
         f"CASE WHEN {v} IS NULL THEN NULL WHEN {se} THEN printf('(%.5f)', round({v}, 5)) "
         f"ELSE printf('%.5f', round({v}, 5)) END AS {v}" for v in styles.values())
