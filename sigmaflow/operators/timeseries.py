@@ -18,13 +18,38 @@ def _order_cols(df: DataFrame) -> list[str]:
     return ["date", "tick_id"] if "tick_id" in df.columns else ["date"]
 
 
-def resample_bars(prices: DataFrame, interval: str = BAR_INTERVAL) -> DataFrame:
-    """First observation of every bar, keeping that observation's own timestamp.
+def bar_summary(prices: DataFrame, interval: str = BAR_INTERVAL) -> DataFrame:
+    """First and last observation of every bar in one aggregation on ``(series, bar)``.
 
-    One hash aggregate on ``(series, bar)`` with map-side partial aggregation;
-    a hot series spreads over its many bars.
+    Map-side partial aggregation shrinks ticks to bars before the shuffle, and a
+    hot series spreads over its many bars. Both the 5-minute bars (first tick)
+    and the daily closes (last tick of the day's last bar) come from this one
+    pass over the tick table.
     """
     order = F.struct(*_order_cols(prices))
+    return (
+        prices.groupBy("series", floor_bar("date", interval).alias("bar"))
+        .agg(F.min_by(F.struct("date", "adjusted"), order).alias("first"),
+             F.max_by(F.struct("date", "adjusted"), order).alias("last"))
+    )
+
+
+def bars_from_summary(summary: DataFrame) -> DataFrame:
+    return summary.select("series", "bar", F.col("first.date").alias("date"),
+                          F.col("first.adjusted").alias("adjusted"))
+
+
+def daily_close_from_summary(summary: DataFrame) -> DataFrame:
+    """Last observation of every day: the last tick of the day's last bar."""
+    return (summary.groupBy("series", day_ts("bar").alias("day"))
+            .agg(F.max_by(F.col("last"), F.col("bar")).alias("_last"))
+            .select("series", "day", F.col("_last.date").alias("date"),
+                    F.col("_last.adjusted").alias("adjusted")))
+
+
+def resample_bars(prices: DataFrame, interval: str = BAR_INTERVAL) -> DataFrame:
+    """First observation of every bar, keeping that observation's own timestamp."""
+    order = F.struct(*_order_cols(prices))
     return (
         prices.groupBy("series", floor_bar("date", interval).alias("bar"))
         .agg(F.min_by(F.struct("date", "adjusted"), order).alias("_first"))

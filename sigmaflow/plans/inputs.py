@@ -33,9 +33,17 @@ class TickInputs:
     def ticks(self) -> DataFrame:
         return ticks(self.spark, self.sf_dir, self.params)
 
+    @cached_property
+    def bar_summary(self) -> DataFrame:
+        """First and last tick per bar: the only aggregation that reads the tick table.
+
+        Written once, so bars, returns and daily closes never rescan the ticks.
+        """
+        return _keep(ts.bar_summary(self.ticks), "bar-summary", self.knobs)
+
     @cached_property
     def bars(self) -> DataFrame:
-        return ts.resample_bars(self.ticks)
+        return ts.bars_from_summary(self.bar_summary)
 
     @cached_property
     def returns_5min(self) -> DataFrame:
@@ -47,8 +55,9 @@ class TickInputs:
 
     @cached_property
     def returns_daily(self) -> DataFrame:
-        """Daily returns from the last tick of each day."""
-        return _keep(ts.daily_returns(self.ticks), "returns-daily", self.knobs)
+        """Daily returns from the last tick of each day (from the same bar summary)."""
+        closes = ts.daily_close_from_summary(self.bar_summary)
+        return _keep(ts.log_returns(closes, bucket="year"), "returns-daily", self.knobs)
 
     @cached_property
     def rv_all(self) -> DataFrame:
