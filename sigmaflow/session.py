@@ -103,9 +103,15 @@ def _write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint dir (never reused)."""
+    """A fresh, unique folder under the shared checkpoint dir (never reused).
+
+    Grouped per application (``sigmaflow/<application id>/``) so that a finished
+    run's intermediates can be removed in one step.
+    """
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    sc = _context(spark)
+    app = sc.applicationId if sc is not None else "remote"
+    return os.path.join(base, "sigmaflow", app, f"{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df, name: str):
