@@ -151,7 +151,8 @@ def exact_median(df: DataFrame, value_col: str, part: tuple[str, ...] = ("series
         if wide.isEmpty():
             break
         width = (F.col("_hi") - F.col("_lo")) / n_buckets
-        bucket = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(n_buckets - 1)).cast("long")
+        bucket = F.least(F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width)), F.lit(0)),
+                         F.lit(n_buckets - 1)).cast("long")
         hist = (data.join(wide.select(*part, "_lo", "_hi"), part, "inner")
                 .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
                 .groupBy(*part, bucket.alias("_b"))
