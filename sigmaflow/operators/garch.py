@@ -126,14 +126,13 @@ def _grid_arrays(spark: SparkSession, grid: GarchGrid, distributions: tuple[str,
 
 
 def _fit_partitions(samples: DataFrame) -> int:
-    """Enough tasks for every core: fits are CPU-heavy and byte-small."""
+    """Two fit tasks per core: fits are CPU-heavy and byte-small, so the count follows
+    the cluster's cores rather than the shuffle-partition setting."""
     spark = samples.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
-        n = max(n, spark.sparkContext.defaultParallelism)
+        return max(2 * spark.sparkContext.defaultParallelism, 2)
     except Exception:  # noqa: BLE001 - remote sessions
-        pass
-    return n
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _iter_samples(rec: dict, keys: list[str]):
