@@ -129,14 +129,16 @@ def garch_roll_mle(spark, sf_dir):
     return J.rolling_mle_forecast(spark, intraday(spark, sf_dir), "5min").select(*ROLL_COLS)
 
 
-def garch_forecasts(spark, sf_dir, ctx=None):
-    """Rolling grid-QMLE forecasts of the three styles on the same tick series."""
+def garch_forecasts(spark, sf_dir, ctx=None, refined=False):
+    """Rolling forecasts of the three styles on the same tick series (grid QMLE, or
+    refined ML with ``refined``)."""
     from sigmaflow.plans.inputs import TickInputs
     ctx = ctx or TickInputs(spark, sf_dir)
+    roll = J.rolling_mle_forecast if refined else J.rolling_grid_forecast
     parts = [
-        J.rolling_grid_forecast(spark, J.FitInputs(ctx.returns_5min, TICK_PARAMS), "5min"),
-        J.rolling_grid_forecast(spark, J.FitInputs(ctx.returns_5min_filtered, TICK_PARAMS), "5min_filtered"),
-        J.rolling_grid_forecast(spark, J.FitInputs(ctx.returns_daily, TICK_PARAMS), "daily"),
+        roll(spark, J.FitInputs(ctx.returns_5min, TICK_PARAMS), "5min"),
+        roll(spark, J.FitInputs(ctx.returns_5min_filtered, TICK_PARAMS), "5min_filtered"),
+        roll(spark, J.FitInputs(ctx.returns_daily, TICK_PARAMS), "daily"),
     ]
     cols = ["series", "distribution", "forc_style", "day", "daily_variance_forecast"]
     out = parts[0].select(*cols)
@@ -175,3 +177,13 @@ def garch_models(spark, sf_dir):
     return (fits.join(F.broadcast(specs), "distribution", "inner")
             .select("series", "distribution", "model", "garch_p", "garch_q", "include_mean", "omega",
                     "dist_code", "n_obs", "alpha", "beta", "nu", "loglik"))
+
+
+@register("garch_result_table_mle")
+def garch_result_table_mle(spark, sf_dir):
+    """The paper's metric table from refined maximum-likelihood rolling forecasts."""
+    from sigmaflow.plans import evaluation as E
+    from sigmaflow.plans.q_evaluation import STYLES_MAIN
+    ctx = inp.TickInputs(spark, sf_dir)
+    perf = E.performance_data(garch_forecasts(spark, sf_dir, ctx, refined=True), ctx.rv, ctx.sq, TICK_PARAMS)
+    return E.result_table(perf, STYLES_MAIN)
