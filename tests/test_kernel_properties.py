@@ -32,3 +32,26 @@ def test_per_observation_terms_sum_to_loglik(n, seed):
     ll, _, terms = scan(r, alpha, beta, None, keep_terms=True)
     assert terms.shape == (n, 2)
     assert np.allclose(terms.sum(axis=0), ll)
+
+
+def test_refined_fit_beats_dense_brute_force_grid():
+    from sigmaflow.operators.garch_kernel import refine
+    rng = np.random.default_rng(4)
+    n, alpha, beta = 600, 0.12, 0.86
+    h, r = 1.0, np.empty(n)
+    for t in range(n):
+        r[t] = np.sqrt(h) * rng.standard_normal()
+        h = alpha * r[t] ** 2 + beta * h
+    # brute force: 150 x 150 points over 0 <= alpha <= persistence <= 0.999
+    a_axis = np.linspace(0.0, 0.4, 150)
+    p_axis = np.linspace(0.5, 0.999, 150)
+    A, P = np.meshgrid(a_axis, p_axis)
+    keep = A <= P
+    a, p = A[keep], P[keep]
+    best = -np.inf
+    for i in range(0, len(a), 500):
+        ll, _, _ = scan(r, a[i:i + 500], p[i:i + 500] - a[i:i + 500], None)
+        best = max(best, np.max(ll))
+    theta, ll_refined, _, _ = refine(r, 0.05, 0.95, None)
+    assert ll_refined >= best - 1e-9
+    assert abs(theta[0] - alpha) < 0.06 and abs(theta[1] - (alpha + beta)) < 0.03
