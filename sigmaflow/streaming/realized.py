@@ -88,9 +88,10 @@ def realized_variance_stream(bars: DataFrame) -> DataFrame:
         _rv_state, RV_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
-def tick_stream(spark: SparkSession, source_dir: str, params: Params) -> DataFrame:
-    """Stream the ``events`` parquet files of a folder as ticks."""
-    schema = spark.read.parquet(os.path.join(source_dir, "events.parquet")).schema
+def tick_stream(spark: SparkSession, source_dir: str, params: Params, schema=None) -> DataFrame:
+    """Stream the ``events*.parquet`` files of a folder as ticks."""
+    if schema is None:
+        schema = spark.read.parquet(os.path.join(source_dir, "events.parquet")).schema
     ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
           .option("maxFilesPerTrigger", 1).parquet(source_dir))
     return (ev.where((F.col("value") > 0) & F.col("ts").between(ntz_lit(params.start), ntz_lit(params.end)))
@@ -99,11 +100,14 @@ def tick_stream(spark: SparkSession, source_dir: str, params: Params) -> DataFra
 
 
 def run_realized_variance(spark: SparkSession, source_dir: str, params: Params,
-                          watermark: str = "10 minutes") -> DataFrame:
-    """Run both stages to completion (``availableNow``) and return the realized-variance table."""
-    root = scratch_path(spark, "stream-rv")
+                          watermark: str = "10 minutes", root: str | None = None,
+                          schema=None) -> DataFrame:
+    """Run both stages over the files present now (``availableNow``) and return the
+    realized-variance table. With the same ``root`` a later call resumes from the
+    committed offsets and state, processing only new files."""
+    root = root or scratch_path(spark, "stream-rv")
     bars_dir, rv_dir = os.path.join(root, "bars"), os.path.join(root, "rv")
-    q1 = (bars_stream(tick_stream(spark, source_dir, params), watermark).writeStream
+    q1 = (bars_stream(tick_stream(spark, source_dir, params, schema), watermark).writeStream
           .format("parquet").option("path", bars_dir)
           .option("checkpointLocation", os.path.join(root, "ckpt-bars"))
           .outputMode("append").trigger(availableNow=True).start())
