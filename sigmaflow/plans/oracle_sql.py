@@ -548,3 +548,34 @@ SQL["stream_realized_variance"] = with_(TICKS, BARS, RET5) + """, rvd AS (
 lastbar AS (SELECT series, max(CAST(CAST(date AS DATE) AS TIMESTAMP)) AS last_day FROM bars GROUP BY 1)
 SELECT r.series, r.day, r.date, round(r.realized_variance, 6) AS realized_variance, r.n_returns
 FROM rvd r JOIN lastbar l USING (series) WHERE r.day < l.last_day"""
+
+
+def _positive_zero(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)``: DuckDB's round keeps a negative
+    zero, Spark's does not, and a value hash sees the sign bit."""
+    out, i, n = [], 0, len(sql)
+    while i < n:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            break
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while k < n:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _positive_zero(sql[j + 6:k])
+        out.append(sql[i:j] + "(round(" + inner + ") + CAST(0 AS DOUBLE))")
+        i = k + 1
+    return "".join(out)
+
+
+SQL = {name: _positive_zero(text) for name, text in SQL.items()}

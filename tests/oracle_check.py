@@ -52,7 +52,8 @@ def compare(a: pd.DataFrame, b: pd.DataFrame) -> str:
         x, y = a[c], b[c]
         if pd.api.types.is_float_dtype(x) or pd.api.types.is_float_dtype(y):
             xv, yv = x.astype(float).to_numpy(), y.astype(float).to_numpy()
-            same = (xv == yv) | (np.isnan(xv) & np.isnan(yv))
+            # equal values with the same sign bit (a value hash sees -0.0 != 0.0)
+            same = ((xv == yv) & (np.signbit(xv) == np.signbit(yv))) | (np.isnan(xv) & np.isnan(yv))
             if not same.all():
                 d = np.nanmax(np.abs(xv - yv))
                 bad.append(f"{c}: {int((~same).sum())} differ (max {d:.3g})")

@@ -55,3 +55,13 @@ def test_refined_fit_beats_dense_brute_force_grid():
     theta, ll_refined, _, _ = refine(r, 0.05, 0.95, None)
     assert ll_refined >= best - 1e-9
     assert abs(theta[0] - alpha) < 0.06 and abs(theta[1] - (alpha + beta)) < 0.03
+
+
+def test_student_t_likelihood_tends_to_normal():
+    rng = np.random.default_rng(8)
+    r = rng.normal(size=2000)
+    a, b = np.array([0.05]), np.array([0.9])
+    ll_n, _, _ = scan(r, a, b, None)
+    gaps = [abs(scan(r, a, b, np.array([nu]))[0][0] - ll_n[0]) for nu in (10.0, 100.0, 10_000.0)]
+    assert gaps[0] > gaps[1] > gaps[2]
+    assert gaps[2] < 1e-2 * abs(ll_n[0]) * 1e-2
