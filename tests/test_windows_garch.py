@@ -127,3 +127,26 @@ def test_window_blocks_give_the_same_fits_as_single_windows(spark):
         assert len(m) == len(one) == 20
         assert np.allclose(m["loglik_x"], m["loglik_y"], rtol=1e-12)
         assert (m["n_obs_x"] == m["n_obs_y"]).all()
+
+
+def test_mle_query_equals_direct_fit_on_collected_samples(spark):
+    import __spark_entry__ as E
+    from sigmaflow.config import TICK_PARAMS
+    from sigmaflow.plans.inputs import TickInputs
+    from tests.conftest import SF_SMALL
+
+    got = E.queries()["garch_mle_fit"](spark, SF_SMALL).where("sampling = '5min'").toPandas()
+    rets = TickInputs(spark, SF_SMALL).returns_5min.toPandas()
+    origin = np.datetime64(TICK_PARAMS.origin_day)
+    for _, row in got.iterrows():
+        s = rets[(rets.series == row.series) & (rets.day.values.astype("datetime64[D]") <= origin)]
+        r = s.sort_values("date")["return"].to_numpy()
+        assert len(r) == row.n_obs
+        g = G._grid_arrays(None, G.DEFAULT_GRID, (row.distribution,))
+        from sigmaflow.operators.garch_kernel import grid_scan
+        ll, _ = grid_scan(r, g)
+        i = int(np.argmax(ll))
+        nu0 = None if row.distribution == "Normal" else g["nu"][i]
+        theta, best, _, _ = refine(r, g["alpha"][i], g["persistence"][i], nu0)
+        assert np.isclose(best, row.loglik, atol=1e-4)
+        assert np.isclose(theta[0], row.alpha, atol=1e-6)
