@@ -126,11 +126,11 @@ def _grid_arrays(spark: SparkSession, grid: GarchGrid, distributions: tuple[str,
 
 
 def _fit_partitions(samples: DataFrame) -> int:
-    """Two fit tasks per core: fits are CPU-heavy and byte-small, so the count follows
+    """One fit task per core: fits are CPU-heavy and byte-small, so the count follows
     the cluster's cores rather than the shuffle-partition setting."""
     spark = samples.sparkSession
     try:
-        return max(2 * spark.sparkContext.defaultParallelism, 2)
+        return max(spark.sparkContext.defaultParallelism, 2)
     except Exception:  # noqa: BLE001 - remote sessions
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
