@@ -7,7 +7,7 @@ Catalyst can fold them and push range predicates into the parquet scan.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Labels, thresholds and constants that results depend on.
 DISTRIBUTIONS = ("Normal", "Student-t")
@@ -74,11 +74,8 @@ class ScaleKnobs:
     # a series may still have in its bracket before the final exact ranking
     median_buckets: int = 4096
     median_max_candidates: int = 1_000_000
-    # fit tasks per core when model fits are spread with repartition
-    fit_partitions: int | None = None
     # write shared intermediates (returns tables) to the checkpoint folder once per plan
     materialize: bool = True
-    extra: dict = field(default_factory=dict)
 
 
 DEFAULT_KNOBS = ScaleKnobs()
