@@ -24,11 +24,28 @@ class FitInputs:
         """One array per window (used by the JVM scan and the in-sample fits)."""
         return W.window_arrays(windows, self.arrays)
 
-    def blocks(self, windows: DataFrame, windows_per_block: int = 16) -> DataFrame:
-        """Blocks of consecutive windows sharing one copy of their days (rolling refits)."""
+    def blocks(self, windows: DataFrame, windows_per_block: int | None = None) -> DataFrame:
+        """Blocks of consecutive windows sharing one copy of their days (rolling refits).
+
+        By default up to 16 windows a block; fewer when the whole job has few windows,
+        so that there are about four blocks per core to balance the CPU-heavy fits.
+        """
+        if windows_per_block is None:
+            windows_per_block = block_size(windows)
         return W.window_blocks(windows, self.arrays, windows_per_block)
 
 
+def block_size(windows: DataFrame, max_per_block: int = 16) -> int:
+    """Windows per block: at most ``max_per_block``, at least about four blocks per core."""
+    spark = windows.sparkSession
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - remote sessions
+        cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_windows = windows.count()  # one row per window: a small table
+    return int(max(1, min(max_per_block, -(-n_windows // (4 * cores)))))
+
+
 def grid_loglik_table(spark: SparkSession, fi: FitInputs, grid: GarchGrid = DEFAULT_GRID,
                       distributions: tuple[str, ...] = DISTRIBUTIONS) -> DataFrame:
     """In-sample log-likelihood of every candidate, per series."""

@@ -129,22 +129,29 @@ def garch_roll_mle(spark, sf_dir):
     return J.rolling_mle_forecast(spark, intraday(spark, sf_dir), "5min").select(*ROLL_COLS)
 
 
+STYLE_SEP = "\u0001"
+
+
 def garch_forecasts(spark, sf_dir, ctx=None, refined=False):
     """Rolling forecasts of the three styles on the same tick series (grid QMLE, or
-    refined ML with ``refined``)."""
+    refined ML with ``refined``).
+
+    The three return tables are stacked under a composite key ``series + style`` so
+    one set of window, block and fit stages serves all styles; the key is split back
+    afterwards.
+    """
     from sigmaflow.plans.inputs import TickInputs
     ctx = ctx or TickInputs(spark, sf_dir)
     roll = J.rolling_mle_forecast if refined else J.rolling_grid_forecast
-    parts = [
-        roll(spark, J.FitInputs(ctx.returns_5min, TICK_PARAMS), "5min"),
-        roll(spark, J.FitInputs(ctx.returns_5min_filtered, TICK_PARAMS), "5min_filtered"),
-        roll(spark, J.FitInputs(ctx.returns_daily, TICK_PARAMS), "daily"),
-    ]
-    cols = ["series", "distribution", "forc_style", "day", "daily_variance_forecast"]
-    out = parts[0].select(*cols)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*cols))
-    return out
+    styles = {"5min": ctx.returns_5min, "5min_filtered": ctx.returns_5min_filtered, "daily": ctx.returns_daily}
+    stacked = None
+    for style, rets in styles.items():
+        part = rets.select(F.concat_ws(STYLE_SEP, "series", F.lit(style)).alias("series"), "day", "date", "return")
+        stacked = part if stacked is None else stacked.unionByName(part)
+    fc = roll(spark, J.FitInputs(stacked, TICK_PARAMS), "stacked")
+    key = F.split(F.col("series"), STYLE_SEP)
+    return fc.select(key[0].alias("series"), "distribution", key[1].alias("forc_style"), "day",
+                     "daily_variance_forecast")
 
 
 @register("garch_all_forecasts")
