@@ -18,12 +18,16 @@ REF = Params(start=dt.datetime(2016, 1, 1), end=dt.datetime(2017, 10, 19, 23, 59
 
 @pytest.fixture(scope="module")
 def grid_returns(spark):
-    """658 days x 288 bars, gapless: the calendar of the original study."""
-    n = 658 * 288
-    bars = (spark.range(n).select(
+    """658 days of gapless one-minute prices, resampled to 5-minute bars: the calendar
+    of the original study."""
+    n = 658 * 1440
+    minutes = (spark.range(n).select(
         F.lit("btc").alias("series"),
-        F.expr("timestampadd(MINUTE, CAST(id * 5 AS INT), TIMESTAMP_NTZ'2016-01-01 00:00:00')").alias("date"),
-        (F.lit(1000.0) + F.col("id") % 97).alias("adjusted")))
+        F.expr("timestampadd(MINUTE, CAST(id AS INT), TIMESTAMP_NTZ'2016-01-01 00:00:00')").alias("date"),
+        (F.lit(1000.0) + F.col("id") % 97).alias("adjusted"),
+        F.col("id").alias("tick_id")))
+    bars = ts.resample_bars(minutes)
+    assert bars.count() == 189_504
     return ts.log_returns(bars, bucket="day")
 
 
