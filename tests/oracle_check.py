@@ -1,6 +1,6 @@
 """Compare every registered query with its DuckDB oracle (like the driver's check).
 
-usage: python tests/oracle_check.py [sf_dir] [name ...]
+usage: python tests/oracle_check.py [sf_dir] [name ...] [--json PATH]
 """
 
 from __future__ import annotations
@@ -67,8 +67,15 @@ def compare(a: pd.DataFrame, b: pd.DataFrame) -> str:
 
 
 def main() -> None:
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    only = set(sys.argv[2:])
+    args = sys.argv[1:]
+    json_path = None
+    if "--json" in args:
+        i = args.index("--json")
+        json_path = args[i + 1]
+        args = args[:i] + args[i + 2:]
+    sf_dir = args[0] if args else "/root/testdata/sf0.01"
+    only = set(args[1:])
+    report = {}
     spark = get_spark("local[8]")
     qs, sql = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
@@ -81,22 +88,30 @@ def main() -> None:
             sdf = fn(spark, sf_dir).toPandas()
         except Exception as ex:  # noqa: BLE001
             print(f"{name:34s} SPARK-ERROR {str(ex)[:300]}")
+            report[name] = {"status": "spark-error"}
             failures += 1
             continue
         ts = time.time() - t0
         if name not in sql:
             print(f"{name:34s} rows-only  rows={len(sdf)}  {ts:.1f}s")
+            report[name] = {"status": "rows-only", "rows": len(sdf), "sec": round(ts, 2)}
             continue
         try:
             odf = con.sql(sql[name]).df()
         except Exception as ex:  # noqa: BLE001
             print(f"{name:34s} ORACLE-ERROR {str(ex)[:300]}")
+            report[name] = {"status": "oracle-error"}
             failures += 1
             continue
         res = compare(sdf, odf)
         failures += res != "OK"
         print(f"{name:34s} {res}  rows={len(sdf)}  {ts:.1f}s")
+        report[name] = {"status": res, "rows": len(sdf), "sec": round(ts, 2)}
     print("failures:", failures)
+    if json_path:
+        import json
+        with open(json_path, "w") as fh:
+            json.dump({"sf_dir": sf_dir, "failures": failures, "queries": report}, fh, indent=1)
 
 
 if __name__ == "__main__":
