@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from sigmaflow.llm import decontaminate
+from sigmaflow.llm import decontaminate, mixing
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_mixing": mixing.op2_mixing,
 }
 
 SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
+    "op2_mixing": mixing.OP2_SQL,
 }
