@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from sigmaflow.llm import decontaminate, mixing
+from sigmaflow.llm import chat, decontaminate, mixing
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_mixing": mixing.op2_mixing,
+    "op7_chat": chat.op7_chat,
 }
 
 SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
+    "op7_chat": chat.OP7_SQL,
 }
