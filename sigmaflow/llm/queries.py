@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sigmaflow.llm import chat, decontaminate, mixing
+from sigmaflow.llm import chat, decontaminate, mixing, pii
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_mixing": mixing.op2_mixing,
     "op7_chat": chat.op7_chat,
+    "op8_pii": pii.op8_pii,
 }
 
 SQL = {
