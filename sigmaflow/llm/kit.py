@@ -86,6 +86,14 @@ def word_codes(texts: list[bytes], byte_map: bytes = WORDS) -> tuple[np.ndarray,
 
     A word is a maximal run of bytes that ``byte_map`` doesn't turn into a space.
     """
+    return word_spans(texts, byte_map)[:2]
+
+
+def word_spans(texts: list[bytes], byte_map: bytes = WORDS, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """As ``word_codes``, with where each word begins in the texts joined by one byte, and where each text does.
+
+    With ``prefixes``, the codes have a column for the whole word and one for its first bytes of each length.
+    """
     data = b" ".join(texts).translate(byte_map)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(lengths + 1) - lengths - 1
@@ -100,13 +108,16 @@ def word_codes(texts: list[bytes], byte_map: bytes = WORDS) -> tuple[np.ndarray,
         power, inverse = _powers(len(raw) + 1)
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_LETTER[raw] * power[: len(raw)], out=total[1:])
-        codes.append(mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64)))
+        made = [mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))]
+        for k in prefixes:
+            made.append(mix((total[np.minimum(last, first + k)] - total[first]) * inverse[first] - np.uint64(k)))
+        codes.append(np.stack(made, axis=1) if prefixes else made[0])
         starts.append(first + at)
         at += len(raw)
     if not codes:
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    bounds = np.searchsorted(np.concatenate(starts), np.append(begin, len(data)))
-    return np.concatenate(codes), np.diff(bounds)
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), np.zeros(len(texts), np.int64), np.zeros(0, np.int64), begin
+    where = np.concatenate(starts)
+    return np.concatenate(codes), np.diff(np.searchsorted(where, np.append(begin, len(data)))), where, begin
 
 
 def shingle_codes(codes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,6 +139,16 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
+def bounded(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``most`` bytes, or of one row."""
+    if batch.num_rows > 1 and batch.nbytes > most:
+        half = batch.num_rows // 2
+        yield from bounded(batch.slice(0, half), most)
+        yield from bounded(batch.slice(half), most)
+    elif batch.num_rows:
+        yield batch
+
+
 def scan(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], fields: list[tuple[str, T.DataType]], keep: list[str]) -> DataFrame:
     """``mapInArrow`` that keeps columns and adds what ``fn`` makes of each batch."""
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(n, t) for n, t in fields)])
@@ -135,8 +156,8 @@ def scan(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], fields: list[tuple
     new = to_arrow_schema(T.StructType([T.StructField(n, t) for n, t in fields]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in bounded(whole):
                 made = fn(batch)
                 old = [batch.schema.get_field_index(c) for c in keep]
                 cols = [batch.column(i) for i in old] + [pa.array(made[f.name], f.type) for f in new]
@@ -150,6 +171,16 @@ def text_keys(text="text") -> list:
     return [F.xxhash64(F.col(text)).alias("x0"), F.xxhash64(F.lit(7), F.col(text)).alias("x1")]
 
 
-def sample_rows(df: DataFrame, rows: int, key) -> DataFrame:
-    """At most ``rows`` rows, those of the smallest keys: a bounded sample for fitting."""
-    return df.orderBy(key).limit(rows)
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, rows: int) -> DataFrame:
+    """(text, y) of at most ``rows`` labelled documents outside the held-out fold, those of the smallest hashes.
+
+    docs: doc_id, text. The fold of a document is crc32 of its id as text, modulo ``fold``; ``held`` is held out.
+    A document with several labels has the largest.
+    """
+    key = F.col("doc_id").cast("string")
+    y = labels.groupBy(key.alias("k")).agg(F.max(label).alias("y")).filter("y IS NOT NULL AND k IS NOT NULL").filter(F.crc32("k") % fold != held)
+    y = y.withColumn("h", F.xxhash64("k") / F.lit(float(1 << 63)))
+    share = min(1.0, 1.2 * rows / max(1, y.count()))  # about the sample before the sort
+    chosen = y.filter(F.col("h") <= 2 * share - 1).orderBy("h").limit(rows)
+    texts = docs.select(key.alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(chosen.select("k", "y"), "k").select("text", F.col("y").cast("double"))

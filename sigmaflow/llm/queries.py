@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sigmaflow.llm import chat, decontaminate, mixing, pii
+from sigmaflow.llm import chat, decontaminate, mixing, pii, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_mixing": mixing.op2_mixing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op7_chat": chat.op7_chat,
     "op8_pii": pii.op8_pii,
 }
