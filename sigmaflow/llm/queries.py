@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigmaflow.llm import chat, decontaminate, mixing, pii, toxicity
+from sigmaflow.llm import chat, decontaminate, mixing, pii, quality, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op7_chat": chat.op7_chat,
     "op8_pii": pii.op8_pii,
+    "op10_quality": quality.op10_quality,
 }
 
 SQL = {
