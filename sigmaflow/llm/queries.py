@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigmaflow.llm import chat, decontaminate, mixing, pii, quality, toxicity
+from sigmaflow.llm import chat, decontaminate, mixing, order, pii, quality, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op7_chat": chat.op7_chat,
     "op8_pii": pii.op8_pii,
+    "op9_order": order.op9_order,
     "op10_quality": quality.op10_quality,
 }
 
@@ -17,4 +18,5 @@ SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op7_chat": chat.OP7_SQL,
+    "op9_order": order.OP9_SQL,
 }
