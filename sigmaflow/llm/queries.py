@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sigmaflow.llm import chat, decontaminate, mixing, order, pii, quality, toxicity
+from sigmaflow.llm import chat, decontaminate, hnsw, mixing, order, pii, quality, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_mixing": mixing.op2_mixing,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op6_hnsw": hnsw.op6_hnsw,
     "op7_chat": chat.op7_chat,
     "op8_pii": pii.op8_pii,
     "op9_order": order.op9_order,
