@@ -27,6 +27,7 @@ from sigmaflow.llm.kit import as_bytes, labelled_sample, prepare, scan, table, w
 from sigmaflow.llm.toxicity import held_out
 
 FIT_ROWS = 8000
+FIT_BATCH = 256
 BITS = 18
 FACTORS = 8
 STEPS = 250
@@ -87,6 +88,12 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return u_row, (u_code >> np.uint64(64 - BITS)).astype(np.int64), stats
 
 
+def _batches(texts: list[bytes]):
+    for i in range(0, len(texts), FIT_BATCH):
+        row, bucket, stats = features(texts[i : i + FIT_BATCH])
+        yield (row + i).astype(np.int32), bucket.astype(np.int32), stats
+
+
 def _standard(stats: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.clip((stats - mean) / scale, -4, 4)
 
@@ -115,18 +122,18 @@ def fit(texts: list[bytes], y: np.ndarray, steps: int = STEPS, rate: float = RAT
     machine = Machine(0.0, np.zeros(size + k), np.zeros((size + k, FACTORS)), np.zeros(k), np.ones(k))
     if not len(texts):
         return machine
-    row, bucket, stats = features(texts)
     n = len(y)
+    row, bucket, stats = (np.concatenate(x) for x in zip(*_batches(texts), strict=True))
     machine.mean, machine.scale = stats.mean(axis=0), stats.std(axis=0) + 1e-6
     dense = _standard(stats, machine.mean, machine.scale)
-    good = np.bincount(bucket, y[row], size) + 0.5
+    good = np.bincount(bucket, y[row].astype(np.float32), size) + 0.5
     docs = np.bincount(bucket, minlength=size) + 1.0
     n1 = y.sum() + 1
     z = (np.log(good / (n1 - good + 0.5)) - np.log((docs - good) / (n + 2 - n1 - docs + good + 0.5))) / np.sqrt(1 / good + 1 / (docs - good))
     used = np.flatnonzero((docs >= LEAST_DOCS) & (np.abs(z) > LEAST_Z))  # the others keep weight 0
     place = np.full(size, len(used))
     place[used] = np.arange(len(used))
-    at = place[bucket]
+    at = place.astype(np.int32)[bucket]
     rng = np.random.default_rng(7)
     w, v = np.zeros(len(used) + 1 + k), rng.normal(0, 0.02, (len(used) + 1 + k, FACTORS))
     v[len(used)] = 0
@@ -141,6 +148,7 @@ def fit(texts: list[bytes], y: np.ndarray, steps: int = STEPS, rate: float = RAT
     live = at < len(used)
     r, b = row[live], at[live]
     x = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))[r]
+    del row, bucket, at, live
     for t in range(1, steps + 1):
         wb, vd = w[b], v[-k:]
         total, square = dense @ vd, (dense**2) @ (vd**2)

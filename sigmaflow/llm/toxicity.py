@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from sigmaflow.llm.kit import as_bytes, labelled_sample, prepare, scan, table, word_spans
 
 FIT_ROWS = 8000
+FIT_BATCH = 256
 BITS = 20
 STEPS = 300
 RATE = 0.05
@@ -51,11 +52,16 @@ def sentences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return (codes >> np.uint64(64 - BITS)).astype(np.int64), first, row[first], at[first] - begin[row[first]], at[last] - begin[row[first]]
 
 
-def _telling(word: np.ndarray, row: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+def _telling(texts: list[bytes], y: np.ndarray, size: int) -> np.ndarray:
     """Buckets that stand in clearly more toxic documents than chance puts them in."""
-    seen = np.unique(word.astype(np.int64).ravel() * len(y) + np.repeat(row, word.shape[1]))
-    toxic = y[seen % len(y)] > 0.5
-    a, b = (np.bincount(seen[k] // len(y), minlength=size) + 0.5 for k in (toxic, ~toxic))
+    counts = np.full((2, size), 0.5)
+    for i in range(0, len(texts), FIT_BATCH):
+        word, first, row, _, _ = sentences(texts[i : i + FIT_BATCH])
+        at = np.repeat(row, np.diff(np.append(first, len(word))))
+        seen = np.unique(word.ravel() * FIT_BATCH + np.repeat(at, word.shape[1]))
+        for toxic in (0, 1):
+            counts[toxic] += np.bincount(seen[(y[i + seen % FIT_BATCH] > 0.5) == toxic] // FIT_BATCH, minlength=size)
+    b, a = counts
     n1, n0 = (y > 0.5).sum() + 1, (y <= 0.5).sum() + 1
     z = (np.log(a / (n1 - a)) - np.log(b / (n0 - b))) / np.sqrt(1 / a + 1 / b)
     return np.flatnonzero((z > LEAST_Z) & (a >= LEAST_DOCS))
@@ -63,23 +69,28 @@ def _telling(word: np.ndarray, row: np.ndarray, y: np.ndarray, size: int) -> np.
 
 def fit(texts: list[bytes], y: np.ndarray, steps: int = STEPS, rate: float = RATE) -> np.ndarray:
     """Weights of the buckets, the bias last; full-batch Adam on the noisy-or likelihood with a Gaussian prior."""
-    word, first, row, _, _ = sentences(texts)
     size = 1 << BITS
     w = np.zeros(size + 1)
     w[-1] = -50.0
-    if not len(word):
+    used = _telling(texts, y, size) if len(texts) else np.zeros(0, np.int64)
+    if not len(used):
         return w
-    per = np.diff(np.append(first, len(word)))
-    used = _telling(word, np.repeat(row, per), y, size)
-    place = np.full(size, -1)
+    place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
-    at = place[word]
-    sentence = np.broadcast_to(np.repeat(np.arange(len(first)), per)[:, None], at.shape)[at >= 0]
-    at = at[at >= 0]
+    found, sentence, row, n_sentences = [], [], [], 0
+    for i in range(0, len(texts), FIT_BATCH):  # only telling buckets are kept
+        word, first, of, _, _ = sentences(texts[i : i + FIT_BATCH])
+        at = place[word]
+        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
+        sentence.append(np.broadcast_to(number[:, None], at.shape)[at >= 0] + n_sentences)
+        found.append(at[at >= 0])
+        row.append(of + i)
+        n_sentences += len(first)
+    at, sentence, row, n = np.concatenate(found), np.concatenate(sentence), np.concatenate(row), len(y)
     alive, sentence = np.unique(sentence, return_inverse=True)  # sentences with a telling bucket
-    plain = np.bincount(row, minlength=len(y)) - np.bincount(row[alive], minlength=len(y))
+    plain = np.bincount(row, minlength=n) - np.bincount(row[alive], minlength=n)
     row = row[alive]
-    v, bias, n = np.zeros(len(used)), np.log(0.5 * max(y.mean(), 1e-3) / max(1.0, len(first) / len(y))), len(y)
+    v, bias = np.zeros(len(used)), np.log(0.5 * max(y.mean(), 1e-3) / max(1.0, n_sentences / n))
     m, s, mb, sb = np.zeros_like(v), np.zeros_like(v), 0.0, 0.0
     for t in range(1, steps + 1):
         z = np.bincount(sentence, v[at], len(alive)) + bias
