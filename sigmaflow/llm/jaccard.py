@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigmaflow.llm.graphs import components
-from sigmaflow.llm.kit import as_bytes, mix, prepare, scan, shingle_codes, stage, table, text_keys, word_codes
+from sigmaflow.llm.kit import as_bytes, mix, prepare, scan, shingle_codes, stage, table, text_keys, whole_groups, word_codes
 
 WIDTH = 5
 THRESHOLD = (4, 5)  # similarity 4 / 5, as integers
@@ -74,31 +74,6 @@ def _signatures(batch: pa.RecordBatch) -> dict:
     return {"n": distinct, "keys": list(keys), "sketch": [x.tobytes() for x in low.astype(np.uint8)]}
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by the columns ``by``."""
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        change = np.zeros(batch.num_rows, bool)
-        for c in by:
-            v = batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-            change[1:] |= v[1:] != v[:-1]
-            if kept and kept[-1].column(kept[-1].schema.get_field_index(c))[-1].as_py() != v[0]:
-                change[0] = True
-        at = np.flatnonzero(change)
-        if len(at):
-            last = int(at[-1])
-            done = [*kept, batch.slice(0, last)]
-            if sum(b.num_rows for b in done):
-                yield pa.Table.from_batches(done)
-            kept = [batch.slice(last)]
-        else:
-            kept.append(batch)
-    if kept:
-        yield pa.Table.from_batches(kept)
-
-
 def _labels(linked: np.ndarray) -> np.ndarray:
     """Smallest member of each row's component, of square boolean matrices [..., g, g]."""
     g = linked.shape[-1]
@@ -125,7 +100,7 @@ def _alike(sketch: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in _whole_groups(batches, ["key", "p", "q"]):
+    for t in whole_groups(batches, ["key", "p", "q"]):
         ident = np.stack([t[c].to_numpy() for c in ("key", "p", "q")])
         start = np.flatnonzero(np.append(True, (ident[:, 1:] != ident[:, :-1]).any(axis=0)))
         many = np.diff(np.append(start, t.num_rows))
@@ -210,7 +185,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in _whole_groups(batches, ["grp", "p", "q"]):
+    for t in whole_groups(batches, ["grp", "p", "q"]):
         ident = np.stack([t[c].to_numpy() for c in ("grp", "p", "q")])
         start = np.append(np.flatnonzero(np.append(True, (ident[:, 1:] != ident[:, :-1]).any(axis=0))), t.num_rows)
         sid_all, mine_all, copies_all = t["sid"].to_numpy(), t["mine"].to_numpy(), t["copies"].to_numpy()

@@ -50,11 +50,11 @@ def word_table() -> bytes:
 
 
 WORDS = word_table()
-_LETTER = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+LETTER = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _power: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _power
     if len(_power[0]) < n:
         size = max(n, SLICE + 1)
@@ -105,9 +105,9 @@ def word_spans(texts: list[bytes], byte_map: bytes = WORDS, prefixes: tuple[int,
         inside[1:-1] = raw != 32
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         first, last = edge[::2], edge[1::2]
-        power, inverse = _powers(len(raw) + 1)
+        power, inverse = powers(len(raw) + 1)
         total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_LETTER[raw] * power[: len(raw)], out=total[1:])
+        np.cumsum(LETTER[raw] * power[: len(raw)], out=total[1:])
         made = [mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))]
         for k in prefixes:
             made.append(mix((total[np.minimum(last, first + k)] - total[first]) * inverse[first] - np.uint64(k)))
@@ -160,12 +160,37 @@ def scan(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], fields: list[tuple
             for batch in bounded(whole):
                 made = fn(batch)
                 old = [batch.schema.get_field_index(c) for c in keep]
-                cols = [batch.column(i) for i in old] + [pa.array(made[f.name], f.type) for f in new]
+                cols = [batch.column(i) for i in old] + [made[f.name].cast(f.type) if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in new]
                 yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([*(batch.schema.field(i) for i in old), *new]))
 
     return df.mapInArrow(run, schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by the columns ``by``."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        for c in by:
+            v = batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+            change[1:] |= v[1:] != v[:-1]
+            if kept and kept[-1].column(kept[-1].schema.get_field_index(c))[-1].as_py() != v[0]:
+                change[0] = True
+        at = np.flatnonzero(change)
+        if len(at):
+            last = int(at[-1])
+            done = [*kept, batch.slice(0, last)]
+            if sum(b.num_rows for b in done):
+                yield pa.Table.from_batches(done)
+            kept = [batch.slice(last)]
+        else:
+            kept.append(batch)
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
 def text_keys(text="text") -> list:
     """Two 64-bit columns that together stand for a whole text."""
     return [F.xxhash64(F.col(text)).alias("x0"), F.xxhash64(F.lit(7), F.col(text)).alias("x1")]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sigmaflow.llm import chat, decontaminate, hnsw, jaccard, mixing, order, pii, quality, toxicity
+from sigmaflow.llm import chat, decontaminate, hnsw, jaccard, mixing, order, pii, quality, repeats, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_mixing": mixing.op2_mixing,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_repeats": repeats.op4_repeats,
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_hnsw": hnsw.op6_hnsw,
     "op7_chat": chat.op7_chat,
@@ -19,6 +20,7 @@ QUERIES = {
 SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
+    "op4_repeats": repeats.OP4_SQL,
     "op5_jaccard": jaccard.OP5_SQL,
     "op7_chat": chat.OP7_SQL,
     "op9_order": order.OP9_SQL,
