@@ -151,15 +151,14 @@ def sanitise(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **opti
         F.col("x0").alias("_x0"), F.col("x1").alias("_x1"),
         F.array_sort(F.concat(F.transform("base", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.concat(F.lit("["), F.upper(s.kind), F.lit("]")).alias("by"))),
                               F.transform("terms", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.when(F.rlike(s.term, F.lit("[0-9]")), F.lit("[NUMBER]")).otherwise("").alias("by"))))).alias("_spans"))
-    keys = [k.alias(f"_{n}") for k, n in zip(text_keys("_t"), ("k0", "k1"), strict=True)]
-    df = docs.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).select("*", *keys)
-    df = df.join(spans, (F.col("_k0") == F.col("_x0")) & (F.col("_k1") == F.col("_x1")), "left")
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).isNull().alias("_null"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    df = packed.select("*", *text_keys("_t")).join(spans, (F.col("x0") == F.col("_x0")) & (F.col("x1") == F.col("_x1")), "left")
     walk = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda a, s: F.struct(
         F.greatest(a.at, s.end).alias("at"),
         F.when(s.start < a.at, a.out).otherwise(F.concat(a.out, F.substr("_t", a.at + 1, s.start - a.at), s.by)).alias("out")))
     df = df.withColumn("_w", walk)
-    new = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.concat("_w.out", F.substr("_t", F.col("_w.at") + 1, F.length("_t"))))
-    return df.select(*((new.alias(c) if c == text else F.col(c)) for c in docs.columns))
+    new = F.when(F.col("_spans").isNull(), F.col("_t")).otherwise(F.concat("_w.out", F.substr("_t", F.col("_w.at") + 1, F.length("_t"))))
+    return df.select(F.col("_row").withField(f"`{text}`", F.when(~F.col("_null"), new)).alias("_row")).select("_row.*")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
