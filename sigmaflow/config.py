@@ -69,7 +69,7 @@ class ScaleKnobs:
     """Physical knobs; none of them changes a result."""
 
     # rows per chunk when a long series is split for sequential operators (ACF)
-    chunk_rows: int = 1_000_000
+    chunk_rows: int = 20_000
     # exact median: histogram buckets per refinement pass, and the most values
     # a series may still have in its bracket before the final exact ranking
     median_buckets: int = 4096

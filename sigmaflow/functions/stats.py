@@ -66,3 +66,23 @@ def normal_two_sided_p(z: np.ndarray | float) -> np.ndarray:
     z = np.abs(np.asarray(z, dtype=float))
     return np.vectorize(lambda v: math.erfc(v / math.sqrt(2.0)) if np.isfinite(v) else np.nan)(z)
 
+
+
+# Rational approximation of the normal tail (absolute error below 1e-7).
+NORMAL_TAIL = (0.2316419, 0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
+
+def normal_two_sided_sql(z: str) -> str:
+    """Two-sided normal p-value of ``z``, as text that Spark and DuckDB read alike."""
+    b0, *b = NORMAL_TAIL
+    k = f"(1 / (1 + {b0!r} * abs({z})))"
+    poly = "0"
+    for c in reversed(b):
+        poly = f"({c!r} + {k} * {poly})"
+    return f"(2 * exp(-0.5 * {z} * {z}) / sqrt(2 * pi()) * {k} * {poly})"
+
+
+def significant_sql(x: str, digits: int = 4) -> str:
+    """``x`` at that many significant digits, as text that Spark and DuckDB read alike."""
+    unit = f"pow(10, floor(log10(abs({x}))) - {digits - 1})"
+    return f"(CASE WHEN {x} = 0 THEN 0 ELSE round({x} / {unit}) * {unit} END)"

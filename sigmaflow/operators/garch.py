@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmaflow.config import DEFAULT_GRID, DISTRIBUTIONS, GarchGrid
+from sigmaflow.operators.garch_kernel import COMPARED_DIGITS
 
 LN_2PI = math.log(2 * math.pi)
 
@@ -81,7 +82,7 @@ def grid_loglik(samples: DataFrame, keys: list[str], grid: GarchGrid = DEFAULT_G
 def grid_fit(lls: DataFrame, keys: list[str]) -> DataFrame:
     """Best candidate per (keys, distribution); ties broken by (alpha, persistence, nu)."""
     best = F.max_by(F.struct("alpha", "persistence", "beta", "nu", "loglik", "h_next", "n_obs"),
-                    F.struct("loglik", F.negative("alpha"), F.negative("persistence"),
+                    F.struct(F.round("loglik", COMPARED_DIGITS), F.negative("alpha"), F.negative("persistence"),
                              F.negative(F.coalesce("nu", F.lit(0.0)))))
     return (lls.groupBy(*keys, "distribution").agg(best.alias("_b"))
             .select(*keys, "distribution", "_b.alpha", "_b.persistence", "_b.beta", "_b.nu",
@@ -185,24 +186,20 @@ def grid_fit_numpy(samples: DataFrame, keys: list[str], grid: GarchGrid = DEFAUL
     import numpy as np
     import pandas as pd
 
-    from sigmaflow.operators.garch_kernel import grid_scan
+    from sigmaflow.operators.garch_kernel import best_index, grid_scan
 
     g = _grid_arrays(samples.sparkSession, grid, distributions)
     schema = _out_schema(samples, keys, FIT_FIELDS)
 
     def fit_one(rec: dict, r) -> list[dict]:
         ll, h = grid_scan(r, g)
-        ll_key = np.where(np.isfinite(ll), ll, -np.inf)
         rows = []
         for d in distributions:
             sel = np.flatnonzero(g["distribution"] == d)
             if keep_all:
                 chosen = sel
             else:
-                # arg-max of loglik, ties to the smallest (alpha, persistence, nu)
-                order = np.lexsort((-np.nan_to_num(g["nu"][sel]), -g["persistence"][sel],
-                                    -g["alpha"][sel], ll_key[sel]))
-                chosen = sel[order[-1:]]
+                chosen = sel[[best_index(ll[sel], g["alpha"][sel], g["persistence"][sel], g["nu"][sel])]]
             for i in chosen:
                 rows.append({**rec, "distribution": d, "alpha": g["alpha"][i],
                              "persistence": g["persistence"][i], "beta": g["beta"][i],
@@ -223,46 +220,43 @@ def grid_fit_numpy(samples: DataFrame, keys: list[str], grid: GarchGrid = DEFAUL
 
 
 MLE_FIELDS = ("alpha double, persistence double, beta double, nu double, loglik double, h_next double, "
-              "n_obs long, grid_loglik double, rounds int, se_alpha double, se_beta double, se_nu double, "
-              "p_alpha double, p_beta double, p_nu double")
+              "n_obs long, grid_loglik double, rounds int, converged boolean, at_bound boolean, "
+              "se_alpha double, se_beta double, se_nu double")
 
 
 def mle_fit_numpy(samples: DataFrame, keys: list[str], grid: GarchGrid = DEFAULT_GRID,
                   distributions: tuple[str, ...] = DISTRIBUTIONS, with_se: bool = True) -> DataFrame:
-    """Refined ML fit per sample and distribution: grid start, bounded pattern search,
-    then sandwich (robust) standard errors."""
-    import numpy as np
+    """Refined ML fit per sample and distribution: grid start, bounded search with shrinking
+    spacing, then sandwich (robust) standard errors.
+
+    ``converged`` is false only for a sample with a null return or without rows, whose fit is null.
+    """
     import pandas as pd
 
-    from sigmaflow.functions.stats import normal_two_sided_p
-    from sigmaflow.operators.garch_kernel import grid_scan, refine, robust_se
+    import numpy as np
+
+    from sigmaflow.operators.garch_kernel import best_index, grid_scan, refine, robust_se
 
     g = _grid_arrays(samples.sparkSession, grid, distributions)
     schema = _out_schema(samples, keys, MLE_FIELDS)
-    cols = [*keys, "distribution", "alpha", "persistence", "beta", "nu", "loglik", "h_next", "n_obs",
-            "grid_loglik", "rounds", "se_alpha", "se_beta", "se_nu", "p_alpha", "p_beta", "p_nu"]
+    cols = [*keys, "distribution", *(f.split()[0] for f in MLE_FIELDS.split(", "))]
 
     def fit_one(rec: dict, r) -> list[dict]:
         ll, _ = grid_scan(r, g)
         rows = []
         for d in distributions:
             sel = np.flatnonzero(g["distribution"] == d)
-            i = sel[int(np.argmax(np.where(np.isfinite(ll[sel]), ll[sel], -np.inf)))]
+            i = sel[best_index(ll[sel], g["alpha"][sel], g["persistence"][sel], g["nu"][sel])]
             student = d != "Normal"
-            theta, best_ll, h_next, rounds = refine(
+            theta, best, h_next, rounds, converged = refine(
                 r, g["alpha"][i], g["persistence"][i], g["nu"][i] if student else None)
-            se = [np.nan] * 3
-            pv = [np.nan] * 3
-            if with_se:
-                est, sd = robust_se(r, theta, student)
-                se[:len(sd)] = list(sd)
-                pv[:len(sd)] = list(normal_two_sided_p(est / sd))
-            rows.append({**rec, "distribution": d, "alpha": theta[0], "persistence": theta[1],
-                         "beta": theta[1] - theta[0], "nu": theta[2] if student else None,
-                         "loglik": best_ll, "h_next": h_next, "n_obs": len(r), "grid_loglik": ll[i],
-                         "rounds": rounds, "se_alpha": se[0], "se_beta": se[1],
-                         "se_nu": se[2] if student else None, "p_alpha": pv[0], "p_beta": pv[1],
-                         "p_nu": pv[2] if student else None})
+            row = {**rec, "distribution": d, "alpha": theta[0], "persistence": theta[1], "beta": theta[1] - theta[0],
+                   "nu": theta[2] if student else None, "loglik": best, "h_next": h_next, "n_obs": len(r),
+                   "grid_loglik": ll[i], "rounds": rounds, "converged": converged}
+            if with_se and converged:
+                se, row["at_bound"] = robust_se(r, theta, student)
+                row |= dict(zip(("se_alpha", "se_beta", "se_nu"), se, strict=False))
+            rows.append({c: None if isinstance(v := row.get(c), float) and np.isnan(v) else v for c in cols})
         return rows
 
     def run(batches):

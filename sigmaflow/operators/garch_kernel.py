@@ -15,6 +15,15 @@ import numpy as np
 from sigmaflow.config import MAX_PERSISTENCE, NU_BOUNDS
 
 LN_2PI = math.log(2 * math.pi)
+#: Steps of the recursion that one matrix product covers.
+BLOCK = 32
+# Fixed values of the refined search: first spacings of alpha, persistence and nu, how often they are
+# halved (the last spacing of alpha is below 1e-5), and the digits at which likelihoods are compared.
+FIRST_STEPS = (0.02, 0.02, 2.0)
+HALVINGS = 12
+COMPARED_DIGITS = 7
+# Finite differences of the robust standard errors: relative and least spacing.
+DIFF_REL, DIFF_LEAST = 1e-2, 1e-3
 
 
 def lgamma_vec(x: np.ndarray) -> np.ndarray:
@@ -57,9 +66,7 @@ def scan(r: np.ndarray, alpha: np.ndarray, beta: np.ndarray, nu: np.ndarray | No
         c = t_const(nu)[:, None]
         half_nu1 = ((nu + 1) / 2)[:, None]
         nu2 = (nu - 2)[:, None]
-    if block is None:  # keep the (G, L, L) block operator around 64k entries
-        block = 64 if g <= 16 else 32
-    L = max(1, min(block, n))
+    L = max(1, min(BLOCK if block is None else block, n))  # one length, so equal candidates sum alike
     i = np.arange(L)
     expo = i[:, None] - 1 - i[None, :]
     lower = expo >= 0
@@ -127,106 +134,83 @@ def _clip(theta: np.ndarray, student: bool) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def refine(r: np.ndarray, alpha0: float, persistence0: float, nu0: float | None,
-           max_rounds: int = 60, tol: float = 1e-6):
-    """Bounded pattern search in (alpha, persistence[, nu]) from a grid start.
+def best_index(ll: np.ndarray, alpha, persistence, nu) -> int:
+    """Arg-max of the likelihood at the compared digits; ties to the smallest (alpha, persistence, nu)."""
+    key = np.where(np.isfinite(ll), np.round(ll, COMPARED_DIGITS), -np.inf)
+    return int(np.lexsort((-np.nan_to_num(nu), -np.asarray(persistence), -np.asarray(alpha), key))[-1])
 
-    Each round evaluates the current point and its +-step neighbours on every
-    axis (and the diagonal corners) in one vectorised scan; a better point is
-    taken, otherwise the steps are halved.
+
+def refine(r: np.ndarray, alpha0: float, persistence0: float, nu0: float | None):
+    """Bounded grid search around the best point with shrinking spacing, in (alpha, persistence[, nu]).
+
+    Each round evaluates the current point and all its neighbours at the present spacing in
+    one vectorised scan. A better neighbour becomes the point, otherwise the spacing is halved; after
+    ``HALVINGS`` halvings the fit has converged. Every move raises the likelihood by a unit of the compared
+    digits or more, so the search ends by itself. Returns theta, loglik, h_next, rounds, converged.
     """
     student = nu0 is not None
     cur = np.array([alpha0, persistence0] + ([nu0] if student else []), dtype=float)
-    step = np.array([0.02, 0.02] + ([2.0] if student else []))
-    dims = len(cur)
-    offsets = [np.zeros(dims)]
-    for i in range(dims):
-        for s in (-1, 1):
-            e = np.zeros(dims)
-            e[i] = s
-            offsets.append(e)
-    for s1 in (-1, 1):
-        for s2 in (-1, 1):
-            e = np.zeros(dims)
-            e[0], e[1] = s1, s2
-            offsets.append(e)
-    offsets = np.array(offsets)
+    if not len(r) or not np.isfinite(r).all():
+        return np.full(len(cur), np.nan), np.nan, np.nan, 0, False
+    first = np.array(FIRST_STEPS[: len(cur)])
+    offsets = np.stack(np.meshgrid(*[[-1, 0, 1]] * len(cur), indexing="ij"), axis=-1).reshape(-1, len(cur))
 
     def evaluate(thetas):
         thetas = _clip(thetas, student)
-        a, p = thetas[:, 0], thetas[:, 1]
-        ll, h, _ = scan(r, a, p - a, thetas[:, 2] if student else None)
+        ll, h, _ = scan(r, thetas[:, 0], thetas[:, 1] - thetas[:, 0], thetas[:, 2] if student else None)
         return thetas, ll, h
 
-    best_theta, ll, h = evaluate(cur[None, :])
-    best_theta, best_ll, best_h = best_theta[0], ll[0], h[0]
-    rounds = 0
-    while rounds < max_rounds and step[:2].max() > tol:
+    cur, ll, h = (x[0] for x in evaluate(cur[None, :]))
+    rounds = halved = 0
+    while halved < HALVINGS and np.isfinite(ll):
         rounds += 1
-        thetas, ll, h = evaluate(best_theta[None, :] + offsets * step[None, :])
-        ll = np.where(np.isfinite(ll), ll, -np.inf)
-        i = int(np.argmax(ll))
-        if ll[i] > best_ll + 1e-12:
-            best_theta, best_ll, best_h = thetas[i], ll[i], h[i]
+        thetas, lls, hs = evaluate(cur[None, :] + offsets * (first / 2**halved)[None, :])
+        i = best_index(lls, thetas[:, 0], thetas[:, 1], thetas[:, 2] if student else np.zeros(len(lls)))
+        if np.round(lls[i], COMPARED_DIGITS) > np.round(ll, COMPARED_DIGITS):
+            cur, ll, h = thetas[i], lls[i], hs[i]
         else:
-            step = step / 2
-    return best_theta, best_ll, best_h, rounds
+            halved += 1
+    return cur, ll, h, rounds, bool(np.isfinite(ll))
 
 
-def robust_se(r: np.ndarray, theta: np.ndarray, student: bool, rel: float = 1e-4):
-    """Sandwich standard errors for (alpha, beta[, nu]): H^-1 (S'S) H^-1.
+def robust_se(r: np.ndarray, theta: np.ndarray, student: bool):
+    """Sandwich standard errors of (alpha, beta[, nu]): H^-1 (S'S) H^-1, and whether a bound is near.
 
     H is the numerical Hessian of the total log-likelihood, S the matrix of
-    per-observation scores (central differences).
+    per-observation scores (central differences). Near alpha = 0 or beta = 0 the differences would leave
+    the parameter space; they are then taken at the nearest point that has room, and the fit is
+    marked ``at_bound``, as it is at the bounds of persistence and nu: the usual theory does not hold there.
     """
-    a, p = theta[0], theta[1]
-    params = np.array([a, p - a] + ([theta[2]] if student else []), dtype=float)
+    params = np.array([theta[0], theta[1] - theta[0]] + ([theta[2]] if student else []), dtype=float)
     k = len(params)
-    d = np.maximum(np.abs(params) * rel, 1e-6)
-    pts = [params.copy()]
-    for i in range(k):
-        for s in (1, -1):
-            q = params.copy()
-            q[i] += s * d[i]
-            pts.append(q)
+    d = np.maximum(np.abs(params) * DIFF_REL, DIFF_LEAST)
+    centre = np.maximum(params, 2 * d)
+    at_bound = bool((centre != params).any() or theta[1] >= MAX_PERSISTENCE
+                    or (student and not NU_BOUNDS[0] < theta[2] < NU_BOUNDS[1]))
+    unit = np.eye(k, dtype=int)
+    moves = [np.zeros(k, int)]
+    place = {}
     for i in range(k):
+        for m in (1, -1, 2, -2):
+            place[i, m] = len(moves)
+            moves.append(m * unit[i])
         for j in range(i + 1, k):
-            for si in (1, -1):
-                for sj in (1, -1):
-                    q = params.copy()
-                    q[i] += si * d[i]
-                    q[j] += sj * d[j]
-                    pts.append(q)
-    for i in range(k):
-        for s in (2, -2):
-            q = params.copy()
-            q[i] += s * d[i]
-            pts.append(q)
-    P = np.array(pts)
-    ll, _, terms = scan(r, P[:, 0], P[:, 1], P[:, 2] if student else None, keep_terms=True)
-    idx = {tuple(np.round(row, 15)): n for n, row in enumerate(P)}
-
-    def at(delta):
-        q = params + delta * d
-        return idx[tuple(np.round(q, 15))]
-
-    scores = np.empty((len(r), k))
-    H = np.empty((k, k))
+            for a, b in ((1, 1), (1, -1), (-1, 1), (-1, -1)):
+                place[i, j, a, b] = len(moves)
+                moves.append(a * unit[i] + b * unit[j])
+    points = centre + np.array(moves) * d
+    ll, _, terms = scan(r, points[:, 0], points[:, 1], points[:, 2] if student else None, keep_terms=True)
+    scores, hess = np.empty((len(r), k)), np.empty((k, k))
     for i in range(k):
-        e = np.zeros(k)
-        e[i] = 1
-        scores[:, i] = (terms[:, at(e)] - terms[:, at(-e)]) / (2 * d[i])
-        H[i, i] = (ll[at(2 * e)] - 2 * ll[0] + ll[at(-2 * e)]) / (4 * d[i] ** 2)
+        scores[:, i] = (terms[:, place[i, 1]] - terms[:, place[i, -1]]) / (2 * d[i])
+        hess[i, i] = (ll[place[i, 2]] - 2 * ll[0] + ll[place[i, -2]]) / (4 * d[i] ** 2)
         for j in range(i + 1, k):
-            f = np.zeros(k)
-            f[j] = 1
-            H[i, j] = H[j, i] = (ll[at(e + f)] - ll[at(e - f)] - ll[at(-e + f)] + ll[at(-e - f)]) / (
-                4 * d[i] * d[j])
-    B = scores.T @ scores
+            cross = ll[place[i, j, 1, 1]] - ll[place[i, j, 1, -1]] - ll[place[i, j, -1, 1]] + ll[place[i, j, -1, -1]]
+            hess[i, j] = hess[j, i] = cross / (4 * d[i] * d[j])
     try:
-        Hi = np.linalg.inv(H)
-        V = Hi @ B @ Hi
-        se = np.sqrt(np.where(np.diag(V) >= 0, np.diag(V), np.nan))
+        inv = np.linalg.inv(hess)
+        var = np.diag(inv @ (scores.T @ scores) @ inv)
+        se = np.sqrt(np.where(var >= 0, var, np.nan))
     except np.linalg.LinAlgError:
         se = np.full(k, np.nan)
-    return params, se
+    return se, at_bound

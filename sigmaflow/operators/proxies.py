@@ -9,6 +9,7 @@ from sigmaflow.config import Params
 from sigmaflow.functions.columns import floor_bar, recode
 from sigmaflow.operators.timeseries import out_of_sample
 
+# Display labels of the proxies.
 PROXY_LABELS = {"realized_variance": "Realized Variance", "squared_return": "Squared Return"}
 
 

@@ -111,13 +111,19 @@ def window_arrays(windows: DataFrame, arrays: DataFrame) -> DataFrame:
 
 
 def window_rows(windows: DataFrame, returns: DataFrame, days: DataFrame) -> DataFrame:
-    """Row count and sum of squares of each window's fit sample (the time slice)."""
-    per_day = (returns.groupBy("series", "day")
-               .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("return") * F.col("return")).alias("_ss"))
-               .join(days.select("series", "day", "day_idx"), ["series", "day"], "inner"))
-    return (window_days(windows).join(per_day, ["series", "day_idx"], "inner")
-            .groupBy("series", "window_id")
-            .agg(F.sum("_n").cast("long").alias("n_rows"), F.sum("_ss").alias("sum_sq")))
+    """Row count and sum of squares of each window's fit sample (the time slice).
+
+    Running sums over the day table, taken at both ends of a window; no window is expanded to its days.
+    """
+    upto = Window.partitionBy("series").orderBy("day_idx").rowsBetween(Window.unboundedPreceding, 0)
+    per_day = (returns.groupBy("series", "day").agg(F.sum(F.col("return") * F.col("return")).alias("_ss"))
+               .join(days.select("series", "day", "day_idx"), ["series", "day"], "inner")
+               .select("series", "day_idx", F.sum(F.coalesce("_ss", F.lit(0.0))).over(upto).alias("_cum"),
+                       F.coalesce("_ss", F.lit(0.0)).alias("_ss")))
+    first = per_day.select("series", F.col("day_idx").alias("fit_first_idx"), (F.col("_cum") - F.col("_ss")).alias("_before"))
+    last = per_day.select("series", F.col("day_idx").alias("fit_last_idx"), F.col("_cum").alias("_upto"))
+    return (windows.join(first, ["series", "fit_first_idx"]).join(last, ["series", "fit_last_idx"])
+            .select("series", "window_id", F.col("n_fit").alias("n_rows"), (F.col("_upto") - F.col("_before")).alias("sum_sq")))
 
 
 def window_blocks(windows: DataFrame, arrays: DataFrame, windows_per_block: int = 16) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmaflow.config import DEFAULT_GRID, DISTRIBUTIONS, GarchGrid, Params
+from sigmaflow.functions.stats import normal_two_sided_sql, significant_sql
 from sigmaflow.operators import garch as G
 from sigmaflow.operators import windows as W
 
@@ -94,12 +95,12 @@ COEF_NAMES = ("alpha", "beta", "nu")
 def coefficient_table(fits: DataFrame, sampling: str) -> DataFrame:
     """Robust coefficient matrix rows: estimate, robust std error, t value, p value (normal).
 
-    The fixed omega row is not reported; nu only for Student-t.
+    The fixed omega row is not reported; nu only for Student-t. Standard errors come from finite differences
+    of the likelihood, which define about six digits of them; they and the t values are given at four.
     """
     rows = F.array(*[F.struct(F.lit(c).alias("coefficient"), F.col(c).alias("estimate"),
-                              F.col(f"se_{c}").alias("robust_se"), F.col(f"p_{c}").alias("p_value"))
-                     for c in COEF_NAMES])
-    out = fits.select("series", "distribution", F.inline(rows)).where(F.col("estimate").isNotNull())
-    return out.select("series", F.lit(sampling).alias("sampling"), "distribution", "coefficient",
-                      "estimate", "robust_se",
-                      F.try_divide(F.col("estimate"), F.col("robust_se")).alias("t_value"), "p_value")
+                              F.col(f"se_{c}").alias("robust_se")) for c in COEF_NAMES])
+    out = fits.select("series", "distribution", "converged", "at_bound", F.inline(rows)).where(F.col("estimate").isNotNull())
+    out = out.withColumn("t_value", F.try_divide(F.col("estimate"), F.col("robust_se")))
+    return out.select("series", F.lit(sampling).alias("sampling"), "distribution", "coefficient", "estimate",
+                      F.expr(significant_sql("robust_se")).alias("robust_se"), F.expr(significant_sql("t_value")).alias("t_value"), F.expr(normal_two_sided_sql("t_value")).alias("p_value"), "converged", "at_bound")

@@ -11,7 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigmaflow.config import DAILY_PARAMS, DEFAULT_KNOBS, TICK_PARAMS, Params, ScaleKnobs
+from sigmaflow.config import DEFAULT_KNOBS, TICK_PARAMS, Params, ScaleKnobs
 from sigmaflow.operators import proxies as px
 from sigmaflow.operators import timeseries as ts
 from sigmaflow.session import materialize
@@ -31,7 +31,7 @@ class TickInputs:
 
     @cached_property
     def ticks(self) -> DataFrame:
-        return ticks(self.spark, self.sf_dir, self.params)
+        return ticks(self.spark, self.sf_dir)
 
     @cached_property
     def bar_summary(self) -> DataFrame:
@@ -78,8 +78,8 @@ class TickInputs:
         return px.squared_daily_return(self.returns_daily, self.params)
 
 
-def tick_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks(spark, sf_dir, TICK_PARAMS)
+def tick_prices(spark: SparkSession, sf_dir: str, params: Params | None = None) -> DataFrame:
+    return ticks(spark, sf_dir, params)
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,15 +90,10 @@ def returns_5min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.log_returns(bars(spark, sf_dir), bucket="day")
 
 
-def returns_5min_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ts.replace_outliers(returns_5min(spark, sf_dir))
-
-
 def returns_daily_from_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.daily_returns(tick_prices(spark, sf_dir))
 
 
-def returns_daily_orders(spark: SparkSession, sf_dir: str, params: Params = DAILY_PARAMS,
-                         knobs: ScaleKnobs = DEFAULT_KNOBS) -> DataFrame:
+def returns_daily_orders(spark: SparkSession, sf_dir: str, knobs: ScaleKnobs = DEFAULT_KNOBS) -> DataFrame:
     """Long daily series (one price per day and order priority) for daily GARCH fits."""
-    return _keep(ts.daily_returns(daily_prices(spark, sf_dir, params)), "returns-daily-orders", knobs)
+    return _keep(ts.daily_returns(daily_prices(spark, sf_dir)), "returns-daily-orders", knobs)

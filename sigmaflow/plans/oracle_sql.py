@@ -24,11 +24,13 @@ def R(col: str, digits: int = 6, alias: str | None = None) -> str:
 
 
 T0, T1, TO = _ts(TICK_PARAMS.start), _ts(TICK_PARAMS.end), _day(TICK_PARAMS.origin_day)
-D0, D1, DO = _ts(DAILY_PARAMS.start), _ts(DAILY_PARAMS.end), _day(DAILY_PARAMS.origin_day)
+DO = _day(DAILY_PARAMS.origin_day)
 
 TICKS = f"""ticks AS (
   SELECT event_type AS series, ts AS date, value AS adjusted, event_id AS tick_id
-  FROM events WHERE value > 0 AND ts BETWEEN {T0} AND {T1})"""
+  FROM events WHERE (value IS NULL OR value > 0))"""
+
+TICKS_IN_RANGE = TICKS.replace("(value IS NULL OR value > 0)", f"(value IS NULL OR value > 0) AND ts BETWEEN {T0} AND {T1}")
 
 BARS = """bars AS (
   SELECT series, time_bucket(INTERVAL '5 minutes', date) AS bar,
@@ -55,7 +57,7 @@ dret AS (
 
 ORDERS_DRET = f"""oprices AS (
   SELECT o_orderpriority AS series, o_orderdate AS date, o_totalprice AS adjusted, o_orderkey AS tick_id
-  FROM orders WHERE o_orderdate BETWEEN {D0} AND {D1} AND o_totalprice > 0),
+  FROM orders WHERE (o_totalprice IS NULL OR o_totalprice > 0)),
 oclose AS (
   SELECT series, CAST(CAST(date AS DATE) AS TIMESTAMP) AS day,
          max(date) AS date, arg_max(adjusted, (date, tick_id)) AS adjusted
@@ -89,9 +91,12 @@ def with_(*ctes: str) -> str:
 
 SQL: dict[str, str] = {}
 
-SQL["clean_prices"] = with_(TICKS) + "SELECT series, date, round(adjusted, 6) AS adjusted FROM ticks"
+SQL["clean_prices"] = with_(TICKS_IN_RANGE) + "SELECT series, date, round(adjusted, 6) AS adjusted FROM ticks"
+# the raw layout holds whole epoch seconds
 SQL["scan_csv_roundtrip"] = with_(TICKS) + (
-    "SELECT series, date_trunc('second', date) AS date, round(adjusted, 6) AS adjusted FROM ticks")
+    "SELECT series, date_trunc('second', date) AS date, round(adjusted, 6) AS adjusted FROM ticks "
+    f"WHERE date_trunc('second', date) BETWEEN {T0} AND {T1}")
+SQL["scan_cleaned_csv_roundtrip"] = with_(TICKS) + "SELECT series, date, round(adjusted, 6) AS adjusted FROM ticks"
 SQL["resample_5min"] = with_(TICKS, BARS) + "SELECT series, bar, date, round(adjusted, 6) AS adjusted FROM bars"
 SQL["scan_parquet_roundtrip"] = SQL["resample_5min"]
 SQL["daily_close"] = with_(TICKS, BARS) + """SELECT series, CAST(CAST(date AS DATE) AS TIMESTAMP) AS day,
@@ -113,6 +118,8 @@ SQL["outlier_replace"] = with_(TICKS, BARS, RET5, OUTLIER) + (
 SQL["oos_count"] = with_(TICKS, BARS, RET5) + f"""SELECT series,
   count(*) FILTER (WHERE day > {TO}) AS n_out_sample,
   count(*) FILTER (WHERE day <= {TO}) AS n_in_sample FROM ret5 GROUP BY 1"""
+SQL["oos_strict"] = with_(TICKS, BARS, RET5) + (
+    f"""SELECT series, day, date, {R('"return"', alias='"return"')} FROM ret5 WHERE date > {_ts(TICK_PARAMS.forecast_start)}""")
 SQL["realized_variance"] = with_(TICKS, BARS, RET5, DRET, RV) + (
     f"SELECT series, day, date, {R('realized_variance')} FROM rv")
 SQL["squared_daily_return"] = with_(TICKS, BARS, RET5, DRET, RV) + (
@@ -140,7 +147,7 @@ SELECT series, type, date, round(adjusted, 6) AS adjusted, round("return", 6) AS
   round("return" * "return", 6) AS squared_return, round(abs("return"), 6) AS abs_return FROM allr"""
 
 # ---------------------------------------------------------------- evaluation
-from sigmaflow.functions.stats import t_tail_sql  # noqa: E402
+from sigmaflow.functions.stats import normal_two_sided_sql, significant_sql, t_tail_sql  # noqa: E402
 from sigmaflow.plans.evaluation import (  # noqa: E402
     DIST_LABELS,
     FILTER_LABELS,
@@ -197,15 +204,15 @@ perf3 AS (
 EVAL_BASE = (TICKS, BARS, RET5, DRET, RV, OUTLIER, NAIVE, PERF)
 GRP = "series, distribution, forc_style"
 
-SQL["all_forecasts"] = with_(*EVAL_BASE) + (
+SQL["naive_all_forecasts"] = with_(*EVAL_BASE) + (
     f"SELECT {GRP}, day, {R('daily_variance_forecast')} FROM fc")
-SQL["performance_data"] = with_(*EVAL_BASE) + f"""SELECT {GRP}, day, {R('daily_variance_forecast')},
+SQL["naive_performance_data"] = with_(*EVAL_BASE) + f"""SELECT {GRP}, day, {R('daily_variance_forecast')},
   {R('realized_variance')}, {R('squared_return')} FROM perf"""
-SQL["performance_data_filtered"] = with_(*EVAL_BASE) + f"""SELECT {GRP}, day,
+SQL["naive_performance_data_filtered"] = with_(*EVAL_BASE) + f"""SELECT {GRP}, day,
   {R('daily_variance_forecast')}, {R('realized_variance')}, {R('squared_return')} FROM perf3"""
 
 
-def _compare_sql(where: str, key: str, keep: str, values: list[str], labels: dict[str, str]) -> str:
+def _compare_sql(where: str, key: str, keep: str, values: list[str], labels: dict[str, str], ctes: tuple = EVAL_BASE) -> str:
     base = f"""cmp AS (
   SELECT f.series, f.day, f.{keep}, f.{key} AS k, f.daily_variance_forecast AS v, rv.realized_variance
   FROM fc f LEFT JOIN rv ON f.series = rv.series AND f.day = rv.day WHERE {where}),
@@ -217,18 +224,19 @@ lng AS (
   {" UNION ALL ".join(f"SELECT series, day, {keep}, '{v}' AS metric, \"{v}\" AS variance_estimate FROM wide" for v in values)}
   UNION ALL SELECT series, day, {keep}, 'realized_variance' AS metric, realized_variance AS variance_estimate FROM wide)"""
     case = "CASE metric " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in labels.items()) + " ELSE metric END"
-    return with_(*EVAL_BASE, base) + (
+    return with_(*ctes, base) + (
         f"SELECT series, day, {keep}, {case} AS metric, {R('variance_estimate')} FROM lng")
 
 
-SQL["compare_styles_long"] = _compare_sql(
-    "f.distribution = 'Normal' AND f.forc_style IN ('5min', 'daily')", "forc_style", "distribution",
-    ["5min", "daily"], STYLE_LABELS_NORMAL)
-SQL["compare_dists_long"] = _compare_sql(
-    "f.forc_style = '5min'", "distribution", "forc_style", ["Normal", "Student-t"], DIST_LABELS)
-SQL["compare_filtered_long"] = _compare_sql(
-    "f.distribution = 'Normal' AND f.forc_style IN ('5min', '5min_filtered')", "forc_style", "distribution",
-    ["5min", "5min_filtered"], FILTER_LABELS)
+COMPARE = {
+    "compare_styles_long": ("f.distribution = 'Normal' AND f.forc_style IN ('5min', 'daily')", "forc_style", "distribution",
+                            ["5min", "daily"], STYLE_LABELS_NORMAL),
+    "compare_dists_long": ("f.forc_style = '5min'", "distribution", "forc_style", ["Normal", "Student-t"], DIST_LABELS),
+    "compare_filtered_long": ("f.distribution = 'Normal' AND f.forc_style IN ('5min', '5min_filtered')", "forc_style", "distribution",
+                              ["5min", "5min_filtered"], FILTER_LABELS),
+}
+for _name, _args in COMPARE.items():
+    SQL[f"naive_{_name}"] = _compare_sql(*_args)
 
 
 def _metrics_sql(src: str, proxy: str) -> str:
@@ -240,8 +248,8 @@ def _metrics_sql(src: str, proxy: str) -> str:
 FROM {src} GROUP BY {GRP}"""
 
 
-SQL["error_metrics_rv"] = _metrics_sql("perf3", "realized_variance")
-SQL["error_metrics_sqret"] = _metrics_sql("perf3", "squared_return")
+SQL["naive_error_metrics_rv"] = _metrics_sql("perf3", "realized_variance")
+SQL["naive_error_metrics_sqret"] = _metrics_sql("perf3", "squared_return")
 
 
 def _ols_cte(src: str, y: str, x: str, group: str) -> str:
@@ -284,10 +292,10 @@ SELECT {group}, {R('r_squared')},
   {R('sse', alias='deviance')}, df_residual, n AS nobs FROM g"""
 
 
-SQL["mz_tidy_rv"] = _tidy_sql("perf3", "realized_variance")
-SQL["mz_tidy_sqret"] = _tidy_sql("perf3", "squared_return")
-SQL["mz_glance_rv"] = _glance_sql("perf3", "realized_variance")
-SQL["mz_glance_sqret"] = _glance_sql("perf3", "squared_return")
+SQL["naive_mz_tidy_rv"] = _tidy_sql("perf3", "realized_variance")
+SQL["naive_mz_tidy_sqret"] = _tidy_sql("perf3", "squared_return")
+SQL["naive_mz_glance_rv"] = _glance_sql("perf3", "realized_variance")
+SQL["naive_mz_glance_sqret"] = _glance_sql("perf3", "squared_return")
 
 METRIC_ROWS = [(k, i + 1, v) for i, (k, v) in enumerate(METRIC_LABELS.items())]
 
@@ -330,9 +338,9 @@ tab AS (
 
 
 _MAIN = {"5min": "five_min", "daily": "daily", "5min_no_outlier": "five_min_no_outlier"}
-SQL["result_table"] = _result_sql("perf", _MAIN)
-SQL["result_table_filtered"] = _result_sql("perf3", {"5min_filtered": "five_min_filtered"})
-SQL["result_table_display"] = _result_sql("perf", _MAIN, display=True)
+SQL["naive_result_table"] = _result_sql("perf", _MAIN)
+SQL["naive_result_table_filtered"] = _result_sql("perf3", {"5min_filtered": "five_min_filtered"})
+SQL["naive_result_table_display"] = _result_sql("perf", _MAIN, display=True)
 
 # ---------------------------------------------------------------- ACF
 DBRET = """dbar AS (
@@ -423,7 +431,7 @@ def _lls(px: str = "") -> str:
   SELECT series, window_id, distribution,
          arg_max({{'alpha': alpha, 'persistence': persistence, 'beta': beta, 'nu': nu,
                    'loglik': fit.ll, 'h_next': fit.h, 'n_obs': n_obs}},
-                 (fit.ll, -alpha, -persistence, -coalesce(nu, 0))) AS b
+                 (round(fit.ll, 7), -alpha, -persistence, -coalesce(nu, 0))) AS b
   FROM {px}lls GROUP BY 1, 2, 3),
 {px}fits AS (
   SELECT series, window_id, distribution, b.alpha AS alpha, b.persistence AS persistence, b.beta AS beta,
@@ -508,8 +516,10 @@ def _roll_ctes(src: str, origin: str, style: str, px: str) -> tuple[str, ...]:
     return _days(src, origin, px), samples, _lls(px), fc
 
 
-def _roll_sql(base: tuple[str, ...], src: str, origin: str, style: str) -> str:
-    return with_(*base, _grid_cte(), *_roll_ctes(src, origin, style, "")) + """SELECT series, distribution,
+def _roll_sql(base: tuple[str, ...], src: str, origin: str, style: str, refined: bool = False) -> str:
+    ctes = _roll_ctes(src, origin, style, "")
+    start = with_(*base, _grid_cte(), *(_roll_mle(ctes, "") if refined else ctes))
+    return (start.replace("WITH ", "WITH RECURSIVE ", 1) if refined else start) + """SELECT series, distribution,
   forc_style, day, CAST(window_id AS BIGINT) AS window_id, round(alpha, 6) AS alpha, round(beta, 6) AS beta,
   round(nu, 6) AS nu, round(loglik, 4) AS loglik, round(daily_variance_forecast, 6) AS daily_variance_forecast
 FROM fc"""
@@ -531,7 +541,159 @@ GARCH_BASE = (TICKS, BARS, RET5, DRET, RV, OUTLIER) + GARCH_FC + (PERF,)
 SQL["garch_all_forecasts"] = with_(*GARCH_BASE) + f"SELECT {GRP}, day, {R('daily_variance_forecast')} FROM fc"
 SQL["garch_performance_data"] = with_(*GARCH_BASE) + f"""SELECT {GRP}, day, {R('daily_variance_forecast')},
   {R('realized_variance')}, {R('squared_return')} FROM perf"""
+SQL["garch_performance_data_filtered"] = with_(*GARCH_BASE) + f"""SELECT {GRP}, day,
+  {R('daily_variance_forecast')}, {R('realized_variance')}, {R('squared_return')} FROM perf3"""
 SQL["garch_result_table"] = _result_sql("perf", _MAIN, base=GARCH_BASE)
+SQL["garch_result_table_filtered"] = _result_sql("perf3", {"5min_filtered": "five_min_filtered"}, base=GARCH_BASE)
+for _name, _args in COMPARE.items():
+    SQL[f"garch_{_name}"] = _compare_sql(*_args, ctes=GARCH_BASE)
+# ---- refined fits: the same search, one round per step of the recursion
+
+
+def _ll_of(r: str, h1: str, dist: str, a: str, b: str, nu: str) -> str:
+    """Likelihood and next variance of one parameter point."""
+    c = f"(lgamma(({nu} + 1) / 2) - lgamma({nu} / 2) - 0.5 * ln(pi() * ({nu} - 2)))"
+    return (f"list_reduce({r}, lambda st, x: {{'h': {a} * x * x + {b} * st.h, 'll': st.ll + CASE WHEN {dist} = 'Normal' "
+            f"THEN -0.5 * ({LN2PI} + ln(st.h) + x * x / st.h) ELSE -0.5 * ln(st.h) - ({nu} + 1) / 2 * ln(1 + x * x / (st.h * ({nu} - 2))) END}}, "
+            f"{{'h': {h1}, 'll': CASE WHEN {dist} = 'Normal' THEN CAST(0 AS DOUBLE) ELSE len({r}) * {c} END}})")
+
+
+def _refined(px: str = "") -> str:
+    """CTE ``{px}mle``: the refined fit of every grid fit."""
+    clip_a = "greatest(least(alpha + o.a * 0.02 / pow(2, halved), 0.999), 0)"
+    clip_p = "greatest(least(persistence + o.p * 0.02 / pow(2, halved), 0.999), 0)"
+    clip_n = "CASE WHEN nu IS NULL THEN NULL ELSE greatest(least(nu + o.n * 2.0 / pow(2, halved), 100.0), 2.1) END"
+    ll = _ll_of("r", "h1", "distribution", "t.a", "(t.p - t.a)", "coalesce(t.n, 10.0)")
+    return f"""{px}start AS (
+  SELECT f.series, f.window_id, f.distribution, f.loglik AS grid_loglik, f.n_obs, s.r, f.alpha, f.persistence, f.nu, f.loglik AS ll, f.h_next,
+         list_reduce(s.r, lambda acc, x: acc + x * x, CAST(0 AS DOUBLE)) / len(s.r) AS h1
+  FROM {px}fits f JOIN {px}samples s USING (series, window_id)),
+{px}search AS (
+  SELECT series, window_id, distribution, grid_loglik, n_obs, r, h1, alpha, persistence, nu, ll, h_next, CAST(0 AS INTEGER) AS halved, CAST(0 AS INTEGER) AS rounds FROM {px}start
+  UNION ALL
+  SELECT series, window_id, distribution, grid_loglik, n_obs, r, h1,
+    CASE WHEN better THEN best.t.a ELSE alpha END, CASE WHEN better THEN best.t.p ELSE persistence END, CASE WHEN better THEN best.t.n ELSE nu END,
+    CASE WHEN better THEN best.f.ll ELSE ll END, CASE WHEN better THEN best.f.h ELSE h_next END,
+    CAST(CASE WHEN better THEN halved ELSE halved + 1 END AS INTEGER), rounds + 1
+  FROM (SELECT *, round(best.f.ll, 7) > round(ll, 7) AS better FROM (
+    SELECT *, list_reduce(list_transform(
+        list_transform(CASE WHEN distribution = 'Normal' THEN {_offsets(False)} ELSE {_offsets(True)} END,
+          lambda o: {{'a': least({clip_a}, {clip_p}), 'p': {clip_p}, 'n': {clip_n}}}),
+        lambda t: {{'t': t, 'f': {ll}}}),
+      lambda u, v: CASE WHEN (round(v.f.ll, 7), -v.t.a, -v.t.p, -coalesce(v.t.n, 0)) > (round(u.f.ll, 7), -u.t.a, -u.t.p, -coalesce(u.t.n, 0)) THEN v ELSE u END) AS best
+    FROM {px}search WHERE halved < 12))),
+{px}mle AS (
+  SELECT series, window_id, distribution, grid_loglik, n_obs, r, h1, alpha, persistence, persistence - alpha AS beta, nu, ll AS loglik, h_next, rounds
+  FROM {px}search WHERE halved = 12)"""
+
+
+def _offsets(student: bool) -> str:
+    cells = [(a, p, n) for a in (-1, 0, 1) for p in (-1, 0, 1) for n in ((-1, 0, 1) if student else (0,))]
+    return "[" + ", ".join(f"{{'a': {a}, 'p': {p}, 'n': {n}}}" for a, p, n in cells) + "]"
+
+
+def _mle_base(base: tuple[str, ...], src: str, origin: str) -> str:
+    return with_(*base, _in_sample(src, origin), _grid_cte(), LLS, _refined()).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+MLE_COLS = ("series, '{s}' AS sampling, distribution, round(alpha, 6) AS alpha, round(persistence, 6) AS persistence, round(beta, 6) AS beta, "
+            "round(nu, 6) AS nu, round(loglik, 6) AS loglik, round(grid_loglik, 6) AS grid_loglik, round(h_next, 6) AS h_next, n_obs, rounds, true AS converged")
+
+
+def _both_samplings(select) -> str:
+    """The 5-minute and the daily models, each a statement of its own."""
+    five = _mle_base(INTRA, "ret5", TO) + select("5min")
+    day = _mle_base(DAILY, "oret", DO) + select("daily")
+    return f"SELECT * FROM ({five}) UNION ALL SELECT * FROM ({day})"
+
+
+SQL["garch_mle_fit"] = _both_samplings(lambda s: f"SELECT {MLE_COLS.format(s=s)} FROM mle")
+
+
+def _sandwich(student: bool) -> str:
+    """CTE: robust standard errors of one distribution, in closed form."""
+    names = ("a", "b", "n")[: 3 if student else 2]
+    k = len(names)
+
+    def point(move: dict[str, int]) -> dict[str, str]:
+        return {x: f"(c{x} + {move.get(x, 0)} * d{x})" if x in names else "10.0" for x in ("a", "b", "n")}
+
+    def ll(**move) -> str:
+        p = point(move)
+        return _ll_of("r", "h1", "distribution", p["a"], p["b"], p["n"]) + ".ll"
+
+    def term(h: str, nu: str) -> str:
+        if not student:
+            return f"(-0.5 * (ln({h}) + x * x / {h}))"
+        return (f"(lgamma(({nu} + 1) / 2) - lgamma({nu} / 2) - 0.5 * ln(pi() * ({nu} - 2)) - 0.5 * ln({h}) "
+                f"- ({nu} + 1) / 2 * ln(1 + x * x / ({h} * ({nu} - 2))))")
+
+    # one scan carries the variances at the moved points, and sums the products of the scores
+    paths = {"h0": {}, "ap": {"a": 1}, "am": {"a": -1}, "bp": {"b": 1}, "bm": {"b": -1}}
+    step = {f: f"{point(m)['a']} * x * x + {point(m)['b']} * st.{f}" for f, m in paths.items()}
+    score = {"a": f"(({term('st.ap', 'cn')} - {term('st.am', 'cn')}) / (2 * da))", "b": f"(({term('st.bp', 'cn')} - {term('st.bm', 'cn')}) / (2 * db))",
+             "n": f"(({term('st.h0', '(cn + dn)')} - {term('st.h0', '(cn - dn)')}) / (2 * dn))"}
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = {f"s{names[i]}{names[j]}": f"st.s{names[i]}{names[j]} + {score[names[i]]} * {score[names[j]]}" for i, j in pairs}
+    state = ", ".join(f"'{f}': {e}" for f, e in {**step, **sums}.items())
+    init = ", ".join([*(f"'{f}': h1" for f in step), *(f"'{f}': CAST(0 AS DOUBLE)" for f in sums)])
+    hess = {}
+    for i, j in pairs:
+        a, b = names[i], names[j]
+        if i == j:
+            hess[i, j] = f"({ll(**{a: 2})} - 2 * {ll()} + {ll(**{a: -2})}) / (4 * d{a} * d{a})"
+        else:
+            hess[i, j] = f"({ll(**{a: 1, b: 1})} - {ll(**{a: 1, b: -1})} - {ll(**{a: -1, b: 1})} + {ll(**{a: -1, b: -1})}) / (4 * d{a} * d{b})"
+    h = {(i, j): f"h{min(i, j)}{max(i, j)}" for i in range(k) for j in range(k)}
+    if k == 2:
+        det = f"({h[0, 0]} * {h[1, 1]} - {h[0, 1]} * {h[0, 1]})"
+        inv = {(0, 0): f"({h[1, 1]} / det)", (0, 1): f"(-{h[0, 1]} / det)", (1, 1): f"({h[0, 0]} / det)"}
+    else:
+        def minor(i, j):
+            r, c = [x for x in range(3) if x != i], [x for x in range(3) if x != j]
+            return f"({h[r[0], c[0]]} * {h[r[1], c[1]]} - {h[r[0], c[1]]} * {h[r[1], c[0]]})"
+        det = f"({h[0, 0]} * {minor(0, 0)} - {h[0, 1]} * {minor(0, 1)} + {h[0, 2]} * {minor(0, 2)})"
+        inv = {(i, j): f"({'-' if (i + j) % 2 else ''}{minor(i, j)} / det)" for i, j in pairs}
+    g = lambda i, j: inv[min(i, j), max(i, j)]
+    b = lambda i, j: f"z.s{names[min(i, j)]}{names[max(i, j)]}"
+    var = [" + ".join(f"{g(m, i)} * {b(i, j)} * {g(j, m)}" for i in range(k) for j in range(k)) for m in range(k)]
+    ses = [f"CASE WHEN ({v}) >= 0 THEN sqrt({v}) END AS se_{n}" for v, n in zip(var, ("alpha", "beta", "nu"), strict=False)] + ([] if student else ["NULL::DOUBLE AS se_nu"])
+    dist, px = ("Student-t", "t") if student else ("Normal", "n")
+    room = " OR ".join(f"c{x} <> {p}" for x, p in zip(names, ("alpha", "beta", "nu"), strict=False))
+    bounds = " OR NOT (nu > 2.1 AND nu < 100)" if student else ""
+    return f"""{px}1 AS (
+  SELECT *, greatest(abs(alpha) * 0.01, 0.001) AS da, greatest(abs(beta) * 0.01, 0.001) AS db, greatest(abs(nu) * 0.01, 0.001) AS dn FROM mle WHERE distribution = '{dist}'),
+{px}2 AS (SELECT *, greatest(alpha, 2 * da) AS ca, greatest(beta, 2 * db) AS cb, greatest(nu, 2 * dn) AS cn FROM {px}1),
+{px}3 AS (SELECT *, {", ".join(f"{e} AS {h[i, j]}" for (i, j), e in hess.items())}, list_reduce(r, lambda st, x: {{{state}}}, {{{init}}}) AS z FROM {px}2),
+{px}4 AS (SELECT *, {det} AS det FROM {px}3),
+{px}5 AS (SELECT series, distribution, alpha, beta, nu, {room} OR persistence >= 0.999{bounds} AS at_bound, {", ".join(ses)} FROM {px}4)"""
+
+
+def _coef_select(sampling: str) -> str:
+    rows = "[{'c': 'alpha', 'e': alpha, 's': se_alpha}, {'c': 'beta', 'e': beta, 's': se_beta}, {'c': 'nu', 'e': nu, 's': se_nu}]"
+    return f""", {_sandwich(False)}, {_sandwich(True)},
+coef AS (SELECT series, distribution, at_bound, unnest({rows}) AS u FROM (SELECT * FROM n5 UNION ALL BY NAME SELECT * FROM t5)),
+coef2 AS (SELECT *, u.e / nullif(u.s, 0) AS t FROM coef WHERE u.e IS NOT NULL)
+SELECT series, '{sampling}' AS sampling, distribution, u.c AS coefficient, round(u.e, 4) AS estimate, round({significant_sql('u.s')}, 4) AS robust_se, round({significant_sql('t')}, 4) AS t_value,
+  round({normal_two_sided_sql('t')}, 4) AS p_value, true AS converged, at_bound FROM coef2"""
+
+
+SQL["garch_coef_table"] = _both_samplings(_coef_select)
+
+
+def _roll_mle(ctes: tuple[str, ...], px: str) -> tuple[str, ...]:
+    """Rolling forecasts from refined fits instead of grid fits."""
+    *first, fc = ctes
+    return (*first, _refined(px), fc.replace(f"FROM {px}fits f", f"FROM {px}mle f"))
+
+
+SQL["garch_roll_mle"] = _roll_sql(INTRA, "ret5", TO, "5min", refined=True)
+
+MLE_FC = ((_grid_cte(),) + _roll_mle(_roll_ctes("ret5", TO, "5min", "a_"), "a_") + _roll_mle(_roll_ctes("dret", TO, "daily", "c_"), "c_") + ("""fc AS (
+  SELECT series, distribution, forc_style, day, daily_variance_forecast FROM a_fc
+  UNION ALL SELECT series, distribution, forc_style, day, daily_variance_forecast FROM c_fc)""",))
+SQL["garch_result_table_mle"] = _result_sql("perf", _MAIN, base=(TICKS, BARS, RET5, DRET, RV, OUTLIER) + MLE_FC + (PERF,)).replace("WITH ", "WITH RECURSIVE ", 1)
+
 SQL["garch_models"] = with_(*INTRA, _in_sample("ret5", TO), _grid_cte(), LLS) + """, specs(distribution, model,
   garch_p, garch_q, include_mean, omega, dist_code) AS (
   VALUES ('Normal', 'sGARCH', 1, 1, false, CAST(0 AS DOUBLE), 'norm'),
@@ -541,15 +703,6 @@ SELECT f.series, f.distribution, s.model, CAST(s.garch_p AS INTEGER) AS garch_p,
   round(f.nu, 4) AS nu, round(f.loglik, 4) AS loglik
 FROM fits f JOIN specs s USING (distribution)"""
 
-# streaming: every day of each series except its last (still open when the stream ends)
-SQL["stream_realized_variance"] = with_(TICKS, BARS, RET5) + """, rvd AS (
-  SELECT series, day, max(date) AS date, sum("return" * "return") AS realized_variance, count(*) AS n_returns
-  FROM ret5 GROUP BY 1, 2),
-lastbar AS (SELECT series, max(CAST(CAST(date AS DATE) AS TIMESTAMP)) AS last_day FROM bars GROUP BY 1)
-SELECT r.series, r.day, r.date, round(r.realized_variance, 6) AS realized_variance, r.n_returns
-FROM rvd r JOIN lastbar l USING (series) WHERE r.day < l.last_day"""
-
-
 def _positive_zero(sql: str) -> str:
     """Wrap every ``round(...)`` as ``(round(...) + 0.0)``: DuckDB's round keeps a negative
     zero, Spark's does not, and a value hash sees the sign bit."""

@@ -1,4 +1,8 @@
-"""Registered queries: forecasts vs proxies, metrics, regressions, result tables."""
+"""Registered queries on stand-in forecasts (lagged realized variance): proxies, metrics, regressions, tables.
+
+They test the evaluation operators apart from the models; the same datasets on model
+forecasts are the ``garch_*`` queries.
+"""
 
 from __future__ import annotations
 
@@ -23,36 +27,36 @@ def naive(spark, sf_dir, ctx=None):
     return E.naive_forecasts(ctx.rv_all, ctx.rv_filtered_all, P)
 
 
-@register("all_forecasts")
+@register("naive_all_forecasts")
 def all_forecasts(spark, sf_dir):
     return naive(spark, sf_dir)
 
 
-@register("performance_data")
+@register("naive_performance_data")
 def performance_data(spark, sf_dir):
     ctx = inp.TickInputs(spark, sf_dir)
     return E.performance_data(naive(spark, sf_dir, ctx), ctx.rv, ctx.sq, P)
 
 
-@register("performance_data_filtered")
+@register("naive_performance_data_filtered")
 def performance_data_filtered(spark, sf_dir):
     ctx = inp.TickInputs(spark, sf_dir)
     return E.performance_data_filtered(naive(spark, sf_dir, ctx), ctx.rv, ctx.sq)
 
 
-@register("compare_styles_long")
+@register("naive_compare_styles_long")
 def compare_styles_long(spark, sf_dir):
     ctx = inp.TickInputs(spark, sf_dir)
     return E.compare_styles_long(naive(spark, sf_dir, ctx), ctx.rv)
 
 
-@register("compare_dists_long")
+@register("naive_compare_dists_long")
 def compare_dists_long(spark, sf_dir):
     ctx = inp.TickInputs(spark, sf_dir)
     return E.compare_dists_long(naive(spark, sf_dir, ctx), ctx.rv)
 
 
-@register("compare_filtered_long")
+@register("naive_compare_filtered_long")
 def compare_filtered_long(spark, sf_dir):
     ctx = inp.TickInputs(spark, sf_dir)
     return E.compare_filtered_long(naive(spark, sf_dir, ctx), ctx.rv)
@@ -63,47 +67,47 @@ def _perf3(spark, sf_dir):
     return E.performance_data_filtered(naive(spark, sf_dir, ctx), ctx.rv, ctx.sq)
 
 
-@register("error_metrics_rv")
+@register("naive_error_metrics_rv")
 def error_metrics_rv(spark, sf_dir):
     return ev.error_metrics(_perf3(spark, sf_dir), "realized_variance")
 
 
-@register("error_metrics_sqret")
+@register("naive_error_metrics_sqret")
 def error_metrics_sqret(spark, sf_dir):
     return ev.error_metrics(_perf3(spark, sf_dir), "squared_return")
 
 
-@register("mz_tidy_rv")
+@register("naive_mz_tidy_rv")
 def mz_tidy_rv(spark, sf_dir):
     return ev.mz_tidy(_perf3(spark, sf_dir), "realized_variance")
 
 
-@register("mz_glance_rv")
+@register("naive_mz_glance_rv")
 def mz_glance_rv(spark, sf_dir):
     return ev.mz_glance(_perf3(spark, sf_dir), "realized_variance")
 
 
-@register("mz_tidy_sqret")
+@register("naive_mz_tidy_sqret")
 def mz_tidy_sqret(spark, sf_dir):
     return ev.mz_tidy(_perf3(spark, sf_dir), "squared_return")
 
 
-@register("mz_glance_sqret")
+@register("naive_mz_glance_sqret")
 def mz_glance_sqret(spark, sf_dir):
     return ev.mz_glance(_perf3(spark, sf_dir), "squared_return")
 
 
-@register("result_table")
+@register("naive_result_table")
 def result_table(spark, sf_dir):
     return E.result_table(performance_data.raw(spark, sf_dir), STYLES_MAIN)
 
 
-@register("result_table_filtered")
+@register("naive_result_table_filtered")
 def result_table_filtered(spark, sf_dir):
     return E.result_table(_perf3(spark, sf_dir), STYLES_FILTERED)
 
 
-@register("result_table_display")
+@register("naive_result_table_display")
 def result_table_display(spark, sf_dir):
     t = E.result_table(performance_data.raw(spark, sf_dir), STYLES_MAIN)
     return E.result_table_display(t, list(STYLES_MAIN.values()))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from sigmaflow.config import DAILY_PARAMS, TICK_PARAMS
 from sigmaflow.operators import garch as G
 from sigmaflow.operators import windows as W
+from sigmaflow.plans import evaluation as E
 from sigmaflow.plans import garch_jobs as J
 from sigmaflow.plans import inputs as inp
+from sigmaflow.plans.q_evaluation import STYLES_FILTERED, STYLES_MAIN
 from sigmaflow.plans.registry import register
 
 
@@ -100,26 +102,21 @@ def garch_roll_filtered_grid(spark, sf_dir):
     return J.rolling_grid_forecast(spark, intraday(spark, sf_dir, True), "5min_filtered").select(*ROLL_COLS)
 
 
-def intraday_daily(spark, sf_dir):
-    """Daily returns of the same tick series (the daily model of the same asset)."""
-    return J.FitInputs(inp.TickInputs(spark, sf_dir).returns_daily, TICK_PARAMS)
-
-
 @register("garch_mle_fit")
 def garch_mle_fit(spark, sf_dir):
-    """Refined in-sample ML fits (5-minute and daily sampling of the tick series)."""
+    """Refined in-sample ML fits: 5-minute returns of the tick series, daily returns of the order series."""
     five = J.in_sample_mle(intraday(spark, sf_dir), with_se=False).withColumn("sampling", F.lit("5min"))
-    day = J.in_sample_mle(intraday_daily(spark, sf_dir), with_se=False).withColumn("sampling", F.lit("daily"))
+    day = J.in_sample_mle(daily(spark, sf_dir), with_se=False).withColumn("sampling", F.lit("daily"))
     cols = ["series", "sampling", "distribution", "alpha", "persistence", "beta", "nu", "loglik",
-            "grid_loglik", "h_next", "n_obs", "rounds"]
+            "grid_loglik", "h_next", "n_obs", "rounds", "converged"]
     return five.select(*cols).unionByName(day.select(*cols))
 
 
-@register("garch_coef_table")
+@register("garch_coef_table", digits=4)
 def garch_coef_table(spark, sf_dir):
     """Four models per series: robust coefficient rows for Normal and Student-t, 5-minute and daily."""
     five = J.coefficient_table(J.in_sample_mle(intraday(spark, sf_dir)), "5min")
-    day = J.coefficient_table(J.in_sample_mle(intraday_daily(spark, sf_dir)), "daily")
+    day = J.coefficient_table(J.in_sample_mle(daily(spark, sf_dir)), "daily")
     return five.unionByName(day)
 
 
@@ -132,21 +129,24 @@ def garch_roll_mle(spark, sf_dir):
 STYLE_SEP = "\u0001"
 
 
-def garch_forecasts(spark, sf_dir, ctx=None, refined=False):
-    """Rolling forecasts of the three styles on the same tick series (grid QMLE, or
-    refined ML with ``refined``).
+ALL_STYLES = ("5min", "5min_filtered", "daily")
+MAIN_STYLES = ("5min", "daily")
+
+
+def garch_forecasts(spark, sf_dir, ctx=None, refined=False, styles=ALL_STYLES):
+    """Rolling forecasts of the wanted styles on the same tick series (grid QMLE, or
+    refined ML with ``refined``); only those styles are fitted.
 
-    The three return tables are stacked under a composite key ``series + style`` so
+    The return tables are stacked under a composite key ``series + style`` so
     one set of window, block and fit stages serves all styles; the key is split back
     afterwards.
     """
-    from sigmaflow.plans.inputs import TickInputs
-    ctx = ctx or TickInputs(spark, sf_dir)
+    ctx = ctx or inp.TickInputs(spark, sf_dir)
     roll = J.rolling_mle_forecast if refined else J.rolling_grid_forecast
-    styles = {"5min": ctx.returns_5min, "5min_filtered": ctx.returns_5min_filtered, "daily": ctx.returns_daily}
+    returns = {"5min": lambda: ctx.returns_5min, "5min_filtered": lambda: ctx.returns_5min_filtered, "daily": lambda: ctx.returns_daily}
     stacked = None
-    for style, rets in styles.items():
-        part = rets.select(F.concat_ws(STYLE_SEP, "series", F.lit(style)).alias("series"), "day", "date", "return")
+    for style in styles:
+        part = returns[style]().select(F.concat_ws(STYLE_SEP, "series", F.lit(style)).alias("series"), "day", "date", "return")
         stacked = part if stacked is None else stacked.unionByName(part)
     fc = roll(spark, J.FitInputs(stacked, TICK_PARAMS), "stacked")
     key = F.split(F.col("series"), STYLE_SEP)
@@ -154,6 +154,11 @@ def garch_forecasts(spark, sf_dir, ctx=None, refined=False):
                      "daily_variance_forecast")
 
 
+def _with_forecasts(spark, sf_dir, styles, refined=False):
+    ctx = inp.TickInputs(spark, sf_dir)
+    return ctx, garch_forecasts(spark, sf_dir, ctx, refined, styles)
+
+
 @register("garch_all_forecasts")
 def garch_all_forecasts(spark, sf_dir):
     return garch_forecasts(spark, sf_dir)
@@ -161,19 +166,53 @@ def garch_all_forecasts(spark, sf_dir):
 
 @register("garch_performance_data")
 def garch_performance_data(spark, sf_dir):
-    from sigmaflow.plans import evaluation as E
-    ctx = inp.TickInputs(spark, sf_dir)
-    return E.performance_data(garch_forecasts(spark, sf_dir, ctx), ctx.rv, ctx.sq, TICK_PARAMS)
+    ctx, fc = _with_forecasts(spark, sf_dir, MAIN_STYLES)
+    return E.performance_data(fc, ctx.rv, ctx.sq, TICK_PARAMS)
+
+
+@register("garch_performance_data_filtered")
+def garch_performance_data_filtered(spark, sf_dir):
+    ctx, fc = _with_forecasts(spark, sf_dir, ALL_STYLES)
+    return E.performance_data_filtered(fc, ctx.rv, ctx.sq)
+
+
+@register("garch_compare_styles_long")
+def garch_compare_styles_long(spark, sf_dir):
+    ctx, fc = _with_forecasts(spark, sf_dir, MAIN_STYLES)
+    return E.compare_styles_long(fc, ctx.rv)
+
+
+@register("garch_compare_dists_long")
+def garch_compare_dists_long(spark, sf_dir):
+    ctx, fc = _with_forecasts(spark, sf_dir, ("5min",))
+    return E.compare_dists_long(fc, ctx.rv)
+
+
+@register("garch_compare_filtered_long")
+def garch_compare_filtered_long(spark, sf_dir):
+    ctx, fc = _with_forecasts(spark, sf_dir, ("5min", "5min_filtered"))
+    return E.compare_filtered_long(fc, ctx.rv)
 
 
 @register("garch_result_table")
 def garch_result_table(spark, sf_dir):
     """The paper's metric table (MAPE, RMSE, MZ coefficients, R^2) from GARCH forecasts."""
-    from sigmaflow.plans import evaluation as E
-    from sigmaflow.plans.q_evaluation import STYLES_MAIN
-    ctx = inp.TickInputs(spark, sf_dir)
-    perf = E.performance_data(garch_forecasts(spark, sf_dir, ctx), ctx.rv, ctx.sq, TICK_PARAMS)
-    return E.result_table(perf, STYLES_MAIN)
+    ctx, fc = _with_forecasts(spark, sf_dir, MAIN_STYLES)
+    return E.result_table(E.performance_data(fc, ctx.rv, ctx.sq, TICK_PARAMS), STYLES_MAIN)
+
+
+@register("garch_result_table_filtered")
+def garch_result_table_filtered(spark, sf_dir):
+    """The metric table of the model on outlier-replaced returns."""
+    ctx, fc = _with_forecasts(spark, sf_dir, ("5min_filtered",))
+    return E.result_table(E.performance_data_filtered(fc, ctx.rv, ctx.sq), STYLES_FILTERED)
+
+
+@register("garch_result_table_mle")
+def garch_result_table_mle(spark, sf_dir):
+    """The paper's metric table from refined maximum-likelihood rolling forecasts."""
+    ctx, fc = _with_forecasts(spark, sf_dir, MAIN_STYLES, refined=True)
+    return E.result_table(E.performance_data(fc, ctx.rv, ctx.sq, TICK_PARAMS), STYLES_MAIN)
 
 
 @register("garch_models", digits=4)
@@ -184,13 +223,3 @@ def garch_models(spark, sf_dir):
     return (fits.join(F.broadcast(specs), "distribution", "inner")
             .select("series", "distribution", "model", "garch_p", "garch_q", "include_mean", "omega",
                     "dist_code", "n_obs", "alpha", "beta", "nu", "loglik"))
-
-
-@register("garch_result_table_mle")
-def garch_result_table_mle(spark, sf_dir):
-    """The paper's metric table from refined maximum-likelihood rolling forecasts."""
-    from sigmaflow.plans import evaluation as E
-    from sigmaflow.plans.q_evaluation import STYLES_MAIN
-    ctx = inp.TickInputs(spark, sf_dir)
-    perf = E.performance_data(garch_forecasts(spark, sf_dir, ctx, refined=True), ctx.rv, ctx.sq, TICK_PARAMS)
-    return E.result_table(perf, STYLES_MAIN)

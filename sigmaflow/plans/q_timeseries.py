@@ -16,14 +16,14 @@ from sigmaflow.sources import files
 @register("clean_prices")
 def clean_prices(spark, sf_dir):
     """Projected, range-filtered tick prices."""
-    return inp.tick_prices(spark, sf_dir).select("series", "date", "adjusted")
+    return inp.tick_prices(spark, sf_dir, TICK_PARAMS).select("series", "date", "adjusted")
 
 
 @register("scan_csv_roundtrip")
 def scan_csv_roundtrip(spark, sf_dir):
     """Write prices in the raw CSV layout, read them back with a fixed schema."""
     path = scratch_path(spark, "raw-prices-csv")
-    files.write_raw_prices_csv(inp.tick_prices(spark, sf_dir), path)
+    files.write_raw_prices_csv(inp.tick_prices(spark, sf_dir), path)  # the reader applies the range
     return files.read_raw_prices_csv(spark, path, TICK_PARAMS)
 
 
@@ -77,12 +77,12 @@ def floor_5min(spark, sf_dir):
 
 @register("outlier_stats")
 def outlier_stats(spark, sf_dir):
-    return ts.outlier_stats(inp.returns_5min(spark, sf_dir))
+    return ts.outlier_stats(inp.TickInputs(spark, sf_dir).returns_5min)
 
 
 @register("outlier_replace")
 def outlier_replace(spark, sf_dir):
-    return inp.returns_5min_filtered(spark, sf_dir).select("series", "date", "return")
+    return ts.replace_outliers(inp.TickInputs(spark, sf_dir).returns_5min).select("series", "date", "return")
 
 
 @register("oos_count")
@@ -90,6 +90,21 @@ def oos_count(spark, sf_dir):
     return ts.oos_count(inp.returns_5min(spark, sf_dir), TICK_PARAMS)
 
 
+@register("oos_strict")
+def oos_strict(spark, sf_dir):
+    """Returns after the exact forecast origin (``date > forecast_start``), next to the day rule."""
+    r = inp.returns_5min(spark, sf_dir)
+    return ts.out_of_sample(r, TICK_PARAMS, strict=True).select("series", "day", "date", "return")
+
+
+@register("scan_cleaned_csv_roundtrip")
+def scan_cleaned_csv_roundtrip(spark, sf_dir):
+    """Write cleaned prices as ``date, adjusted`` (microseconds kept) and read them back."""
+    path = scratch_path(spark, "cleaned-prices-csv")
+    files.write_cleaned_prices_csv(inp.tick_prices(spark, sf_dir), path)
+    return files.read_cleaned_prices_csv(spark, path)
+
+
 @register("realized_variance")
 def realized_variance(spark, sf_dir):
     """Flagship: daily realized variance of 5-minute returns, out-of-sample days."""
@@ -132,13 +147,10 @@ def returns_union(spark, sf_dir):
 
 def _acf(spark, sf_dir, transform, knobs=None):
     from sigmaflow.config import DEFAULT_KNOBS
-    from sigmaflow.operators.acf import acf_panels, lag_cap
+    from sigmaflow.operators.acf import acf_panels
     ctx = inp.TickInputs(spark, sf_dir)
     daily = ts.log_returns(ts.daily_close(ctx.bars), bucket="year")
-    # the materialized returns table counts from parquet metadata; no series (5-minute
-    # or daily) has more rows than it
-    cap = lag_cap(ctx.returns_5min.count())
-    return acf_panels({"5min": ctx.returns_5min, "daily": daily}, transform, knobs or DEFAULT_KNOBS, cap)
+    return acf_panels({"5min": ctx.returns_5min, "daily": daily}, transform, knobs or DEFAULT_KNOBS)
 
 
 @register("acf_returns")
@@ -154,11 +166,3 @@ def acf_squared(spark, sf_dir):
 @register("acf_absolute")
 def acf_absolute(spark, sf_dir):
     return _acf(spark, sf_dir, "absolute")
-
-
-@register("stream_realized_variance")
-def stream_realized_variance(spark, sf_dir):
-    """Realized variance of every completed day, computed by the two-stage streaming job."""
-    from sigmaflow.streaming import run_realized_variance
-    return run_realized_variance(spark, sf_dir, TICK_PARAMS).select(
-        "series", "day", "date", "realized_variance", "n_returns")

@@ -42,10 +42,16 @@ def _context(spark: SparkSession):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only when unset (tests)."""
+    """Return the shared checkpoint folder; create one only when unset on a single machine (tests).
+
+    On a cluster a machine-local folder would lose files, so an unset folder is an error there.
+    """
     sc = _context(spark)
     path = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = sc.master if sc else "remote"
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         path = tempfile.mkdtemp(prefix="sigmaflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None and not sc.getCheckpointDir():
@@ -114,6 +120,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "sigmaflow", app, f"{name}-{uuid.uuid4().hex}")
 
 
+def remove_intermediates(spark: SparkSession) -> None:
+    """Delete what this application has stored in the shared folder; results not yet read are gone too."""
+    sc = _context(spark)
+    path = os.path.join(ensure_checkpoint_dir(spark), "sigmaflow", sc.applicationId if sc else "remote")
+    hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def materialize(df, name: str):
     """Write an intermediate table to the shared checkpoint folder and read it back.
 

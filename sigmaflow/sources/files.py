@@ -40,6 +40,27 @@ def read_raw_prices_csv(spark: SparkSession, path: str, params: Params | None =
     return out
 
 
+# Cleaned price file layout: a naive timestamp and a price (plus our series key).
+CLEANED_PRICE_SCHEMA = T.StructType([
+    T.StructField("series", T.StringType(), True),
+    T.StructField("date", T.TimestampNTZType(), True),
+    T.StructField("adjusted", T.DoubleType(), True),
+])
+CLEANED_TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+
+
+def write_cleaned_prices_csv(prices: DataFrame, path: str) -> None:
+    """Write cleaned prices as ``date, adjusted``; fractions of a second are kept."""
+    (prices.select("series", "date", "adjusted").write.mode("errorifexists").option("header", True)
+     .option("timestampNTZFormat", CLEANED_TIMESTAMP).csv(path))
+
+
+def read_cleaned_prices_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Scan a cleaned price CSV with a fixed schema."""
+    return (spark.read.schema(CLEANED_PRICE_SCHEMA).option("header", True)
+            .option("timestampNTZFormat", CLEANED_TIMESTAMP).csv(path))
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("series",)) -> None:
     """Persist an intermediate result as parquet, partitioned for later pruning."""
     w = df.write.mode("errorifexists")

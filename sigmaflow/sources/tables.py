@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmaflow.config import DAILY_PARAMS, TICK_PARAMS, Params
+from sigmaflow.config import Params
 from sigmaflow.functions.columns import ntz_lit
 
 
@@ -22,15 +22,21 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def ticks(spark: SparkSession, sf_dir: str, params: Params = TICK_PARAMS) -> DataFrame:
-    """Intraday prices from ``events``: one series per event type, positive values only.
+def _usable(price: str, date: str, params: Params | None) -> Column:
+    """Prices that have a logarithm, and nulls (whose returns are null and stay); with ``params``,
+    only the closed analysis range."""
+    keep = F.col(price).isNull() | (F.col(price) > 0)
+    return keep if params is None else keep & F.col(date).between(ntz_lit(params.start), ntz_lit(params.end))
 
-    This is the cleaned minute table (P1 projection + P2 closed range filter).
+
+def ticks(spark: SparkSession, sf_dir: str, params: Params | None = None) -> DataFrame:
+    """Intraday prices from ``events``: one series per event type (P1 projection).
+
+    All rows of the table but those with a zero price; ``params`` adds the closed range filter (P2).
     """
     ev = load(spark, sf_dir, "events")
     return (
-        ev.where((F.col("value") > 0)
-                 & F.col("ts").between(ntz_lit(params.start), ntz_lit(params.end)))
+        ev.where(_usable("value", "ts", params))
         .select(
             F.col("event_type").alias("series"),
             F.col("ts").alias("date"),
@@ -40,7 +46,7 @@ def ticks(spark: SparkSession, sf_dir: str, params: Params = TICK_PARAMS) -> Dat
     )
 
 
-def daily_prices(spark: SparkSession, sf_dir: str, params: Params = DAILY_PARAMS) -> DataFrame:
+def daily_prices(spark: SparkSession, sf_dir: str, params: Params | None = None) -> DataFrame:
     """Prices stamped at midnight from ``orders``: one series per order priority.
 
     Several rows share a day; the daily close later picks the largest
@@ -48,8 +54,7 @@ def daily_prices(spark: SparkSession, sf_dir: str, params: Params = DAILY_PARAMS
     """
     od = load(spark, sf_dir, "orders")
     return (
-        od.where(F.col("o_orderdate").between(ntz_lit(params.start), ntz_lit(params.end))
-                 & (F.col("o_totalprice") > 0))
+        od.where(_usable("o_totalprice", "o_orderdate", params))
         .select(
             F.col("o_orderpriority").alias("series"),
             F.col("o_orderdate").alias("date"),

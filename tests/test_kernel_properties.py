@@ -52,7 +52,7 @@ def test_refined_fit_beats_dense_brute_force_grid():
     for i in range(0, len(a), 500):
         ll, _, _ = scan(r, a[i:i + 500], p[i:i + 500] - a[i:i + 500], None)
         best = max(best, np.max(ll))
-    theta, ll_refined, _, _ = refine(r, 0.05, 0.95, None)
+    theta, ll_refined, *_ = refine(r, 0.05, 0.95, None)
     assert ll_refined >= best - 1e-9
     assert abs(theta[0] - alpha) < 0.06 and abs(theta[1] - (alpha + beta)) < 0.03
 

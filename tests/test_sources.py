@@ -4,7 +4,6 @@ import os
 
 from pyspark.sql import functions as F
 
-from sigmaflow.config import TICK_PARAMS
 from sigmaflow.session import scratch_path
 from sigmaflow.sources import files
 from sigmaflow.sources.tables import ticks
@@ -18,7 +17,7 @@ def test_raw_csv_layout_and_round_trip(spark):
     raw = spark.read.option("header", True).csv(path)
     assert raw.columns == ["series", "Timestamp", "Weighted_Price"]
     assert raw.where(~F.col("Timestamp").rlike("^[0-9]+$")).count() == 0
-    back = files.read_raw_prices_csv(spark, path, TICK_PARAMS)
+    back = files.read_raw_prices_csv(spark, path)
     assert back.columns == ["series", "date", "adjusted"]
     assert back.count() == t.count()
     # whole seconds: the round trip truncates sub-second parts only

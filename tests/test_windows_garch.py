@@ -83,12 +83,12 @@ def test_scan_matches_sql_aggregate(spark):
 def test_mle_recovers_parameters_and_beats_grid():
     alpha, beta = 0.08, 0.919
     r = _simulate(alpha, beta, 4000, 5)
-    theta, ll, _, _ = refine(r, 0.05, 0.99, None)
+    theta, ll, _, _, done = refine(r, 0.05, 0.99, None)
     assert abs(theta[0] - alpha) < 0.03
     assert abs(theta[1] - (alpha + beta)) < 0.01
     grid_ll, _, _ = scan(r, np.array([0.05]), np.array([0.94]), None)
     assert ll >= grid_ll[0]
-    params, se = robust_se(r, theta, False)
+    se, at_bound = robust_se(r, theta, False)
     assert np.all(np.isfinite(se)) and np.all(se > 0)
 
 
@@ -100,8 +100,8 @@ def test_student_t_fit_on_heavy_tails():
         z = rng.standard_t(nu) / np.sqrt(nu / (nu - 2))
         r[t] = np.sqrt(h) * z
         h = alpha * r[t] ** 2 + beta * h
-    theta, ll_t, _, _ = refine(r, 0.08, 0.99, 10.0)
-    _, ll_n, _, _ = refine(r, 0.08, 0.99, None)
+    theta, ll_t, *_ = refine(r, 0.08, 0.99, 10.0)
+    _, ll_n, *_ = refine(r, 0.08, 0.99, None)
     assert ll_t > ll_n
     assert 3.0 < theta[2] < 9.0
 
@@ -151,6 +151,19 @@ def test_mle_query_equals_direct_fit_on_collected_samples(spark):
         ll, _ = grid_scan(r, g)
         i = int(np.argmax(ll))
         nu0 = None if row.distribution == "Normal" else g["nu"][i]
-        theta, best, _, _ = refine(r, g["alpha"][i], g["persistence"][i], nu0)
+        theta, best, *_ = refine(r, g["alpha"][i], g["persistence"][i], nu0)
         assert np.isclose(best, row.loglik, atol=1e-4)
         assert np.isclose(theta[0], row.alpha, atol=1e-6)
+
+
+def test_null_return_gives_a_null_fit_that_says_so(spark):
+    df = spark.createDataFrame([("a", 0, [0.1, None, 0.2]), ("b", 0, [0.1, -0.2, 0.2, 0.05])], "series string, window_id long, r array<double>")
+    rows = {(r.series, r.distribution): r for r in G.mle_fit_numpy(df, ["series", "window_id"]).collect()}
+    assert not rows["a", "Normal"].converged and rows["a", "Student-t"].alpha is None
+    assert rows["b", "Normal"].converged and rows["b", "Normal"].loglik is not None
+
+
+def test_search_ends_converged_on_flat_likelihoods():
+    r = np.array([1.0, -1.0] * 200)
+    theta, ll, _, rounds, converged = refine(r, 0.05, 0.99, 4.0)
+    assert converged and np.isfinite(ll) and theta[2] == 100.0
