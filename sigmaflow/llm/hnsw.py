@@ -38,6 +38,7 @@ BATCH = 1024
 def _beam(vec: np.ndarray, links: np.ndarray, n: int, queries: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
     """The ef most similar nodes found among the first n for each query, all queries at once; -1 pads."""
     b = len(queries)
+    entry = np.where(entry < n, entry, 0)  # a node of the level above that has not entered this one yet
     ids, sim = np.full((b, ef), -1), np.full((b, ef), -np.inf, np.float32)
     done = np.zeros((b, ef), bool)
     seen = np.zeros((b, n), bool)
