@@ -39,7 +39,6 @@ GRAM = 128
 GROUP = 2000
 BUCKET_BYTES = 2 << 20
 CHUNK = 1 << 19
-BROADCAST_ROWS = 500_000
 _PLACE = np.uint64((1 << 20) - 1)
 _SECOND = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -251,8 +250,6 @@ def _window_hashes(batch: pa.RecordBatch) -> dict:
 def _with_text(rows: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
     """rows (x0, x1, wanted) with the text, from one document of each text."""
     rows = rows.join(first, ["x0", "x1"]).withColumnsRenamed({"x0": "y0", "x1": "y1"})
-    if rows.count() <= BROADCAST_ROWS:
-        rows = F.broadcast(rows)
     return docs.join(rows, (F.col("x0") == F.col("y0")) & (F.col("x1") == F.col("y1")) & F.col("_key").eqNullSafe(F.col("first"))).select("x0", "x1", "wanted", "_text")
 
 
@@ -263,7 +260,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     every = scan(docs.filter(F.octet_length("_text") >= LENGTH), _anchor_lists, [("anchors", _long("h", "c", "a", "b"))], ["x0", "x1"])
     every = stage(every.select("x0", "x1", F.explode("anchors").alias("r")).select("x0", "x1", "r.*"), "repeat-anchors")
     shared = every.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed"))
-    rows = stage(every.join(shared, "h"), "repeat-shared")
+    # both sides are stored, so that Spark can split an anchor that many rows share
+    rows = stage(every.join(stage(shared, "repeat-hashes"), "h"), "repeat-shared")
     alike = rows.filter("NOT mixed").select("x0", "x1", "a", (F.col("b") + LENGTH).alias("e"))
 
     mixed = rows.filter("mixed")
@@ -315,10 +313,8 @@ def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     docs = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     docs = docs.select("_key", "_text", *text_keys("_text"))
     marks = stage(repeats(docs).groupBy("x0", "x1").agg(F.collect_set(F.struct("a", "e")).alias("marks")), "repeat-marks")
-    load = marks.agg(F.count("*"), F.sum(F.size("marks"))).first()
-    found = F.broadcast(marks) if load[0] <= BROADCAST_ROWS and (load[1] or 0) <= 4 * BROADCAST_ROWS else marks
     fields = [("spans", _long("start", "end")), ("kept", T.BinaryType())]
-    out = scan(docs.join(found, ["x0", "x1"], "left").withColumn("n_bytes", F.octet_length("_text").cast("long")), _cut, fields, ["_key", "n_bytes"])
+    out = scan(docs.join(marks, ["x0", "x1"], "left").withColumn("n_bytes", F.octet_length("_text").cast("long")), _cut, fields, ["_key", "n_bytes"])
     return out.select(F.col("_key").alias(key), "n_bytes", F.col("spans").alias("removed"), "kept")
 
 
