@@ -27,7 +27,6 @@ FIT_BATCH = 256
 BITS = 20
 STEPS = 300
 RATE = 0.05
-LEAST_Z = 2.0
 PREFIXES = (4, 5, 6, 7)
 LEAST_DOCS = 2
 CUT = 0.3
@@ -64,7 +63,7 @@ def _telling(texts: list[bytes], y: np.ndarray, size: int) -> np.ndarray:
     b, a = counts
     n1, n0 = (y > 0.5).sum() + 1, (y <= 0.5).sum() + 1
     z = (np.log(a / (n1 - a)) - np.log(b / (n0 - b))) / np.sqrt(1 / a + 1 / b)
-    return np.flatnonzero((z > LEAST_Z) & (a >= LEAST_DOCS))
+    return np.flatnonzero((z > np.sqrt(np.log(len(y) + 1))) & (a >= LEAST_DOCS))  # the gain exceeds the BIC price of a weight
 
 
 def fit(texts: list[bytes], y: np.ndarray, steps: int = STEPS, rate: float = RATE) -> np.ndarray:
