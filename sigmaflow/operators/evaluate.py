@@ -39,6 +39,7 @@ def summary(perf: DataFrame, proxy: str, group: Sequence[str] = GROUP,
         F.avg(_div(F.abs(err), F.sqrt(y))).alias("mape"),
         F.count(err).cast("long").alias("n_obs"),
         F.count_if(y.isNull()).cast("long").alias("n_missing"),
+        F.count_if((y == 0) & x.isNotNull()).cast("long").alias("n_zero_proxy"),
         F.regr_count(y, x).cast("long").alias("n"),
         F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"),
@@ -53,9 +54,12 @@ def summary(perf: DataFrame, proxy: str, group: Sequence[str] = GROUP,
 
 def error_metrics(perf: DataFrame, proxy: str, group: Sequence[str] = GROUP,
                   forecast: str = FORECAST) -> DataFrame:
-    """mse, rmse, mae and mape (error over the square root of the proxy) per group."""
+    """mse, rmse, mae and mape (error over the square root of the proxy) per group.
+
+    ``mape`` leaves out the ``n_zero_proxy`` days whose proxy is zero.
+    """
     return summary(perf, proxy, group, forecast).select(
-        *group, "mse", "rmse", "mae", "mape", "n_obs", "n_missing")
+        *group, "mse", "rmse", "mae", "mape", "n_obs", "n_missing", "n_zero_proxy")
 
 
 def _with_errors(s: DataFrame) -> DataFrame:

@@ -244,7 +244,8 @@ def _metrics_sql(src: str, proxy: str) -> str:
     return with_(*EVAL_BASE) + f"""SELECT {GRP},
   {R(f'avg({e} * {e})', alias='mse')}, {R(f'sqrt(avg({e} * {e}))', alias='rmse')},
   {R(f'avg(abs({e}))', alias='mae')}, {R(f'avg(abs({e}) / nullif(sqrt({proxy}), 0))', alias='mape')},
-  count({e}) AS n_obs, count(*) FILTER (WHERE {proxy} IS NULL) AS n_missing
+  count({e}) AS n_obs, count(*) FILTER (WHERE {proxy} IS NULL) AS n_missing,
+  count(*) FILTER (WHERE {proxy} = 0 AND daily_variance_forecast IS NOT NULL) AS n_zero_proxy
 FROM {src} GROUP BY {GRP}"""
 
 

@@ -12,7 +12,8 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from sigmaflow.session import get_spark
+    from sigmaflow.session import get_spark, remove_intermediates
     s = get_spark("local[*]", shuffle_partitions=8, app="sigmaflow-tests")
     yield s
+    remove_intermediates(s)
     s.stop()
