@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigmaflow.session import ensure_checkpoint_dir, materialize, ship_package
+from sigmaflow.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 #: Rows of one Arrow batch; a batch of average documents is a few MB.
 BATCH_ROWS = 1000
@@ -29,12 +29,23 @@ def prepare(spark: SparkSession) -> None:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a step to the shared folder and read it back; free what the step shuffled."""
-    out = materialize(df, name)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
     gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete finished shuffles
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete finished shuffles
+    out = spark.read.parquet(path)
+    out.staged_at = path
     return out
 
 
+def discard(*staged: DataFrame) -> None:
+    """Delete stored steps that only finished, stored steps were made from."""
+    for df in staged:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -191,6 +202,23 @@ def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[p
         yield pa.Table.from_batches(kept)
 
 
+def packed(df: DataFrame, keep: list[str], text: str = "_text") -> DataFrame:
+    """The columns ``keep`` and the texts, compressed one by one, since they are about to be shuffled."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        texts, codec = as_bytes(batch.column(batch.schema.get_field_index(text))), pa.Codec("zstd")
+        return {"_packed": [codec.compress(t, asbytes=True) for t in texts], "_size": list(map(len, texts))}
+
+    return scan(df, run, [("_packed", T.BinaryType()), ("_size", T.LongType())], keep)
+
+
+def unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    """The texts of a batch of ``packed`` rows."""
+    codec = pa.Codec("zstd")
+    both = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_packed", "_size"))
+    return [codec.decompress(t, decompressed_size=n, asbytes=True) for t, n in zip(*both, strict=True)]
+
+
 def text_keys(text="text") -> list:
     """Two 64-bit columns that together stand for a whole text."""
     return [F.xxhash64(F.col(text)).alias("x0"), F.xxhash64(F.lit(7), F.col(text)).alias("x1")]

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigmaflow.llm.kit import as_bytes, prepare, scan, stage, table
+from sigmaflow.llm.kit import as_bytes, packed, prepare, scan, stage, table, unpacked
 
 LENGTH = 2048
 ROWS = 1024
@@ -78,16 +78,6 @@ class Encoder:
         return [np.asarray(e.ids, self.kind) for e in made]
 
 
-def _packed(df: DataFrame) -> DataFrame:
-    """Texts compressed one by one, since they are about to be shuffled."""
-
-    def run(batch: pa.RecordBatch) -> dict:
-        texts, codec = as_bytes(batch.column(batch.schema.get_field_index("_text"))), pa.Codec("zstd")
-        return {"_packed": [codec.compress(t, asbytes=True) for t in texts], "_size": list(map(len, texts))}
-
-    return scan(df, run, [("_packed", T.BinaryType()), ("_size", T.LongType())], ["_key", "k0", "k1"])
-
-
 def sequences(docs: DataFrame, *, key: str = "doc_id", text: str = "text", seed: str = SEED, length: int = LENGTH, rows: int = ROWS,
               tokenizer: str | None = None) -> DataFrame:
     """slot, shard, offset, key, part, n_tokens (with EOS), tokens (``length`` ids as bytes), partitioned by shard and sorted by slot."""
@@ -115,7 +105,7 @@ def sequences(docs: DataFrame, *, key: str = "doc_id", text: str = "text", seed:
     total = sums.agg(F.sum("_s")).first()[0] or 0
     first = F.sum(F.col("_n") * F.col("_m")).over(within) - F.col("_n") * F.col("_m")
     first = keys.withColumn("_in", first).join(F.broadcast(before), "_p").select("k0", "k1", "_m", (F.col("_in") + F.col("_before")).alias("_first"))
-    df = _packed(df).join(first, ["k0", "k1"])
+    df = packed(df, ["_key", "k0", "k1"]).join(first, ["k0", "k1"])
     if keys.filter("_m > 1").isEmpty():
         df = df.withColumn("_copy", F.lit(0))
     else:
@@ -124,8 +114,7 @@ def sequences(docs: DataFrame, *, key: str = "doc_id", text: str = "text", seed:
     def emit(batch: pa.RecordBatch) -> dict:
         e = Encoder(shared.value)
         get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-        sizes, codec = get("_size").tolist(), pa.Codec("zstd")
-        made = e.ids([codec.decompress(t, decompressed_size=k, asbytes=True) for t, k in zip(batch.column(batch.schema.get_field_index("_packed")).to_pylist(), sizes, strict=True)])
+        made = e.ids(unpacked(batch))
         n = np.fromiter(map(len, made), np.int64, len(made)) // length + 1
         begin = np.repeat(get("_first") + get("_copy") * n, n)
         part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)

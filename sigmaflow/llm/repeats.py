@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigmaflow.llm.kit import LETTER, as_bytes, mix, powers, prepare, scan, stage, table, text_keys, whole_groups
+from sigmaflow.llm.kit import LETTER, as_bytes, discard, mix, packed, powers, prepare, scan, stage, table, text_keys, unpacked, whole_groups
 
 LENGTH = 400
 GRAM = 128
@@ -224,13 +224,13 @@ def repeated_windows(rows: list[dict], length: int = LENGTH) -> list[dict]:
 
 
 def _pieces(batch: pa.RecordBatch) -> dict:
-    texts = as_bytes(batch.column(batch.schema.get_field_index("_text")))
+    texts = unpacked(batch)
     wanted = batch.column(batch.schema.get_field_index("wanted")).to_pylist()
     return {"pieces": [[{**w, "bytes": t[w["a"] : w["b"] + LENGTH]} for w in ws] for t, ws in zip(texts, wanted, strict=True)]}
 
 
 def _window_hashes(batch: pa.RecordBatch) -> dict:
-    texts = as_bytes(batch.column(batch.schema.get_field_index("_text")))
+    texts = unpacked(batch)
     wanted = batch.column(batch.schema.get_field_index("wanted")).to_pylist()
     row, place, one, two = [], [], [], []
     for i, (t, ws) in enumerate(zip(texts, wanted, strict=True)):
@@ -250,18 +250,21 @@ def _window_hashes(batch: pa.RecordBatch) -> dict:
 def _with_text(rows: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
     """rows (x0, x1, wanted) with the text, from one document of each text."""
     rows = rows.join(first, ["x0", "x1"]).withColumnsRenamed({"x0": "y0", "x1": "y1"})
-    return docs.join(rows, (F.col("x0") == F.col("y0")) & (F.col("x1") == F.col("y1")) & F.col("_key").eqNullSafe(F.col("first"))).select("x0", "x1", "wanted", "_text")
+    same = (F.col("x0") == F.col("y0")) & (F.col("x1") == F.col("y1")) & F.col("_key").eqNullSafe(F.col("first"))
+    return docs.join(rows, same).select("x0", "x1", "wanted", "_packed", "_size")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(x0, x1, a, e): stretches of whole windows that occur elsewhere; docs: _key, _text, x0, x1."""
+    """(x0, x1, marks): stretches [a, e) of whole windows that occur elsewhere, stored; docs: _key, _text, x0, x1."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = scan(docs.filter(F.octet_length("_text") >= LENGTH), _anchor_lists, [("anchors", _long("h", "c", "a", "b"))], ["x0", "x1"])
     every = stage(every.select("x0", "x1", F.explode("anchors").alias("r")).select("x0", "x1", "r.*"), "repeat-anchors")
     shared = every.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed"))
     # both sides are stored, so that Spark can split an anchor that many rows share
-    rows = stage(every.join(stage(shared, "repeat-hashes"), "h"), "repeat-shared")
+    hashes = stage(shared, "repeat-hashes")
+    rows = stage(every.join(hashes, "h"), "repeat-shared")
+    discard(every, hashes)
     alike = rows.filter("NOT mixed").select("x0", "x1", "a", (F.col("b") + LENGTH).alias("e"))
 
     mixed = rows.filter("mixed")
@@ -270,28 +273,33 @@ def repeats(docs: DataFrame) -> DataFrame:
     groups = contexts.groupBy("h").agg(F.count("*").alias("k"), F.max((F.col("n") == 1).cast("int")).alias("open")).filter("open = 1").select("h", "k")
     left = stage(contexts.join(groups, "h").withColumn("asked", F.col("n") == 1), "repeat-open")
     first = docs.groupBy("x0", "x1").agg(F.min("_key").alias("first"))
+    texts = packed(docs, ["_key", "x0", "x1"])
 
     small = left.filter(F.col("k") <= GROUP)
     size = small.agg(F.sum(F.col("b") - F.col("a") + LENGTH)).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     wanted = small.groupBy("x0", "x1").agg(F.collect_list(F.struct(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket"), "a", "b", "asked")).alias("wanted"))
     piece = T.ArrayType(T.StructType([T.StructField("bucket", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("asked", T.BooleanType()), T.StructField("bytes", T.BinaryType())]))
-    pieces = scan(_with_text(wanted, docs, first), _pieces, [("pieces", piece)], ["x0", "x1"]).select("x0", "x1", F.explode("pieces").alias("p")).select("x0", "x1", "p.*")
+    pieces = scan(_with_text(wanted, texts, first), _pieces, [("pieces", piece)], ["x0", "x1"]).select("x0", "x1", F.explode("pieces").alias("p")).select("x0", "x1", "p.*")
     indexed = pieces.repartition(max(1, min(parts, buckets)), "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_marks, "x0 long, x1 long, a long, e long")
-    out = alike.unionByName(twins).unionByName(stage(indexed, "repeat-indexed"))
+    stored = [rows, contexts, left, stage(indexed, "repeat-indexed")]
+    out = alike.unionByName(twins).unionByName(stored[-1])
 
     large = left.filter(F.col("k") > GROUP)
     if not large.isEmpty():
         wanted = large.groupBy("x0", "x1").agg(F.collect_list(F.struct("a", "b")).alias("wanted"))
-        windows = scan(_with_text(wanted, docs, first), _window_hashes, [("windows", _long("a", "w0", "w1"))], ["x0", "x1"])
+        windows = scan(_with_text(wanted, texts, first), _window_hashes, [("windows", _long("a", "w0", "w1"))], ["x0", "x1"])
         windows = stage(windows.select("x0", "x1", F.explode("windows").alias("w")).select("x0", "x1", "w.*").distinct(), "repeat-windows")
+        stored.append(windows)
         twice = windows.groupBy("w0", "w1").count().filter("count > 1").select("w0", "w1")
         out = out.unionByName(windows.join(twice, ["w0", "w1"]).select("x0", "x1", "a", (F.col("a") + LENGTH).alias("e")))
-    return out
+    marks = stage(out.groupBy("x0", "x1").agg(F.collect_set(F.struct("a", "e")).alias("marks")), "repeat-marks")
+    discard(*stored)
+    return marks
 
 
 def _cut(batch: pa.RecordBatch) -> dict:
-    texts = as_bytes(batch.column(batch.schema.get_field_index("_text")))
+    texts = unpacked(batch)
     spans = batch.column(batch.schema.get_field_index("marks")).to_pylist()
     out: dict[str, list] = {"spans": [], "kept": []}
     for t, marks in zip(texts, spans, strict=True):
@@ -312,9 +320,9 @@ def cut_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     prepare(docs.sparkSession)
     docs = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     docs = docs.select("_key", "_text", *text_keys("_text"))
-    marks = stage(repeats(docs).groupBy("x0", "x1").agg(F.collect_set(F.struct("a", "e")).alias("marks")), "repeat-marks")
     fields = [("spans", _long("start", "end")), ("kept", T.BinaryType())]
-    out = scan(docs.join(marks, ["x0", "x1"], "left").withColumn("n_bytes", F.octet_length("_text").cast("long")), _cut, fields, ["_key", "n_bytes"])
+    texts = packed(docs, ["_key", "x0", "x1"]).withColumn("n_bytes", F.col("_size"))
+    out = scan(texts.join(repeats(docs), ["x0", "x1"], "left"), _cut, fields, ["_key", "n_bytes"])
     return out.select(F.col("_key").alias(key), "n_bytes", F.col("spans").alias("removed"), "kept")
 
 
