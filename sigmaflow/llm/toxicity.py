@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from sigmaflow.llm.kit import as_bytes, labelled_sample, prepare, scan, table, word_spans
 
-FIT_ROWS = 8000
+FIT_ROWS = 6000
 FIT_BATCH = 256
 BITS = 20
 STEPS = 300
