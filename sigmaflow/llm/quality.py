@@ -26,14 +26,13 @@ from pyspark.sql import types as T
 from sigmaflow.llm.kit import as_bytes, labelled_sample, prepare, scan, table, word_codes
 from sigmaflow.llm.toxicity import held_out
 
-FIT_ROWS = 8000
+FIT_ROWS = 5000
 FIT_BATCH = 256
 BITS = 18
 FACTORS = 8
 STEPS = 250
 RATE = 0.03
 LEAST_DOCS = 5
-LEAST_Z = 2.5
 CUT = 0.3
 FOLDS, HELD = 5, 0
 STATS = ("lower", "upper", "digit", "space", "line_feed", "stop", "mark", "other_ascii", "bar", "non_ascii",
@@ -130,7 +129,7 @@ def fit(texts: list[bytes], y: np.ndarray, steps: int = STEPS, rate: float = RAT
     docs = np.bincount(bucket, minlength=size) + 1.0
     n1 = y.sum() + 1
     z = (np.log(good / (n1 - good + 0.5)) - np.log((docs - good) / (n + 2 - n1 - docs + good + 0.5))) / np.sqrt(1 / good + 1 / (docs - good))
-    used = np.flatnonzero((docs >= LEAST_DOCS) & (np.abs(z) > LEAST_Z))  # the others keep weight 0
+    used = np.flatnonzero((docs >= LEAST_DOCS) & (np.abs(z) > np.sqrt(np.log(n + 1))))  # worth the BIC price; the others keep weight 0
     place = np.full(size, len(used))
     place[used] = np.arange(len(used))
     at = place.astype(np.int32)[bucket]
