@@ -28,7 +28,7 @@ from sigmaflow.llm.kit import prepare, stage, table
 K = 20
 LINKS = 16
 EF_BUILD = 64
-EF = 120
+EF = 200
 SHARD_ROWS = 20_000
 QUERY_ROWS = 16_384
 LANES = 512
