@@ -223,28 +223,25 @@ def repeated_windows(rows: list[dict], length: int = LENGTH) -> list[dict]:
     return out
 
 
-def _pieces(batch: pa.RecordBatch) -> dict:
+def _extract(batch: pa.RecordBatch) -> dict:
+    """Bytes of the contexts that go to buckets, and hashes of all windows of the others."""
     texts = unpacked(batch)
     wanted = batch.column(batch.schema.get_field_index("wanted")).to_pylist()
-    return {"pieces": [[{**w, "bytes": t[w["a"] : w["b"] + LENGTH]} for w in ws] for t, ws in zip(texts, wanted, strict=True)]}
-
-
-def _window_hashes(batch: pa.RecordBatch) -> dict:
-    texts = unpacked(batch)
-    wanted = batch.column(batch.schema.get_field_index("wanted")).to_pylist()
-    row, place, one, two = [], [], [], []
+    pieces, row, place, one, two = [], [], [], [], []
     for i, (t, ws) in enumerate(zip(texts, wanted, strict=True)):
+        pieces.append([{**w, "bytes": t[w["a"] : w["b"] + LENGTH]} for w in ws if w["bucket"] is not None])
         for w in ws:
-            raw = np.frombuffer(t[w["a"] : w["b"] + LENGTH], np.uint8)
-            n = len(raw) - LENGTH + 1
-            for out, letters in ((one, LETTER), (two, _SECOND)):
-                total, inverse = _sums(raw, letters)
-                out.append(mix((total[LENGTH:] - total[:-LENGTH]) * inverse[:n]).view(np.int64))
-            row.append(np.full(n, i))
-            place.append(w["a"] + np.arange(n))
+            if w["bucket"] is None:
+                raw = np.frombuffer(t[w["a"] : w["b"] + LENGTH], np.uint8)
+                n = len(raw) - LENGTH + 1
+                for out, letters in ((one, LETTER), (two, _SECOND)):
+                    total, inverse = _sums(raw, letters)
+                    out.append(mix((total[LENGTH:] - total[:-LENGTH]) * inverse[:n]).view(np.int64))
+                row.append(np.full(n, i))
+                place.append(w["a"] + np.arange(n))
     none = [np.zeros(0, np.int64)]
-    row = np.concatenate(row or none)
-    return {"windows": _lists(row, len(texts), {k: pa.array(np.concatenate(v or none), pa.int64()) for k, v in (("a", place), ("w0", one), ("w1", two))})}
+    windows = _lists(np.concatenate(row or none), len(texts), {k: pa.array(np.concatenate(v or none), pa.int64()) for k, v in (("a", place), ("w0", one), ("w1", two))})
+    return {"pieces": pieces, "windows": windows}
 
 
 def _with_text(rows: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
@@ -275,24 +272,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     first = docs.groupBy("x0", "x1").agg(F.min("_key").alias("first"))
     texts = packed(docs, ["_key", "x0", "x1"])
 
-    small = left.filter(F.col("k") <= GROUP)
-    size = small.agg(F.sum(F.col("b") - F.col("a") + LENGTH)).first()[0] or 0
+    small = F.col("k") <= GROUP
+    size = left.filter(small).agg(F.sum(F.col("b") - F.col("a") + LENGTH)).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    wanted = small.groupBy("x0", "x1").agg(F.collect_list(F.struct(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket"), "a", "b", "asked")).alias("wanted"))
+    bucket = F.when(small, F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    wanted = left.groupBy("x0", "x1").agg(F.collect_list(F.struct(bucket.alias("bucket"), "a", "b", "asked")).alias("wanted"))
     piece = T.ArrayType(T.StructType([T.StructField("bucket", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("asked", T.BooleanType()), T.StructField("bytes", T.BinaryType())]))
-    pieces = scan(_with_text(wanted, texts, first), _pieces, [("pieces", piece)], ["x0", "x1"]).select("x0", "x1", F.explode("pieces").alias("p")).select("x0", "x1", "p.*")
+    cut = stage(scan(_with_text(wanted, texts, first), _extract, [("pieces", piece), ("windows", _long("a", "w0", "w1"))], ["x0", "x1"]), "repeat-pieces")
+    pieces = cut.select("x0", "x1", F.explode("pieces").alias("p")).select("x0", "x1", "p.*")
     indexed = pieces.repartition(max(1, min(parts, buckets)), "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_marks, "x0 long, x1 long, a long, e long")
-    stored = [rows, contexts, left, stage(indexed, "repeat-indexed")]
-    out = alike.unionByName(twins).unionByName(stored[-1])
-
-    large = left.filter(F.col("k") > GROUP)
-    if not large.isEmpty():
-        wanted = large.groupBy("x0", "x1").agg(F.collect_list(F.struct("a", "b")).alias("wanted"))
-        windows = scan(_with_text(wanted, texts, first), _window_hashes, [("windows", _long("a", "w0", "w1"))], ["x0", "x1"])
-        windows = stage(windows.select("x0", "x1", F.explode("windows").alias("w")).select("x0", "x1", "w.*").distinct(), "repeat-windows")
-        stored.append(windows)
-        twice = windows.groupBy("w0", "w1").count().filter("count > 1").select("w0", "w1")
-        out = out.unionByName(windows.join(twice, ["w0", "w1"]).select("x0", "x1", "a", (F.col("a") + LENGTH).alias("e")))
+    windows = cut.select("x0", "x1", F.explode("windows").alias("w")).select("x0", "x1", "w.*").distinct()
+    twice = windows.groupBy("w0", "w1").count().filter("count > 1").select("w0", "w1")
+    counted = windows.join(twice, ["w0", "w1"]).select("x0", "x1", "a", (F.col("a") + LENGTH).alias("e"))
+    stored = [rows, contexts, left, cut, stage(indexed, "repeat-indexed"), stage(counted, "repeat-counted")]
+    out = alike.unionByName(twins).unionByName(stored[-2]).unionByName(stored[-1])
+
     marks = stage(out.groupBy("x0", "x1").agg(F.collect_set(F.struct("a", "e")).alias("marks")), "repeat-marks")
     discard(*stored)
     return marks
