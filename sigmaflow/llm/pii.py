@@ -3,12 +3,12 @@
 Base spans are e-mail addresses, IPv4 addresses, card and phone numbers, found by
 pattern and checked (parts, digits, Luhn). Each value is a protected entity e.
 
-Information-theoretic sanitisation: the words within ``CONTEXT`` characters of a
-mention are terms t. Over all documents, n_e hold the entity, n_t the term anywhere,
-n_te the term near the entity. Pointwise mutual information log2(N n_te / (n_t n_e)),
-against the entity's information log2(N / n_e), is the share of the entity that the term
-gives away; a term with a share of ``THRESHOLD`` or more, seen near the entity in
-``SUPPORT`` documents or more, is a span of kind ``term`` wherever it stands near that entity.
+Information-theoretic sanitisation: the words of documents that hold an entity, outside its spans, are
+terms t. Over all documents, n_e hold the entity, n_t the term anywhere, n_te both. Pointwise mutual
+information log2(N n_te / (n_t n_e)), against the entity's information log2(N / n_e), is the share of the
+entity that the term gives away. Support stands in the formula, through n_e and n_t; no pair is dropped for
+being seen in few documents. A term with a share of ``THRESHOLD`` or more of any entity is a span of kind
+``term`` wherever it stands, in documents with and without the entity.
 ``sanitise`` replaces base spans by their kind, generalises terms with digits and removes other terms.
 
 Defined results: a null or empty text has no spans; rows are documents, so repeated rows count
@@ -34,10 +34,15 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 TERM = r"[\p{L}\p{N}]{3,}"
-CONTEXT = 80
-SUPPORT = 2
+#: Parts of a text whose offsets are summed at once.
+BLOCK = 64
+#: Documents in which a pair is seen at least; one is no cut.
+SUPPORT = 1
 THRESHOLD = 0.75
 BROADCAST_ROWS = 500_000
+#: A term or entity in more than one of so many documents is hot; its rows are dealt over ``SALTS`` parts.
+HOT = 1000
+SALTS = 64
 
 
 def _marked(text: Column, pattern: str) -> Column:
@@ -96,19 +101,62 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(_of_kind(text, rank, kind) for rank, kind in enumerate(KINDS))))
 
 
-def _context(text: Column, spans: Column) -> Column:
-    """Words near each span that touch no span: array<(entity, term, start, end)>."""
-    def near(s: Column) -> Column:
-        lo, hi = F.greatest(s.start - CONTEXT, F.lit(0)), F.least(s.end + CONTEXT, F.length(text))
-        words = _marked(F.substr(text, lo + 1, hi - lo), TERM)
-        whole = F.filter(words, lambda w: ((w.start > 0) | (lo == 0)) & ((w.end + lo < hi) | (hi == F.length(text))))
-        moved = F.transform(whole, lambda w: F.struct(s.entity.alias("entity"), F.lower(w.value).alias("term"), (w.start + lo).alias("start"), (w.end + lo).alias("end")))
-        return F.filter(moved, lambda w: ~F.exists(spans, lambda b: (w.start < b.end) & (b.start < w.end)))
-    return F.array_distinct(F.flatten(F.transform(spans, near)))
+def _let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once."""
+    return F.transform(F.array(value), fn)[0]
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _words(text: Column, spans: Column) -> Column:
+    """All words that touch no span: array<(term, start, end)>, in time linear in the text but for its spans."""
+    def block(parts: Column, at: Column, i: Column) -> Column:
+        walk = F.aggregate(
+            F.slice(parts, i * BLOCK + 2, F.lit(BLOCK)),
+            F.struct(at.alias("at"), F.array().cast("array<struct<term:string,start:int,end:int>>").alias("out")),
+            lambda a, p: F.struct(
+                (a.at + F.length(p) - 1).alias("at"),
+                F.concat(a.out, F.array(F.struct(F.lower(F.substring_index(p, "\u0002", 1)).alias("term"), a.at.alias("start"), (a.at + F.locate("\u0002", p) - 1).alias("end")))).alias("out")))
+        return walk.out
+
+    def located(parts: Column) -> Column:
+        n = F.greatest(F.floor((F.size(parts) - 2) / BLOCK).cast("int"), F.lit(0))
+        ends = F.aggregate(F.sequence(F.lit(0), n), F.array(F.length(parts[0])), lambda a, i: F.concat(a, F.array(
+            F.aggregate(F.slice(parts, i * BLOCK + 2, F.lit(BLOCK)), F.element_at(a, -1), lambda x, p: x + F.length(p) - 1))))
+        return _let(ends, lambda e: F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: block(parts, F.get(e, i), i))))
+
+    found = _let(F.split(F.regexp_replace(text, TERM, "\u0001$0\u0002"), "\u0001"), located)
+    return F.when(F.size(spans) == 0, found).otherwise(F.filter(found, lambda w: ~F.exists(spans, lambda b: (w.start < b.end) & (b.start < w.end))))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _meet(rows: DataFrame, known: DataFrame, on: str, hot: DataFrame, salt: Column) -> DataFrame:
+    """Rows joined with ``known`` (a row for each value of ``on``): broadcast when counted small, else hashed.
+
+    Hashed rows of the values in ``hot`` are dropped before the shuffle when not known, and dealt over ``SALTS`` parts by ``salt`` when known.
+    """
+    if known.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(known), on)
+    hot = hot.join(known.select(on, F.lit(SALTS).alias("_w")), on, "left").withColumn("_w", F.coalesce("_w", F.lit(0)))
+    dealt = rows.join(F.broadcast(hot), on, "left").filter("_w IS NULL OR _w > 0")
+    dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64(salt), F.coalesce("_w", F.lit(1)).cast("long"))).drop("_w")
+    copies = known.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_w", F.lit(1)).cast("long") - 1))).drop("_w")
+    return dealt.join(copies, [on, "_salt"]).drop("_salt")
+
+
+def _share(n: int) -> tuple[Column, Column]:
+    """The share of the entity that the term gives away, and the entity's information."""
+    info = F.log2(F.lit(float(n)) / F.col("n_e"))
+    return F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / info, info
+
+
+def _disclosing(pairs: DataFrame, n_e: DataFrame, n: int, threshold: float, support: int) -> DataFrame:
+    """Pairs above the threshold. pairs: entity, term, n_te, n_t; n_e: entity, n_e."""
+    hot = n_e.filter(F.col("n_e") * HOT > n).select("entity")
+    got = _meet(pairs.filter(F.col("n_te") >= support), n_e, "entity", hot, F.col("term"))
+    share, info = _share(n)
+    return got.filter(info > 0).withColumn("share", share).filter(F.col("share") >= threshold).select("entity", "term", "share")
 
 
 def disclosing(docs: DataFrame, near: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
@@ -116,16 +164,20 @@ def disclosing(docs: DataFrame, near: DataFrame, threshold: float = THRESHOLD, s
 
     docs: rid, text of all documents; near: rid, entity, term, one row of each.
     """
-    pairs = stage(near.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support), "pii-pairs")
-    terms = _maybe_broadcast(pairs.select("term").distinct())
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = words.join(terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     n_e = near.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    n = docs.count()
-    got = pairs.join(n_t, "term").join(n_e, "entity")
-    info = F.log2(F.lit(float(n)) / F.col("n_e"))
-    share = F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / info
-    return got.filter(info > 0).withColumn("share", share).filter(F.col("share") >= threshold).select("entity", "term", "share")
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    return _disclosing(pairs.join(n_t, "term"), n_e, docs.count(), threshold, support)
+
+
+def _disclosing_terms(base: DataFrame, hot: DataFrame, words: DataFrame, n_e: DataFrame, n: int, threshold: float, support: int) -> DataFrame:
+    """Terms that disclose any entity. base: rid, text, base; words: term, n_t, those that may."""
+    held = base.filter(F.size("base") > 0).select(
+        "rid", F.array_distinct(F.transform("base", lambda s: s.entity)).alias("held"),
+        F.explode(F.array_distinct(F.transform(_words(F.col("text"), F.col("base")), lambda w: w.term))).alias("term"))
+    near = _meet(held, words, "term", hot, F.col("rid")).select("term", "n_t", F.explode("held").alias("entity"))
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_t").alias("n_t"))
+    return _disclosing(pairs, n_e, n, threshold, support).select("term").distinct()
 
 
 def find_pii(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
@@ -133,14 +185,20 @@ def find_pii(docs: DataFrame, *, key: str = "doc_id", text: str = "text", thresh
     prepare(docs.sparkSession)
     docs = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     clean = docs.select("_key", *text_keys(), F.translate("text", "\u0001\u0002", "\u0003\u0003").alias("text"))
-    base = clean.withColumn("rid", F.monotonically_increasing_id()).withColumn("base", base_spans(F.col("text")))
-    base = base.withColumn("near", F.when(F.size("base") > 0, _context(F.col("text"), F.col("base"))))
-    base = stage(base.drop("text"), "pii-base")
-    words = base.select("rid", F.explode("near").alias("w")).select("rid", "w.*")
-    pairs = disclosing(docs, words.select("rid", "entity", "term").distinct(), threshold, support)
-    hits = words.join(_maybe_broadcast(stage(pairs, "pii-disclosing")), ["entity", "term"])
-    spans = hits.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "end", "term"))).alias("terms"))
-    out = base.join(spans, "rid", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,term:string>>")))
+    base = stage(clean.withColumn("rid", F.monotonically_increasing_id()).withColumn("base", base_spans(F.col("text"))), "pii-base")
+    n = base.count()
+    n_e = stage(base.select(F.explode(F.array_distinct(F.transform("base", lambda s: s.entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")), "pii-entities")
+    most = n_e.agg(F.max("n_e")).first()[0] or 0
+    # n_te is n_e at most, so that no pair with a term in more documents reaches the threshold
+    limit = n * (most / max(n, 1)) ** max(threshold, 0.0) * (1 + 1e-9)
+    counted = base.select((F.size("base") > 0).alias("_in"), F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"), F.max("_in").alias("_in"))
+    may, often = F.col("_in") & (F.col("n_t") <= limit), F.col("n_t") * HOT > n
+    counted = stage(counted.withColumn("may", may).withColumn("hot", often).filter("may OR hot"), "pii-words")
+    hot = counted.filter("hot").select("term")
+    terms = stage(_disclosing_terms(base, hot, counted.filter("may").select("term", "n_t"), n_e, n, threshold, support), "pii-disclosing")
+    words = base.select("rid", F.explode(_words(F.col("text"), F.col("base"))).alias("w")).select("rid", "w.*")
+    spans = _meet(words, terms, "term", hot, F.col("rid")).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "term"))).alias("terms"))
+    out = base.drop("text").join(spans, "rid", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,term:string>>")))
     return out.select(F.col("_key").alias(key), "x0", "x1", "base", "terms")
 
 

@@ -199,6 +199,31 @@ def test_disclosing_terms(spark):
     assert "[EMAIL]" in pii.sanitise(df).filter("doc_id = 0").first().text and "zarkov" not in pii.sanitise(df).filter("doc_id = 0").first().text
 
 
+def test_disclosing_terms_in_all_documents(spark, monkeypatch):
+    """By the formula over whole documents, in Python: pairs far apart, seen once, and terms where no entity stands."""
+    import math
+    import re
+    far = " ".join(f"fill{i} the" for i in range(200))
+    texts = [f"Zarkov {far} p@q.org", f"zarkov {far} p@q.org lonely", "we met ZARKOV and the lonely desk7", "desk7 call +1 (743) 555-3824", "é the x@y.de5 1.2.3.4"] + [f"the weather of day{i} is the same" for i in range(60)]
+    plain = {i: [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W_]{3,}", x)] for i, x in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (pii.BROADCAST_ROWS, 0):  # 0: hashed, with hot terms salted
+        monkeypatch.setattr(pii, "BROADCAST_ROWS", most)
+        rows = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+        free = {i: [w for w in ws if not any(w[0] < b.end and b.start < w[1] for b in rows[i].base)] for i, ws in plain.items()}
+        terms, n = set(), len(texts)
+        for e in {b.entity for r in rows.values() for b in r.base}:
+            held = [i for i, r in rows.items() if e in {b.entity for b in r.base}]
+            for t in {w[2] for i in held for w in free[i]}:
+                n_te, n_t = sum(t in {w[2] for w in free[i]} for i in held), sum(t in {w[2] for w in ws} for ws in plain.values())
+                if math.log2(n * n_te / (n_t * len(held))) / math.log2(n / len(held)) >= pii.THRESHOLD:
+                    terms.add(t)
+        assert {"zarkov", "lonely", "desk7", "fill199"} <= terms and "the" not in terms
+        for i, r in rows.items():
+            assert [tuple(x) for x in r.terms] == [w for w in free[i] if w[2] in terms]
+    assert {r.text for r in pii.sanitise(docs.filter("doc_id != 3")).filter("doc_id = 2").collect()} == {"we met  and the  desk7"}
+
+
 def test_order(spark, odd_docs, no_docs, tmp_path):
     got = order.sequences(odd_docs, length=64, rows=8)
     rows = got.collect()
