@@ -27,12 +27,17 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a step to the shared folder and read it back; free what the step shuffled."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
+def free(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete finished shuffles."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete finished shuffles
+    spark.sparkContext._jvm.System.gc()
+
+
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write a step to the shared folder and read it back; free what the step shuffled. The options are the Parquet writer's."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").options(**options).parquet(path)
+    free(spark)
     out = spark.read.parquet(path)
     out.staged_at = path
     return out

@@ -3,9 +3,11 @@
 Texts become token ids, cut into sequences of ``length`` ids (the last ends with EOS and is padded). Sequences
 are numbered 0..N-1 by key, text hash and part; a Feistel network keyed by ``seed``, with
 cycle-walking (apply again until the value is below N), maps each number to its global slot, a bijection.
-Slots are cut into ranges of ``rows`` sequences; a shard is one range, its sequences of equal
-stride laid one after another, so slot s stands in shard s // rows at byte (s % rows) * stride, and a
-reader resumes at any slot.
+Slots are cut into ranges of ``rows`` sequences; a shard is one range and one uncompressed file, its sequences of
+equal stride laid one after another, so slot s stands in the file of shard s // rows at byte (s % rows) * stride, and
+a reader resumes at any slot. A narrow Parquet index beside the files, a range of shards to each of its parts, has
+the keys. Files are written by the tasks under a name of their own and renamed when whole, in any store that
+``pyarrow.fs`` reaches by the path's URI (file, hdfs, s3, gs).
 
 Without a tokenizer file, ids are the UTF-8 bytes; 0xFE and 0xFF never stand in UTF-8 and are EOS and PAD. With the path
 of a ``tokenizers`` JSON file, its ids are used, its size and one above are EOS and PAD.
@@ -18,6 +20,9 @@ their own; an empty table gives no shards; null keys come first; other columns a
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigmaflow.llm.kit import as_bytes, packed, prepare, scan, stage, table, unpacked
+from sigmaflow.llm.kit import BATCH_ROWS, as_bytes, discard, free, packed, prepare, scan, stage, table, unpacked
 
 LENGTH = 2048
 ROWS = 1024
@@ -78,9 +83,9 @@ class Encoder:
         return [np.asarray(e.ids, self.kind) for e in made]
 
 
-def sequences(docs: DataFrame, *, key: str = "doc_id", text: str = "text", seed: str = SEED, length: int = LENGTH, rows: int = ROWS,
-              tokenizer: str | None = None) -> DataFrame:
-    """slot, shard, offset, key, part, n_tokens (with EOS), tokens (``length`` ids as bytes), partitioned by shard and sorted by slot."""
+def _packed_sequences(docs: DataFrame, *, key: str = "doc_id", text: str = "text", seed: str = SEED, length: int = LENGTH, rows: int = ROWS,
+                      tokenizer: str | None = None) -> DataFrame:
+    """slot, shard, offset, key, part, n_tokens, and compressed tokens; a range of shards to each partition, sorted by slot."""
     spark = docs.sparkSession
     prepare(spark)
     model = spark.read.text(tokenizer, wholetext=True).first()[0] if tokenizer else None
@@ -112,7 +117,7 @@ def sequences(docs: DataFrame, *, key: str = "doc_id", text: str = "text", seed:
         df = df.withColumn("_copy", F.row_number().over(W.partitionBy("k0", "k1").orderBy("k0")) - 1)
 
     def emit(batch: pa.RecordBatch) -> dict:
-        e = Encoder(shared.value)
+        e, codec = Encoder(shared.value), pa.Codec("zstd")
         get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
         made = e.ids(unpacked(batch))
         n = np.fromiter(map(len, made), np.int64, len(made)) // length + 1
@@ -124,25 +129,151 @@ def sequences(docs: DataFrame, *, key: str = "doc_id", text: str = "text", seed:
             flat = np.full(k * length, e.pad, e.kind)
             flat[: len(ids)] = ids
             flat[len(ids)] = e.eos
-            out.append([{"slot": at[i + j], "part": j, "n_tokens": min(length, len(ids) + 1 - j * length), "tokens": flat[j * length : (j + 1) * length].tobytes()} for j in range(k)])
+            out.append([{"slot": at[i + j], "part": j, "n_tokens": min(length, len(ids) + 1 - j * length), "_packed": codec.compress(flat[j * length : (j + 1) * length].tobytes(), asbytes=True)} for j in range(k)])
             i += k
         return {"_made": out}
 
-    made = T.ArrayType(T.StructType([T.StructField("slot", T.LongType()), T.StructField("part", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.BinaryType())]))
+    made = T.ArrayType(T.StructType([T.StructField("slot", T.LongType()), T.StructField("part", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("_packed", T.BinaryType())]))
     out = scan(df, emit, [("_made", made)], ["_key"]).select("_key", F.explode("_made").alias("s")).select("_key", "s.*")
-    out = out.withColumn("shard", F.floor(F.col("slot") / rows)).withColumn("offset", (F.col("slot") % rows) * F.octet_length("tokens"))
-    return out.repartition(parts, "shard").sortWithinPartitions("slot").select("slot", "shard", "offset", F.col("_key").alias(key), "part", "n_tokens", "tokens")
+    stride = length * Encoder(model).kind.itemsize
+    out = out.withColumn("shard", F.floor(F.col("slot") / rows)).withColumn("offset", (F.col("slot") % rows) * stride).withColumn("_size", F.lit(stride).cast("long"))
+    shards = max(1, -(-total // rows))
+    parts = min(parts, shards)
+    out = out.repartitionById(parts, F.floor(F.col("shard") * parts / shards).cast("int")).sortWithinPartitions("slot")
+    return out.select("slot", "shard", "offset", F.col("_key").alias(key), "part", "n_tokens", "_packed", "_size")
+
+
+def sequences(docs: DataFrame, **options) -> DataFrame:
+    """slot, shard, offset, key, part, n_tokens (with EOS), tokens (``length`` ids as bytes), partitioned by ranges of shards and sorted by slot."""
+    df = _packed_sequences(docs, **options)
+    return scan(df, lambda batch: {"tokens": unpacked(batch)}, [("tokens", T.BinaryType())], df.columns[:-2])
+
+
+def shard_file(path: str, shard: int) -> str:
+    return f"{path}/shards/{shard:09d}.bin"
+
+
+def _store(uri: str) -> tuple:
+    """The file system of a qualified path, and the path in it."""
+    from pyarrow import fs
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + unquote(uri[5:].lstrip("/"))
+    return fs.FileSystem.from_uri(uri)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hpath).toUri().toString()
+
+
+class _Shard:
+    """One file, under a name of its own until it is whole; a task that runs again writes the same bytes."""
+
+    def __init__(self, uri: str, shard: int):
+        self.fs, root = _store(uri)
+        self.shard, self.size, self.name = shard, 0, shard_file(root, shard)
+        self.fs.create_dir(f"{root}/shards", recursive=True)
+        self.own = f"{root}/shards/.{shard:09d}-{uuid.uuid4().hex}"
+        self.out = self.fs.open_output_stream(self.own, buffer_size=1 << 20)
+
+    def add(self, offset: int, tokens: bytes) -> None:
+        if offset != self.size:
+            raise ValueError(f"shard {self.shard}: byte {self.size} written, {offset} expected")
+        self.out.write(tokens)
+        self.size += len(tokens)
+
+    def close(self) -> None:
+        self.out.close()
+        try:
+            self.fs.move(self.own, self.name)
+        except OSError:  # a store that doesn't rename over the file of an earlier attempt
+            if self.fs.get_file_info(self.name).size != self.size:
+                raise
+            self.fs.delete_file(self.own)
+
+    def drop(self) -> None:
+        self.out.close()
+        self.fs.delete_file(self.own)
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> DataFrame:
-    """Write the sequences in slot order as fixed-stride rows under ``path``; the written table."""
-    sequences(docs, **options).write.mode("errorifexists").option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    """Write a file of fixed stride for each shard, then the index, under ``path``; the written table, read by offset.
+
+    The sorted sequences are stored in between, so that what was shuffled is freed before the files take their space.
+    """
+    spark = docs.sparkSession
+    uri = _qualified(spark, path)
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    if hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath):
+        raise FileExistsError(uri)
+    sorted_ = stage(sequences(docs, **options).withColumn("_size", F.octet_length("tokens").cast("long")), "order-sorted", compression="zstd")
+    files = sorted_.inputFiles()  # one of each partition: whole shards, in order of slots
+    held = sorted_.agg(F.sum("_size")).first()[0] or 0
+    free(spark)  # again, now that listeners have let go of the finished query
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import parquet
+        for i in (i for batch in batches for i in batch.column(0).to_pylist()):
+            fs, name = _store(files[i])
+            now, done = None, []
+            try:
+                with fs.open_input_file(name) as source:
+                    for batch in parquet.ParquetFile(source).iter_batches(BATCH_ROWS, columns=["shard", "offset", "tokens"]):
+                        for shard, offset, tokens in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "tokens")), strict=True):
+                            if now is None or now.shard != shard:
+                                if now is not None:
+                                    now.close()
+                                now = _Shard(uri, shard)
+                                done.append(now)
+                            now.add(offset, tokens)
+                if now is not None:
+                    now.close()
+            except BaseException:
+                if now is not None and not now.out.closed:
+                    now.drop()
+                raise
+            yield pa.RecordBatch.from_pydict({"size": pa.array([x.size for x in done], pa.int64())})
+
+    sizes = spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(write, "size long")
+    written = sizes.agg(F.sum("size")).first()[0] or 0
+    if written != held:
+        raise RuntimeError(f"{written} bytes of {held} written to {uri}")
+    index = sorted_.drop("tokens").repartitionByRange(max(1, len(files)), "shard").sortWithinPartitions("slot")
+    index.write.mode("errorifexists").parquet(f"{path}/index")
+    discard(sorted_)
+    return read_shards(spark, path)
+
+
+def _with_tokens(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
+    """Rows of the index and their tokens, each read at its offset in the file of its shard."""
+    uri = _qualified(spark, path)
+
+    def seek(batch: pa.RecordBatch) -> dict:
+        fs, root = _store(uri)
+        out, now, file = [], None, None
+        for shard, offset, size in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shard", "offset", "_size")), strict=True):
+            if shard != now:
+                if file is not None:
+                    file.close()
+                now, file = shard, fs.open_input_file(shard_file(root, shard))
+            out.append(file.read_at(size, offset))
+            if len(out[-1]) != size:
+                raise ValueError(f"shard {shard} ends before byte {offset + size}")
+        if file is not None:
+            file.close()
+        return {"tokens": out}
+
+    return scan(index, seek, [("tokens", T.BinaryType())], [c for c in index.columns if c != "_size"])
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The written table, as ``sequences`` gives it."""
+    return _with_tokens(spark, path, spark.read.parquet(f"{path}/index"))
 
 
 def read_from(spark: SparkSession, path: str, slot: int = 0) -> DataFrame:
-    """Sequences from a slot on, in order of slots; files of earlier slots are skipped by their statistics."""
-    return spark.read.parquet(path).filter(F.col("slot") >= slot).orderBy("slot")
+    """Sequences from a slot on, in order of slots; only the index is filtered and sorted, and no file of an earlier shard is opened."""
+    return _with_tokens(spark, path, spark.read.parquet(f"{path}/index").filter(F.col("slot") >= slot).orderBy("slot"))
 
 
 def digests(shards: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -240,6 +240,27 @@ def test_order(spark, odd_docs, no_docs, tmp_path):
     assert order.sequences(no_docs).isEmpty()
 
 
+def test_shards_are_files_of_fixed_stride(spark, odd_docs, no_docs, tmp_path):
+    """Every slot stands at byte (s % rows) * stride of its shard's file, and the parts of the index are ranges of slots."""
+    import os
+    want = {r.slot: r for r in order.sequences(odd_docs, length=64, rows=8).collect()}
+    path = str(tmp_path / "shards")
+    got = {r.slot: r for r in order.write_shards(odd_docs, path, length=64, rows=8).collect()}
+    assert got == want and len(os.listdir(f"{path}/shards")) == -(-len(want) // 8)
+    for slot, r in want.items():
+        with open(order.shard_file(path, slot // 8), "rb") as f:
+            f.seek(slot % 8 * 64)
+            assert f.read(64) == bytes(r.tokens)
+    assert sum(os.path.getsize(f"{path}/shards/{x}") for x in os.listdir(f"{path}/shards")) == 64 * len(want)
+    parts = [sorted(r.slot for r in spark.read.parquet(f"{path}/index/{x}").collect()) for x in os.listdir(f"{path}/index") if x.endswith(".parquet")]
+    parts = sorted(x for x in parts if x)
+    assert len(parts) > 1 and all(x == list(range(x[0], x[-1] + 1)) for x in parts)
+    for shard in range(2):  # a resume opens no file of an earlier shard
+        os.remove(order.shard_file(path, shard))
+    assert [r.slot for r in order.read_from(spark, path, 20).collect()] == list(range(20, len(want)))
+    assert order.write_shards(no_docs, str(tmp_path / "none")).isEmpty()
+
+
 def test_order_with_tokenizer(spark):
     import os
     path = "/opt/tokenizers/byte_bpe_50k.json"
