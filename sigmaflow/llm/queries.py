@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigmaflow.llm import chat, decontaminate, hnsw, jaccard, mixing, order, pii, quality, repeats, toxicity
+from sigmaflow.llm import bpe, chat, decontaminate, hnsw, jaccard, merkle, mixing, order, pii, quality, repeats, toxicity, whitening
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_order": order.op9_order,
     "op10_quality": quality.op10_quality,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_bpe": bpe.op12_bpe,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 SQL = {
@@ -24,4 +27,5 @@ SQL = {
     "op5_jaccard": jaccard.OP5_SQL,
     "op7_chat": chat.OP7_SQL,
     "op9_order": order.OP9_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
