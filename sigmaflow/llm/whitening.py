@@ -316,7 +316,7 @@ def fit_whitening(vectors: DataFrame, dim: int, components: int = COMPONENTS) ->
     n, sums = totals[0]["n"], [int(r["s"]) for r in totals]
     rough = spectrum(fit.repartition(parts), dim)
     basis = np.linalg.qr(rough.v[:, ::-1])[0]
-    values, turn = np.linalg.eigh(projected_covariance(fit.repartition(parts), n, sums, basis))
+    values, turn = np.linalg.eigh(projected_covariance(fit, n, sums, basis))
     trace = values.sum()
     k = min(components, dim)
     values, w = values[::-1][:k], (basis @ turn)[:, ::-1][:, :k]
@@ -325,7 +325,7 @@ def fit_whitening(vectors: DataFrame, dim: int, components: int = COMPONENTS) ->
     some = values > NO_VARIANCE * max(trace, 0)
     error = None
     if some.any():
-        white = projected_covariance(fit.repartition(parts), n, sums, w[:, some] / np.sqrt(values[some]))
+        white = projected_covariance(fit, n, sums, w[:, some] / np.sqrt(values[some]))
         error = float(np.abs(white - np.eye(int(some.sum()))).max())
     return Whitening(n, sums, w, np.where(some, values, 0.0), np.where(some, values / trace if trace > 0 else 0.0, 0.0), error)
 
