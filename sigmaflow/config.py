@@ -62,6 +62,8 @@ class GarchGrid:
 
 
 DEFAULT_GRID = GarchGrid()
+#: Coarse candidates over the whole range; the refined fit climbs from each that none of its neighbours exceeds.
+GUARD_GRID = GarchGrid(alphas=(0.0, 0.05, 0.22, 0.5, 0.8), persistences=(0.90, 0.98, MAX_PERSISTENCE), nus=(3.0, 6.0, 100.0))
 
 
 @dataclass(frozen=True)

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmaflow.config import DEFAULT_GRID, DISTRIBUTIONS, GarchGrid
+from sigmaflow.config import DEFAULT_GRID, DISTRIBUTIONS, GUARD_GRID, GarchGrid
 from sigmaflow.operators.garch_kernel import COMPARED_DIGITS
 
 LN_2PI = math.log(2 * math.pi)
@@ -220,42 +220,76 @@ def grid_fit_numpy(samples: DataFrame, keys: list[str], grid: GarchGrid = DEFAUL
 
 
 MLE_FIELDS = ("alpha double, persistence double, beta double, nu double, loglik double, h_next double, "
-              "n_obs long, grid_loglik double, rounds int, converged boolean, at_bound boolean, "
+              "n_obs long, grid_loglik double, rounds int, warm boolean, converged boolean, at_bound boolean, "
               "se_alpha double, se_beta double, se_nu double")
 
 
 def mle_fit_numpy(samples: DataFrame, keys: list[str], grid: GarchGrid = DEFAULT_GRID,
                   distributions: tuple[str, ...] = DISTRIBUTIONS, with_se: bool = True) -> DataFrame:
-    """Refined ML fit per sample and distribution: grid start, bounded search with shrinking
-    spacing, then sandwich (robust) standard errors.
-
-    ``converged`` is false only for a sample with a null return or without rows, whose fit is null.
+    """Refined ML fit per sample and distribution: bounded Newton steps with exact derivatives, then
+    sandwich (robust) standard errors.
+
+    The first window of a block climbs from the best point of the grid, the next ones from where their
+    neighbour ended (``warm``). The likelihood of a short sample can have several tops, so every sample is also climbed from each point of a
+    coarse grid that none of its neighbours exceeds (one point, where there is one top), and the best top stays.
+    ``rounds`` counts the Newton steps; ``grid_loglik`` is given where the whole grid was searched.
+    ``converged`` is false for a sample with a null return or without rows, whose fit is null.
     """
     import pandas as pd
 
     import numpy as np
 
-    from sigmaflow.operators.garch_kernel import best_index, grid_scan, refine, robust_se
+    from sigmaflow.operators.garch_kernel import best_index, grid_scan
+    from sigmaflow.operators.garch_newton import maximise, sandwich_se
 
     g = _grid_arrays(samples.sparkSession, grid, distributions)
     schema = _out_schema(samples, keys, MLE_FIELDS)
     cols = [*keys, "distribution", *(f.split()[0] for f in MLE_FIELDS.split(", "))]
 
-    def fit_one(rec: dict, r) -> list[dict]:
-        ll, _ = grid_scan(r, g)
-        rows = []
+    guard = _grid_arrays(samples.sparkSession, GUARD_GRID, distributions)
+    axes = [np.unique(guard[c][~np.isnan(guard[c])]) for c in ("alpha", "persistence", "nu")]
+    place = np.stack([np.searchsorted(axis, guard[c]) for axis, c in zip(axes, ("alpha", "persistence", "nu"), strict=True)], axis=1)
+    near = (np.abs(place[:, None, :] - place[None, :, :]) <= 1).all(axis=2) & (guard["distribution"][:, None] == guard["distribution"][None, :])
+
+    def point(grid_arrays, i):
+        return tuple(grid_arrays[c][i] for c in ("alpha", "persistence", "nu"))
+
+    def fit_all(r, neighbour: dict) -> dict:
+        """By distribution: theta, log-likelihood, next variance, steps, converged, the grid's best likelihood, whether a neighbour was used."""
+        usable = len(r) > 0 and bool(np.isfinite(r).all())
+        found = {}
+        lls, tops = None, np.zeros(0, int)
+        if usable:
+            lls, _ = grid_scan(r, guard)
+            lls = np.where(np.isfinite(lls), lls, -np.inf)
+            tops = np.flatnonzero(lls >= np.where(near, lls[None, :], -np.inf).max(axis=1))
         for d in distributions:
+            student, before, grid_ll = d != "Normal", neighbour.get(d), np.nan
             sel = np.flatnonzero(g["distribution"] == d)
-            i = sel[best_index(ll[sel], g["alpha"][sel], g["persistence"][sel], g["nu"][sel])]
+            if before is None and usable:
+                ll, _ = grid_scan(r, {c: v[sel] for c, v in g.items()})
+                i = best_index(ll, g["alpha"][sel], g["persistence"][sel], g["nu"][sel])
+                first, grid_ll = point(g, sel[i]), ll[i]
+            else:
+                first = before or point(g, sel[0])
+            starts = [first, *(point(guard, i) for i in tops if guard["distribution"][i] == d)]
+            climbs = [maximise(r, a, p, n if student else None) for a, p, n in starts]
+            theta, ll, h_next, _, converged = max(climbs, key=lambda t: (t[4], t[1] if np.isfinite(t[1]) else -np.inf))
+            found[d] = theta, ll, h_next, sum(t[3] for t in climbs), converged, grid_ll, before is not None
+        return found
+
+    def fit_one(rec: dict, r, neighbour: dict) -> list[dict]:
+        rows = []
+        for d, (theta, best, h_next, rounds, converged, grid_ll, warm) in fit_all(r, neighbour).items():
             student = d != "Normal"
-            theta, best, h_next, rounds, converged = refine(
-                r, g["alpha"][i], g["persistence"][i], g["nu"][i] if student else None)
             row = {**rec, "distribution": d, "alpha": theta[0], "persistence": theta[1], "beta": theta[1] - theta[0],
                    "nu": theta[2] if student else None, "loglik": best, "h_next": h_next, "n_obs": len(r),
-                   "grid_loglik": ll[i], "rounds": rounds, "converged": converged}
-            if with_se and converged:
-                se, row["at_bound"] = robust_se(r, theta, student)
-                row |= dict(zip(("se_alpha", "se_beta", "se_nu"), se, strict=False))
+                   "grid_loglik": grid_ll, "rounds": rounds, "warm": warm, "converged": converged}
+            if converged:
+                neighbour[d] = (theta[0], theta[1], theta[2] if student else np.nan)
+                if with_se:
+                    se, row["at_bound"] = sandwich_se(r, theta)
+                    row |= dict(zip(("se_alpha", "se_beta", "se_nu"), se, strict=False))
             rows.append({c: None if isinstance(v := row.get(c), float) and np.isnan(v) else v for c in cols})
         return rows
 
@@ -263,8 +297,9 @@ def mle_fit_numpy(samples: DataFrame, keys: list[str], grid: GarchGrid = DEFAULT
         for pdf in batches:
             out = []
             for block in pdf.to_dict("records"):
+                neighbour: dict = {}
                 for rec, r in _iter_samples(block, keys):
-                    out.extend(fit_one(rec, r))
+                    out.extend(fit_one(rec, r, neighbour))
             yield pd.DataFrame(out, columns=cols)
 
     return _input(samples, keys).mapInPandas(run, schema)

@@ -22,8 +22,6 @@ BLOCK = 32
 FIRST_STEPS = (0.02, 0.02, 2.0)
 HALVINGS = 12
 COMPARED_DIGITS = 7
-# Finite differences of the robust standard errors: relative and least spacing.
-DIFF_REL, DIFF_LEAST = 1e-2, 1e-3
 
 
 def lgamma_vec(x: np.ndarray) -> np.ndarray:
@@ -47,7 +45,7 @@ def scan(r: np.ndarray, alpha: np.ndarray, beta: np.ndarray, nu: np.ndarray | No
     """Log-likelihood and next-step variance for every candidate (vectors of equal length).
 
     ``nu`` None means Normal. With ``keep_terms`` the per-observation terms are
-    returned as an (n, G) matrix (for scores).
+    returned as an (n, G) matrix.
 
     The recursion h_t = alpha r_{t-1}^2 + beta h_{t-1} is linear in h, so a block
     of L steps is one batched matrix product: h[i] = beta^i h_in +
@@ -114,10 +112,11 @@ def grid_scan(r: np.ndarray, grid: dict[str, np.ndarray]):
     is_t = ~np.isnan(nu)
     ll = np.empty(len(nu))
     h = np.empty(len(nu))
-    if (~is_t).any():
-        ll[~is_t], h[~is_t], _ = scan(r, grid["alpha"][~is_t], grid["beta"][~is_t], None)
-    if is_t.any():
-        ll[is_t], h[is_t], _ = scan(r, grid["alpha"][is_t], grid["beta"][is_t], nu[is_t])
+    with np.errstate(all="ignore"):  # a candidate whose variance falls to 0 has no likelihood
+        if (~is_t).any():
+            ll[~is_t], h[~is_t], _ = scan(r, grid["alpha"][~is_t], grid["beta"][~is_t], None)
+        if is_t.any():
+            ll[is_t], h[is_t], _ = scan(r, grid["alpha"][is_t], grid["beta"][is_t], nu[is_t])
     return ll, h
 
 
@@ -141,7 +140,8 @@ def best_index(ll: np.ndarray, alpha, persistence, nu) -> int:
 
 
 def refine(r: np.ndarray, alpha0: float, persistence0: float, nu0: float | None):
-    """Bounded grid search around the best point with shrinking spacing, in (alpha, persistence[, nu]).
+    """Bounded grid search around the best point with shrinking spacing, in (alpha, persistence[, nu]):
+    no derivatives, so a check of ``garch_newton.maximise``, which the fit jobs use.
 
     Each round evaluates the current point and all its neighbours at the present spacing in
     one vectorised scan. A better neighbour becomes the point, otherwise the spacing is halved; after
@@ -171,46 +171,3 @@ def refine(r: np.ndarray, alpha0: float, persistence0: float, nu0: float | None)
         else:
             halved += 1
     return cur, ll, h, rounds, bool(np.isfinite(ll))
-
-
-def robust_se(r: np.ndarray, theta: np.ndarray, student: bool):
-    """Sandwich standard errors of (alpha, beta[, nu]): H^-1 (S'S) H^-1, and whether a bound is near.
-
-    H is the numerical Hessian of the total log-likelihood, S the matrix of
-    per-observation scores (central differences). Near alpha = 0 or beta = 0 the differences would leave
-    the parameter space; they are then taken at the nearest point that has room, and the fit is
-    marked ``at_bound``, as it is at the bounds of persistence and nu: the usual theory does not hold there.
-    """
-    params = np.array([theta[0], theta[1] - theta[0]] + ([theta[2]] if student else []), dtype=float)
-    k = len(params)
-    d = np.maximum(np.abs(params) * DIFF_REL, DIFF_LEAST)
-    centre = np.maximum(params, 2 * d)
-    at_bound = bool((centre != params).any() or theta[1] >= MAX_PERSISTENCE
-                    or (student and not NU_BOUNDS[0] < theta[2] < NU_BOUNDS[1]))
-    unit = np.eye(k, dtype=int)
-    moves = [np.zeros(k, int)]
-    place = {}
-    for i in range(k):
-        for m in (1, -1, 2, -2):
-            place[i, m] = len(moves)
-            moves.append(m * unit[i])
-        for j in range(i + 1, k):
-            for a, b in ((1, 1), (1, -1), (-1, 1), (-1, -1)):
-                place[i, j, a, b] = len(moves)
-                moves.append(a * unit[i] + b * unit[j])
-    points = centre + np.array(moves) * d
-    ll, _, terms = scan(r, points[:, 0], points[:, 1], points[:, 2] if student else None, keep_terms=True)
-    scores, hess = np.empty((len(r), k)), np.empty((k, k))
-    for i in range(k):
-        scores[:, i] = (terms[:, place[i, 1]] - terms[:, place[i, -1]]) / (2 * d[i])
-        hess[i, i] = (ll[place[i, 2]] - 2 * ll[0] + ll[place[i, -2]]) / (4 * d[i] ** 2)
-        for j in range(i + 1, k):
-            cross = ll[place[i, j, 1, 1]] - ll[place[i, j, 1, -1]] - ll[place[i, j, -1, 1]] + ll[place[i, j, -1, -1]]
-            hess[i, j] = hess[j, i] = cross / (4 * d[i] * d[j])
-    try:
-        inv = np.linalg.inv(hess)
-        var = np.diag(inv @ (scores.T @ scores) @ inv)
-        se = np.sqrt(np.where(var >= 0, var, np.nan))
-    except np.linalg.LinAlgError:
-        se = np.full(k, np.nan)
-    return se, at_bound

@@ -11,6 +11,10 @@ from sigmaflow.operators import garch as G
 from sigmaflow.operators import windows as W
 
 
+#: Consecutive windows of which one is started from the grid and the others from their neighbour's fit.
+WARM_WINDOWS = 16
+
+
 class FitInputs:
     """Day table, per-day arrays and windows of one return series table."""
 
@@ -69,8 +73,11 @@ def rolling_grid_forecast(spark: SparkSession, fi: FitInputs, forc_style: str,
 
 def rolling_mle_forecast(spark: SparkSession, fi: FitInputs, forc_style: str,
                          grid: GarchGrid = DEFAULT_GRID) -> DataFrame:
-    """Refit every window by refined ML (no standard errors), forecast the next day."""
-    fits = G.mle_fit_numpy(fi.blocks(fi.windows), ["series", "window_id"], grid, with_se=False)
+    """Refit every window by refined ML (no standard errors), forecast the next day.
+
+    Blocks have ``WARM_WINDOWS`` windows on any cluster, since a window starts where its neighbour in the block ended.
+    """
+    fits = G.mle_fit_numpy(fi.blocks(fi.windows, WARM_WINDOWS), ["series", "window_id"], grid, with_se=False)
     return forecast_from_fits(fits, fi, forc_style)
 
 
@@ -89,18 +96,19 @@ def in_sample_mle(fi: FitInputs, grid: GarchGrid = DEFAULT_GRID, with_se: bool =
     return G.mle_fit_numpy(fi.samples(fi.in_sample), ["series", "window_id"], grid, with_se=with_se)
 
 
+SE_DIGITS = 8
 COEF_NAMES = ("alpha", "beta", "nu")
 
 
 def coefficient_table(fits: DataFrame, sampling: str) -> DataFrame:
     """Robust coefficient matrix rows: estimate, robust std error, t value, p value (normal).
 
-    The fixed omega row is not reported; nu only for Student-t. Standard errors come from finite differences
-    of the likelihood, which define about six digits of them; they and the t values are given at four.
+    The fixed omega row is not reported; nu only for Student-t. Standard errors come from exact derivatives
+    and are given, like the t values, at eight significant digits.
     """
     rows = F.array(*[F.struct(F.lit(c).alias("coefficient"), F.col(c).alias("estimate"),
                               F.col(f"se_{c}").alias("robust_se")) for c in COEF_NAMES])
     out = fits.select("series", "distribution", "converged", "at_bound", F.inline(rows)).where(F.col("estimate").isNotNull())
     out = out.withColumn("t_value", F.try_divide(F.col("estimate"), F.col("robust_se")))
     return out.select("series", F.lit(sampling).alias("sampling"), "distribution", "coefficient", "estimate",
-                      F.expr(significant_sql("robust_se")).alias("robust_se"), F.expr(significant_sql("t_value")).alias("t_value"), F.expr(normal_two_sided_sql("t_value")).alias("p_value"), "converged", "at_bound")
+                      F.expr(significant_sql("robust_se", SE_DIGITS)).alias("robust_se"), F.expr(significant_sql("t_value", SE_DIGITS)).alias("t_value"), F.expr(normal_two_sided_sql("t_value")).alias("p_value"), "converged", "at_bound")

@@ -381,7 +381,7 @@ for _t in ("returns", "squared", "absolute"):
 # ---------------------------------------------------------------- windows and GARCH
 import math  # noqa: E402
 
-from sigmaflow.config import DEFAULT_GRID  # noqa: E402
+from sigmaflow.config import DEFAULT_GRID, GUARD_GRID  # noqa: E402
 
 EPOCH_TS = "TIMESTAMP '1970-01-01 00:00:00'"
 
@@ -560,15 +560,29 @@ def _ll_of(r: str, h1: str, dist: str, a: str, b: str, nu: str) -> str:
 
 
 def _refined(px: str = "") -> str:
-    """CTE ``{px}mle``: the refined fit of every grid fit."""
+    """CTE ``{px}mle``: the refined fit of every grid fit. A search of shrinking spacing finds the top's
+    neighbourhood, and a few Newton steps with exact derivatives end on it."""
     clip_a = "greatest(least(alpha + o.a * 0.02 / pow(2, halved), 0.999), 0)"
     clip_p = "greatest(least(persistence + o.p * 0.02 / pow(2, halved), 0.999), 0)"
     clip_n = "CASE WHEN nu IS NULL THEN NULL ELSE greatest(least(nu + o.n * 2.0 / pow(2, halved), 100.0), 2.1) END"
     ll = _ll_of("r", "h1", "distribution", "t.a", "(t.p - t.a)", "coalesce(t.n, 10.0)")
-    return f"""{px}start AS (
-  SELECT f.series, f.window_id, f.distribution, f.loglik AS grid_loglik, f.n_obs, s.r, f.alpha, f.persistence, f.nu, f.loglik AS ll, f.h_next,
-         list_reduce(s.r, lambda acc, x: acc + x * x, CAST(0 AS DOUBLE)) / len(s.r) AS h1
-  FROM {px}fits f JOIN {px}samples s USING (series, window_id)),
+    guard = ", ".join(f"('{d}', {a!r}::DOUBLE, {p!r}::DOUBLE, {'NULL' if n is None else n}::DOUBLE, {GUARD_GRID.alphas.index(a)}, {GUARD_GRID.persistences.index(p)}, "
+                      f"{0 if n is None else GUARD_GRID.nus.index(n)})" for d in ("Normal", "Student-t") for a, p, n in GUARD_GRID.points(d))
+    return f"""{px}guard(distribution, alpha, persistence, nu, ia, ip, i_n) AS (VALUES {guard}),
+{px}firsts AS (
+  SELECT series, window_id, r, list_reduce(r, lambda acc, x: acc + x * x, CAST(0 AS DOUBLE)) / len(r) AS h1 FROM {px}samples),
+{px}coarse AS (
+  SELECT s.series, s.window_id, g.*, {_ll_of("s.r", "s.h1", "g.distribution", "g.alpha", "(g.persistence - g.alpha)", "coalesce(g.nu, 10.0)")} AS f
+  FROM {px}firsts s CROSS JOIN {px}guard g),
+{px}tops AS (
+  SELECT series, window_id, distribution, alpha, persistence, nu, f.ll AS ll, f.h AS h_next FROM {px}coarse t WHERE NOT EXISTS (
+    FROM {px}coarse u WHERE u.series = t.series AND u.window_id = t.window_id AND u.distribution = t.distribution
+      AND abs(u.ia - t.ia) <= 1 AND abs(u.ip - t.ip) <= 1 AND abs(u.i_n - t.i_n) <= 1 AND u.f.ll > t.f.ll)),
+{px}start AS (
+  SELECT f.series, f.window_id, f.distribution, f.loglik AS grid_loglik, f.n_obs, s.r, s.h1, b.alpha, b.persistence, b.nu, b.ll, b.h_next
+  FROM {px}fits f JOIN {px}firsts s USING (series, window_id) JOIN (
+    SELECT series, window_id, distribution, alpha, persistence, nu, loglik AS ll, h_next FROM {px}fits
+    UNION ALL SELECT * FROM {px}tops) b USING (series, window_id, distribution)),
 {px}search AS (
   SELECT series, window_id, distribution, grid_loglik, n_obs, r, h1, alpha, persistence, nu, ll, h_next, CAST(0 AS INTEGER) AS halved, CAST(0 AS INTEGER) AS rounds FROM {px}start
   UNION ALL
@@ -583,9 +597,84 @@ def _refined(px: str = "") -> str:
         lambda t: {{'t': t, 'f': {ll}}}),
       lambda u, v: CASE WHEN (round(v.f.ll, 7), -v.t.a, -v.t.p, -coalesce(v.t.n, 0)) > (round(u.f.ll, 7), -u.t.a, -u.t.p, -coalesce(u.t.n, 0)) THEN v ELSE u END) AS best
     FROM {px}search WHERE halved < 12))),
+{px}ended AS (
+  SELECT *, row_number() OVER (PARTITION BY series, window_id, distribution ORDER BY ll DESC, alpha) AS best FROM {px}search WHERE halved = 12),
+{px}polish AS (
+  SELECT series, window_id, distribution, grid_loglik, n_obs, r, h1, alpha, persistence, coalesce(nu, 10.0) AS nu, 0 AS step
+  FROM {px}ended WHERE best = 1
+  UNION ALL
+  {_newton_step(f"{px}polish")}),
 {px}mle AS (
-  SELECT series, window_id, distribution, grid_loglik, n_obs, r, h1, alpha, persistence, persistence - alpha AS beta, nu, ll AS loglik, h_next, rounds
-  FROM {px}search WHERE halved = 12)"""
+  SELECT series, window_id, distribution, grid_loglik, n_obs, r, h1, alpha, persistence, persistence - alpha AS beta, z.nu AS nu, f.ll AS loglik, f.h AS h_next
+  FROM (SELECT *, {{'nu': CASE WHEN distribution = 'Normal' THEN NULL ELSE nu END}} AS z,
+          {_ll_of("r", "h1", "distribution", "alpha", "(persistence - alpha)", "nu")} AS f
+        FROM {px}polish WHERE step = {NEWTON_STEPS}))"""
+
+
+#: Newton steps from the search's end; each squares what is left.
+NEWTON_STEPS = 7
+
+
+def _polygamma(x: str, order: int) -> str:
+    """Digamma (0) or trigamma (1) of ``x``: shifted by 12, then the asymptotic series."""
+    y = f"({x} + 12)"
+    if order == 0:
+        shift = " - ".join(f"1 / ({x} + {k})" for k in range(12))
+        return (f"(ln({y}) - 0.5 / {y} - 1 / (12 * pow({y}, 2)) + 1 / (120 * pow({y}, 4)) - 1 / (252 * pow({y}, 6)) + 1 / (240 * pow({y}, 8)) "
+                f"- 1 / (132 * pow({y}, 10)) - {shift})")
+    shift = " + ".join(f"1 / pow({x} + {k}, 2)" for k in range(12))
+    return (f"(1 / {y} + 0.5 / pow({y}, 2) + 1 / (6 * pow({y}, 3)) - 1 / (30 * pow({y}, 5)) + 1 / (42 * pow({y}, 7)) - 1 / (30 * pow({y}, 9)) "
+            f"+ 5 / (66 * pow({y}, 11)) + {shift})")
+
+
+def _derivatives(alpha: str, beta: str, nu: str) -> str:
+    """One scan over ``r``: gradient g*, Hessian h*, sums of score products s* in (a, b, n); Normal has none in n."""
+    y, u, v, ab, bb = "(x * x / st.h)", "(st.a / st.h)", "(st.b / st.h)", "(st.ab / st.h)", "(st.bb / st.h)"
+    k, half = f"({nu} - 2)", f"(({nu} + 1) / 2)"
+    tot = f"({k} + {y})"
+    student = {
+        "d1": f"({half} * {y} / {tot} - 0.5)", "d2": f"(0.5 - {half} * {y} * (2 * {k} + {y}) / ({tot} * {tot}))",
+        "n1": f"(c1 - 0.5 * ln(1 + {y} / {k}) + {half} * {y} / ({k} * {tot}))",
+        "n2": f"(c2 + {y} / ({k} * {tot}) - {half} * {y} * (2 * {k} + {y}) / ({k} * {k} * {tot} * {tot}))",
+        "hn": f"(0.5 * {y} / {tot} - {half} * {y} / ({tot} * {tot}))"}
+    normal = {"d1": f"(0.5 * ({y} - 1))", "d2": f"(0.5 - {y})", "n1": "0.0", "n2": "0.0", "hn": "0.0"}
+
+    def scan(t: dict[str, str]) -> str:
+        score = {"a": f"{t['d1']} * {u}", "b": f"{t['d1']} * {v}", "n": t["n1"]}
+        sums = {"ga": score["a"], "gb": score["b"], "gn": score["n"],
+                "haa": f"{t['d2']} * {u} * {u}", "hab": f"{t['d2']} * {u} * {v} + {t['d1']} * {ab}", "hbb": f"{t['d2']} * {v} * {v} + {t['d1']} * {bb}",
+                "han": f"{t['hn']} * {u}", "hbn": f"{t['hn']} * {v}", "hnn": t["n2"]}
+        sums |= {f"s{i}{j}": f"({score[i]}) * ({score[j]})" for i, j in ("aa", "ab", "bb", "an", "bn", "nn")}
+        path = {"h": f"{alpha} * x * x + {beta} * st.h", "a": f"x * x + {beta} * st.a", "b": f"st.h + {beta} * st.b",
+                "ab": f"st.a + {beta} * st.ab", "bb": f"2 * st.b + {beta} * st.bb"}
+        state = ", ".join([*(f"'{f}': {e}" for f, e in path.items()), *(f"'{f}': st.{f} + {e}" for f, e in sums.items())])
+        zero = ", ".join(f"'{f}': CAST(0 AS DOUBLE)" for f in ("a", "b", "ab", "bb", *sums))
+        return f"list_reduce(r, lambda st, x: {{{state}}}, {{'h': h1, {zero}}})"
+
+    return f"CASE WHEN distribution = 'Normal' THEN {scan(normal)} ELSE {scan(student)} END"
+
+
+def _nu_constants(nu: str) -> str:
+    half, rest = f"(({nu} + 1) / 2)", f"({nu} / 2)"
+    return (f"0.5 * {_polygamma(half, 0)} - 0.5 * {_polygamma(rest, 0)} - 0.5 / ({nu} - 2) AS c1, "
+            f"0.25 * {_polygamma(half, 1)} - 0.25 * {_polygamma(rest, 1)} + 0.5 / pow({nu} - 2, 2) AS c2")
+
+
+def _newton_step(src: str) -> str:
+    """One Newton step in (alpha, persistence, nu); a coordinate that stands at a bound with the gradient pushing out is held."""
+    keep = "series, window_id, distribution, grid_loglik, n_obs, r, h1"
+    return f"""SELECT {keep},
+    greatest(least(alpha - (i11 * g1 + i12 * g2 + i13 * g3) / det, least(greatest(persistence - (i12 * g1 + i22 * g2 + i23 * g3) / det, 0), 0.999)), 0),
+    greatest(least(persistence - (i12 * g1 + i22 * g2 + i23 * g3) / det, 0.999), 0),
+    greatest(least(nu - (i13 * g1 + i23 * g2 + i33 * g3) / det, 100.0), 2.1), step + 1
+  FROM (SELECT *, m22 * m33 - m23 * m23 AS i11, m13 * m23 - m12 * m33 AS i12, m12 * m23 - m13 * m22 AS i13, m11 * m33 - m13 * m13 AS i22, m12 * m13 - m11 * m23 AS i23,
+      m11 * m22 - m12 * m12 AS i33, m11 * (m22 * m33 - m23 * m23) - m12 * (m12 * m33 - m23 * m13) + m13 * (m12 * m23 - m22 * m13) AS det
+  FROM (SELECT *, CASE WHEN ha THEN 0 ELSE z.ga - z.gb END AS g1, CASE WHEN hp THEN 0 ELSE z.gb END AS g2, CASE WHEN hn THEN 0 ELSE z.gn END AS g3,
+      CASE WHEN ha THEN -1 ELSE z.haa - 2 * z.hab + z.hbb END AS m11, CASE WHEN ha OR hp THEN 0 ELSE z.hab - z.hbb END AS m12, CASE WHEN ha OR hn THEN 0 ELSE z.han - z.hbn END AS m13,
+      CASE WHEN hp THEN -1 ELSE z.hbb END AS m22, CASE WHEN hp OR hn THEN 0 ELSE z.hbn END AS m23, CASE WHEN hn THEN -1 ELSE z.hnn END AS m33
+  FROM (SELECT *, (alpha <= 0 AND z.ga < z.gb) OR (alpha >= persistence AND z.ga > z.gb) AS ha, persistence >= 0.999 AND z.gb > 0 AS hp,
+      distribution = 'Normal' OR (nu >= 100 AND z.gn > 0) OR (nu <= 2.1 AND z.gn < 0) AS hn
+  FROM (SELECT *, {_derivatives("alpha", "(persistence - alpha)", "nu")} AS z FROM (SELECT *, {_nu_constants("nu")} FROM {src} WHERE step < {NEWTON_STEPS})))))"""
 
 
 def _offsets(student: bool) -> str:
@@ -598,7 +687,7 @@ def _mle_base(base: tuple[str, ...], src: str, origin: str) -> str:
 
 
 MLE_COLS = ("series, '{s}' AS sampling, distribution, round(alpha, 6) AS alpha, round(persistence, 6) AS persistence, round(beta, 6) AS beta, "
-            "round(nu, 6) AS nu, round(loglik, 6) AS loglik, round(grid_loglik, 6) AS grid_loglik, round(h_next, 6) AS h_next, n_obs, rounds, true AS converged")
+            "round(nu, 6) AS nu, round(loglik, 6) AS loglik, round(grid_loglik, 6) AS grid_loglik, round(h_next, 6) AS h_next, n_obs, true AS converged")
 
 
 def _both_samplings(select) -> str:
@@ -612,40 +701,11 @@ SQL["garch_mle_fit"] = _both_samplings(lambda s: f"SELECT {MLE_COLS.format(s=s)}
 
 
 def _sandwich(student: bool) -> str:
-    """CTE: robust standard errors of one distribution, in closed form."""
+    """CTE: robust standard errors of one distribution from exact derivatives, in closed form."""
     names = ("a", "b", "n")[: 3 if student else 2]
     k = len(names)
-
-    def point(move: dict[str, int]) -> dict[str, str]:
-        return {x: f"(c{x} + {move.get(x, 0)} * d{x})" if x in names else "10.0" for x in ("a", "b", "n")}
-
-    def ll(**move) -> str:
-        p = point(move)
-        return _ll_of("r", "h1", "distribution", p["a"], p["b"], p["n"]) + ".ll"
-
-    def term(h: str, nu: str) -> str:
-        if not student:
-            return f"(-0.5 * (ln({h}) + x * x / {h}))"
-        return (f"(lgamma(({nu} + 1) / 2) - lgamma({nu} / 2) - 0.5 * ln(pi() * ({nu} - 2)) - 0.5 * ln({h}) "
-                f"- ({nu} + 1) / 2 * ln(1 + x * x / ({h} * ({nu} - 2))))")
-
-    # one scan carries the variances at the moved points, and sums the products of the scores
-    paths = {"h0": {}, "ap": {"a": 1}, "am": {"a": -1}, "bp": {"b": 1}, "bm": {"b": -1}}
-    step = {f: f"{point(m)['a']} * x * x + {point(m)['b']} * st.{f}" for f, m in paths.items()}
-    score = {"a": f"(({term('st.ap', 'cn')} - {term('st.am', 'cn')}) / (2 * da))", "b": f"(({term('st.bp', 'cn')} - {term('st.bm', 'cn')}) / (2 * db))",
-             "n": f"(({term('st.h0', '(cn + dn)')} - {term('st.h0', '(cn - dn)')}) / (2 * dn))"}
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = {f"s{names[i]}{names[j]}": f"st.s{names[i]}{names[j]} + {score[names[i]]} * {score[names[j]]}" for i, j in pairs}
-    state = ", ".join(f"'{f}': {e}" for f, e in {**step, **sums}.items())
-    init = ", ".join([*(f"'{f}': h1" for f in step), *(f"'{f}': CAST(0 AS DOUBLE)" for f in sums)])
-    hess = {}
-    for i, j in pairs:
-        a, b = names[i], names[j]
-        if i == j:
-            hess[i, j] = f"({ll(**{a: 2})} - 2 * {ll()} + {ll(**{a: -2})}) / (4 * d{a} * d{a})"
-        else:
-            hess[i, j] = f"({ll(**{a: 1, b: 1})} - {ll(**{a: 1, b: -1})} - {ll(**{a: -1, b: 1})} + {ll(**{a: -1, b: -1})}) / (4 * d{a} * d{b})"
-    h = {(i, j): f"h{min(i, j)}{max(i, j)}" for i in range(k) for j in range(k)}
+    h = {(i, j): f"z.h{names[min(i, j)]}{names[max(i, j)]}" for i in range(k) for j in range(k)}
     if k == 2:
         det = f"({h[0, 0]} * {h[1, 1]} - {h[0, 1]} * {h[0, 1]})"
         inv = {(0, 0): f"({h[1, 1]} / det)", (0, 1): f"(-{h[0, 1]} / det)", (1, 1): f"({h[0, 0]} / det)"}
@@ -660,14 +720,11 @@ def _sandwich(student: bool) -> str:
     var = [" + ".join(f"{g(m, i)} * {b(i, j)} * {g(j, m)}" for i in range(k) for j in range(k)) for m in range(k)]
     ses = [f"CASE WHEN ({v}) >= 0 THEN sqrt({v}) END AS se_{n}" for v, n in zip(var, ("alpha", "beta", "nu"), strict=False)] + ([] if student else ["NULL::DOUBLE AS se_nu"])
     dist, px = ("Student-t", "t") if student else ("Normal", "n")
-    room = " OR ".join(f"c{x} <> {p}" for x, p in zip(names, ("alpha", "beta", "nu"), strict=False))
     bounds = " OR NOT (nu > 2.1 AND nu < 100)" if student else ""
-    return f"""{px}1 AS (
-  SELECT *, greatest(abs(alpha) * 0.01, 0.001) AS da, greatest(abs(beta) * 0.01, 0.001) AS db, greatest(abs(nu) * 0.01, 0.001) AS dn FROM mle WHERE distribution = '{dist}'),
-{px}2 AS (SELECT *, greatest(alpha, 2 * da) AS ca, greatest(beta, 2 * db) AS cb, greatest(nu, 2 * dn) AS cn FROM {px}1),
-{px}3 AS (SELECT *, {", ".join(f"{e} AS {h[i, j]}" for (i, j), e in hess.items())}, list_reduce(r, lambda st, x: {{{state}}}, {{{init}}}) AS z FROM {px}2),
-{px}4 AS (SELECT *, {det} AS det FROM {px}3),
-{px}5 AS (SELECT series, distribution, alpha, beta, nu, {room} OR persistence >= 0.999{bounds} AS at_bound, {", ".join(ses)} FROM {px}4)"""
+    return f"""{px}1 AS (SELECT *, {_nu_constants("coalesce(nu, 10.0)")} FROM mle WHERE distribution = '{dist}'),
+{px}2 AS (SELECT *, {_derivatives("alpha", "beta", "coalesce(nu, 10.0)")} AS z FROM {px}1),
+{px}3 AS (SELECT *, {det} AS det FROM {px}2),
+{px}5 AS (SELECT series, distribution, alpha, beta, nu, alpha <= 0 OR beta <= 0 OR persistence >= 0.999{bounds} AS at_bound, {", ".join(ses)} FROM {px}3)"""
 
 
 def _coef_select(sampling: str) -> str:
@@ -675,8 +732,8 @@ def _coef_select(sampling: str) -> str:
     return f""", {_sandwich(False)}, {_sandwich(True)},
 coef AS (SELECT series, distribution, at_bound, unnest({rows}) AS u FROM (SELECT * FROM n5 UNION ALL BY NAME SELECT * FROM t5)),
 coef2 AS (SELECT *, u.e / nullif(u.s, 0) AS t FROM coef WHERE u.e IS NOT NULL)
-SELECT series, '{sampling}' AS sampling, distribution, u.c AS coefficient, round(u.e, 4) AS estimate, round({significant_sql('u.s')}, 4) AS robust_se, round({significant_sql('t')}, 4) AS t_value,
-  round({normal_two_sided_sql('t')}, 4) AS p_value, true AS converged, at_bound FROM coef2"""
+SELECT series, '{sampling}' AS sampling, distribution, u.c AS coefficient, round(u.e, 6) AS estimate, round({significant_sql('u.s', 8)}, 12) AS robust_se, round({significant_sql('t', 8)}, 6) AS t_value,
+  round({normal_two_sided_sql('t')}, 6) AS p_value, true AS converged, at_bound FROM coef2"""
 
 
 SQL["garch_coef_table"] = _both_samplings(_coef_select)

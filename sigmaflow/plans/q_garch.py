@@ -108,11 +108,11 @@ def garch_mle_fit(spark, sf_dir):
     five = J.in_sample_mle(intraday(spark, sf_dir), with_se=False).withColumn("sampling", F.lit("5min"))
     day = J.in_sample_mle(daily(spark, sf_dir), with_se=False).withColumn("sampling", F.lit("daily"))
     cols = ["series", "sampling", "distribution", "alpha", "persistence", "beta", "nu", "loglik",
-            "grid_loglik", "h_next", "n_obs", "rounds", "converged"]
+            "grid_loglik", "h_next", "n_obs", "converged"]
     return five.select(*cols).unionByName(day.select(*cols))
 
 
-@register("garch_coef_table", digits=4)
+@register("garch_coef_table", overrides={"robust_se": 12})
 def garch_coef_table(spark, sf_dir):
     """Four models per series: robust coefficient rows for Normal and Student-t, 5-minute and daily."""
     five = J.coefficient_table(J.in_sample_mle(intraday(spark, sf_dir)), "5min")

@@ -10,7 +10,8 @@ from sigmaflow.config import Params
 from sigmaflow.operators import garch as G
 from sigmaflow.operators import timeseries as ts
 from sigmaflow.operators import windows as W
-from sigmaflow.operators.garch_kernel import grid_scan, refine, robust_se, scan
+from sigmaflow.operators.garch_kernel import grid_scan, refine, scan
+from sigmaflow.operators.garch_newton import maximise, sandwich_se
 
 REF = Params(start=dt.datetime(2016, 1, 1), end=dt.datetime(2017, 10, 19, 23, 59, 59),
              forecast_start=dt.datetime(2017, 6, 30, 23, 55, 0), excluded_day=None)
@@ -88,7 +89,7 @@ def test_mle_recovers_parameters_and_beats_grid():
     assert abs(theta[1] - (alpha + beta)) < 0.01
     grid_ll, _, _ = scan(r, np.array([0.05]), np.array([0.94]), None)
     assert ll >= grid_ll[0]
-    se, at_bound = robust_se(r, theta, False)
+    se, _ = sandwich_se(r, theta)
     assert np.all(np.isfinite(se)) and np.all(se > 0)
 
 
@@ -151,9 +152,11 @@ def test_mle_query_equals_direct_fit_on_collected_samples(spark):
         ll, _ = grid_scan(r, g)
         i = int(np.argmax(ll))
         nu0 = None if row.distribution == "Normal" else g["nu"][i]
-        theta, best, *_ = refine(r, g["alpha"][i], g["persistence"][i], nu0)
-        assert np.isclose(best, row.loglik, atol=1e-4)
+        theta, best, *_ = maximise(r, g["alpha"][i], g["persistence"][i], nu0)
+        assert np.isclose(best, row.loglik, atol=1e-6)
         assert np.isclose(theta[0], row.alpha, atol=1e-6)
+        plain, plain_best, *_ = refine(r, g["alpha"][i], g["persistence"][i], nu0)
+        assert plain_best <= row.loglik + 1e-6 and np.isclose(plain_best, row.loglik, atol=1e-4)
 
 
 def test_null_return_gives_a_null_fit_that_says_so(spark):
