@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sigmaflow.config import ACF_BAND_Z, DEFAULT_KNOBS, ScaleKnobs
 from sigmaflow.operators.sequence import bucket_column, with_row_index
-from sigmaflow.operators.timeseries import _spread
+from sigmaflow.operators.timeseries import spread_join
 from sigmaflow.session import materialize
 
 
@@ -55,7 +55,7 @@ def acf(df: DataFrame, value_col: str, part: Sequence[str], order: str = "date",
     idx = with_row_index(x.withColumn("_bucket", bucket_column(order, "day")), "_idx", part, [order],
                          "_bucket").drop("_bucket")
     chunk = F.greatest(F.lit(int(knobs.chunk_rows)), F.col("_K") + 1)
-    centred = (_spread(idx, stats, part)
+    centred = (spread_join(idx, stats, part)
                .select(*part, "_idx", "_K", (F.col("_x") - F.col("_mean")).alias("_xc"),
                        F.floor((F.col("_idx") - 1) / chunk).alias("_own"), ((F.col("_idx") - 1) % chunk).alias("_at")))
     halo = (F.col("_at") < F.col("_K")) & (F.col("_own") > 0)

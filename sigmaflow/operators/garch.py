@@ -59,7 +59,7 @@ def loglik_expr(arr: str = "r", h1: str = "_h1", g: str = "g") -> str:
     normal = f"-0.5 * ({LN_2PI!r} + ln(s.h) + x * x / s.h)"
     student = f"{g}.c_nu - 0.5 * ln(s.h) - ({g}.nu + 1) / 2 * ln(1 + x * x / (s.h * ({g}.nu - 2)))"
     term = f"CASE WHEN {g}.distribution = 'Normal' THEN {normal} ELSE {student} END"
-    return (f"aggregate({arr}, named_struct('h', {h1}, 'll', CAST(0 AS DOUBLE)), "
+    return (f"aggregate({arr}, CAST(named_struct('h', {h1}, 'll', 0D) AS struct<h: double, ll: double>), "
             f"(s, x) -> named_struct('h', {g}.alpha * x * x + {g}.beta * s.h, 'll', s.ll + {term}))")
 
 

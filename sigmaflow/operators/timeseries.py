@@ -140,8 +140,8 @@ def oos_count(returns: DataFrame, params: Params) -> DataFrame:
         F.count_if(~oos).cast("long").alias("n_in_sample"))
 
 
-def _spread(df: DataFrame, per_part: DataFrame, part: list[str], how: str = "inner") -> DataFrame:
-    """Join rows with a table of one row per part, without bringing a part's rows together.
+def spread_join(df: DataFrame, per_part: DataFrame, part: list[str], how: str = "inner") -> DataFrame:
+    """Join rows with a table of one row (or a few) per part, without bringing a part's rows together.
 
     Below ``BROADCAST_ROWS`` parts (counted) the small table is broadcast; beyond it, rows are
     dealt over ``SALTS`` keys of each part and the small table is repeated for each.
@@ -181,7 +181,7 @@ def _statistics(df: DataFrame, value_col: str, part: list[str], knobs: ScaleKnob
         width = (F.col("_hi") - F.col("_lo")) / n_buckets
         bucket = F.least(F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width)), F.lit(0)),
                          F.lit(n_buckets - 1)).cast("long")
-        hist = (_spread(data, wide, part)
+        hist = (spread_join(data, wide, part)
                 .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
                 .groupBy(*part, "_below", "_k1", "_k2", bucket.alias("_b"))
                 .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")))
@@ -194,7 +194,7 @@ def _statistics(df: DataFrame, value_col: str, part: list[str], knobs: ScaleKnob
             F.sum("_c").cast("long").alias("_cnt"))
         untouched = state.join(wide.select(*part), part, "left_anti")
         state = materialize(untouched.unionByName(narrowed), "median-state")
-    cand = (_spread(data, state, part)
+    cand = (spread_join(data, state, part)
             .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
             .groupBy(*part, "_below", "_k1", "_k2", "_v").agg(F.count(F.lit(1)).alias("_c")))
     w = Window.partitionBy(*part).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
@@ -222,7 +222,7 @@ def replace_outliers(returns: DataFrame, k: float = OUTLIER_SD_MULTIPLIER,
     stats = _statistics(returns, "return", ["series"], knobs).select("series", "median", F.col("sd").alias("_sd"))
     r = F.col("return")
     inside = r.between(F.col("median") - F.col("_sd") * k, F.col("median") + F.col("_sd") * k)
-    return (_spread(returns, stats, ["series"], "left")
+    return (spread_join(returns, stats, ["series"], "left")
             .withColumn("return", F.when(~inside, F.col("median")).otherwise(r))
             .select(*returns.columns))
 
