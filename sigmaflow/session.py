@@ -47,13 +47,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster a machine-local folder would lose files, so an unset folder is an error there.
     """
     sc = _context(spark)
-    path = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
+    path = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)  # fixed at start; the context keeps ours
     if not path:
         master = sc.master if sc else "remote"
         if master != "local" and not master.startswith("local["):
             raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         path = tempfile.mkdtemp(prefix="sigmaflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return (sc.getCheckpointDir() if sc else None) or path
