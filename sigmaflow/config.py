@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from zoneinfo import ZoneInfo
 
 # Labels, thresholds and constants that results depend on.
 DISTRIBUTIONS = ("Normal", "Student-t")
@@ -23,7 +24,10 @@ EPOCH = dt.datetime(1970, 1, 1)
 
 @dataclass(frozen=True)
 class Params:
-    """Analysis range and forecast origin, all naive (UTC wall clock)."""
+    """Analysis range and forecast origin: wall clock of ``tz``, whose calendar days are the days of the analysis.
+
+    Timestamps of tables are naive UTC; ``utc`` gives what a wall-clock time is there.
+    """
 
     tz: str = "UTC"
     start: dt.datetime = dt.datetime(2024, 1, 1, 0, 0, 0)
@@ -32,6 +36,10 @@ class Params:
     # day dropped from the evaluation to build the "no outlier" variant
     excluded_day: dt.date | None = dt.date(2024, 1, 25)
 
+    def utc(self, value: dt.datetime) -> dt.datetime:
+        """Naive UTC of a wall-clock time of the zone (the first of two equal ones, where a clock is set back)."""
+        return value.replace(tzinfo=ZoneInfo(self.tz)).astimezone(dt.timezone.utc).replace(tzinfo=None)
+
     @property
     def origin_day(self) -> dt.date:
         """Last in-sample day; forecasts are made for every later day."""

@@ -45,10 +45,23 @@ def day_of(col: str | Column) -> Column:
     return F.to_date(c)
 
 
-def day_ts(col: str | Column) -> Column:
-    """Midnight of the calendar day, as a naive timestamp."""
+def local_ts(col: str | Column, tz: str = "UTC") -> Column:
+    """Wall clock in a zone of a naive UTC timestamp, by the zone's rules at that time."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.to_date(c).cast("timestamp_ntz")
+    return c if tz == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(tz), c)
+
+
+def day_ts(col: str | Column, tz: str = "UTC") -> Column:
+    """Midnight (wall clock) of the zone's calendar day that holds a naive UTC timestamp, as a naive timestamp."""
+    return F.to_date(local_ts(col, tz)).cast("timestamp_ntz")
+
+
+def day_hours(day: str | Column, tz: str = "UTC") -> Column:
+    """Hours of a zone's calendar day: 24, but where its clock is changed."""
+    c = F.col(day) if isinstance(day, str) else day
+    utc = lambda t: F.convert_timezone(F.lit(tz), F.lit("UTC"), t)
+    seconds = F.timestamp_diff("SECOND", utc(c), utc(c + F.expr("INTERVAL 1 DAY")))
+    return seconds / 3600
 
 
 def recode(col: str | Column, mapping: Mapping[str, str]) -> Column:

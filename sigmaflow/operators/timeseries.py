@@ -29,9 +29,10 @@ def _order_key(df: DataFrame) -> Column:
     """One number that orders the rows of a bar or day by time, then ``tick_id``.
 
     Numbers keep ``min_by`` and ``max_by`` inside a hash aggregate, where a struct key would sort every
-    tick. The offset inside a day is below 10^11 microseconds, a tick id below 10^19: 31 digits.
+    tick. Microseconds since 1970 are below 10^17 (a day of a zone spans two UTC days, so an offset inside a day
+    would not do), a tick id below 10^19: 36 digits.
     """
-    micros = F.expr("timestampdiff(MICROSECOND, CAST(CAST(date AS DATE) AS TIMESTAMP_NTZ), date)").cast("decimal(11,0)")
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', date)").cast("decimal(17,0)")
     if "tick_id" not in df.columns:
         return micros
     return micros * F.lit(Decimal(10**19)) + F.coalesce(F.col("tick_id"), F.lit(0)).cast("decimal(19,0)")
@@ -58,9 +59,9 @@ def bars_from_summary(summary: DataFrame) -> DataFrame:
                           F.col("first_adjusted").alias("adjusted"))
 
 
-def daily_close_from_summary(summary: DataFrame) -> DataFrame:
-    """Last observation of every day: the last tick of the day's last bar."""
-    return (summary.groupBy("series", day_ts("bar").alias("day"))
+def daily_close_from_summary(summary: DataFrame, tz: str = "UTC") -> DataFrame:
+    """Last observation of every day of the zone: the last tick of the day's last bar (no bar spans two days)."""
+    return (summary.groupBy("series", day_ts("bar", tz).alias("day"))
             .agg(F.max("last_date").alias("date"), F.max_by("last_adjusted", "bar").alias("adjusted")))
 
 
@@ -72,23 +73,23 @@ def resample_bars(prices: DataFrame, interval: str = BAR_INTERVAL) -> DataFrame:
     )
 
 
-def daily_close(prices: DataFrame) -> DataFrame:
-    """Last observation of every calendar day, stamped with its own timestamp."""
+def daily_close(prices: DataFrame, tz: str = "UTC") -> DataFrame:
+    """Last observation of every calendar day of the zone, stamped with its own timestamp."""
     return (
-        prices.groupBy("series", day_ts("date").alias("day"))
+        prices.groupBy("series", day_ts("date", tz).alias("day"))
         .agg(F.max("date").alias("date"), F.max_by("adjusted", _order_key(prices)).alias("adjusted"))
     )
 
 
-def log_returns(prices: DataFrame, bucket: str = "day") -> DataFrame:
-    """``log(p) - log(lag(p))`` per series, dropping only each series' first row.
+def log_returns(prices: DataFrame, bucket: str = "day", tz: str = "UTC") -> DataFrame:
+    """``log(p) - log(lag(p))`` per series, dropping only each series' first row; ``day`` is the zone's calendar day.
 
     Later null returns (a null price) stay, as with ``slice(-1)``. The lag is
     computed per ``(series, bucket)`` with a carry from the previous bucket, so
     no task ever holds a whole series.
     """
     order = _order_cols(prices)
-    with_day = prices.withColumn("day", day_ts("date"))
+    with_day = prices.withColumn("day", day_ts("date", tz))
     if bucket == "day":
         # bucket on ``day`` itself: later (series, day) aggregations reuse this partitioning
         out = with_previous(with_day, "adjusted", "_prev", ("series",), order, "day")
@@ -102,19 +103,19 @@ def log_returns(prices: DataFrame, bucket: str = "day") -> DataFrame:
     )
 
 
-def intraday_returns(prices: DataFrame, interval: str = BAR_INTERVAL) -> DataFrame:
+def intraday_returns(prices: DataFrame, interval: str = BAR_INTERVAL, tz: str = "UTC") -> DataFrame:
     """5-minute log returns: resample, then log-difference consecutive bars."""
-    return log_returns(resample_bars(prices, interval), bucket="day")
+    return log_returns(resample_bars(prices, interval), bucket="day", tz=tz)
 
 
-def daily_returns(prices: DataFrame) -> DataFrame:
+def daily_returns(prices: DataFrame, tz: str = "UTC") -> DataFrame:
     """Daily log returns from the last price of each day (first day dropped)."""
-    return log_returns(daily_close(prices), bucket="year").drop("tick_id")
+    return log_returns(daily_close(prices, tz), bucket="year", tz=tz).drop("tick_id")
 
 
-def collapse_to_daily(df: DataFrame) -> DataFrame:
+def collapse_to_daily(df: DataFrame, tz: str = "UTC") -> DataFrame:
     """Every row's ``date`` becomes the last timestamp of its calendar day."""
-    w = Window.partitionBy("series", day_ts("date"))
+    w = Window.partitionBy("series", day_ts("date", tz))
     return df.withColumn("date", F.max("date").over(w))
 
 
@@ -124,7 +125,7 @@ def out_of_sample(df: DataFrame, params: Params, strict: bool = False) -> DataFr
     With ``strict`` the time of day of ``forecast_start`` counts too.
     """
     if strict:
-        return df.where(F.col("date") > ntz_lit(params.forecast_start))
+        return df.where(F.col("date") > ntz_lit(params.utc(params.forecast_start)))
     return df.where(F.col("day") > ntz_lit(params.origin_day))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigmaflow.config import Params
 from sigmaflow.functions.columns import ntz_lit, recode
@@ -147,9 +148,10 @@ def result_table(perf: DataFrame, styles: dict[str, str]) -> DataFrame:
             .orderBy("series", "proxy", "metric_rank"))
 
 
-def result_table_display(table: DataFrame, styles: list[str], digits: int = 5) -> DataFrame:
-    """Printed form: values rounded and shown with ``digits`` places; standard-error
-    rows in parentheses with no label."""
+def result_table_display(table: DataFrame, digits: int = 5) -> DataFrame:
+    """Printed form: every column of a fractional type (found from the schema) rounded and shown with
+    ``digits`` places; standard-error rows in parentheses with no label."""
+    styles = [f.name for f in table.schema.fields if isinstance(f.dataType, (T.FractionalType, T.DecimalType))]
     is_se = F.col("metric").isin(*STD_ERROR_METRICS)
     fmt = f"%.{digits}f"
     cols = [

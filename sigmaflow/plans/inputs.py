@@ -47,7 +47,7 @@ class TickInputs:
 
     @cached_property
     def returns_5min(self) -> DataFrame:
-        return _keep(ts.log_returns(self.bars, bucket="day"), "returns-5min", self.knobs)
+        return _keep(ts.log_returns(self.bars, bucket="day", tz=self.params.tz), "returns-5min", self.knobs)
 
     @cached_property
     def returns_5min_filtered(self) -> DataFrame:
@@ -56,8 +56,8 @@ class TickInputs:
     @cached_property
     def returns_daily(self) -> DataFrame:
         """Daily returns from the last tick of each day (from the same bar summary)."""
-        closes = ts.daily_close_from_summary(self.bar_summary)
-        return _keep(ts.log_returns(closes, bucket="year"), "returns-daily", self.knobs)
+        closes = ts.daily_close_from_summary(self.bar_summary, self.params.tz)
+        return _keep(ts.log_returns(closes, bucket="year", tz=self.params.tz), "returns-daily", self.knobs)
 
     @cached_property
     def rv_all(self) -> DataFrame:

@@ -110,4 +110,4 @@ def result_table_filtered(spark, sf_dir):
 @register("naive_result_table_display")
 def result_table_display(spark, sf_dir):
     t = E.result_table(performance_data.raw(spark, sf_dir), STYLES_MAIN)
-    return E.result_table_display(t, list(STYLES_MAIN.values()))
+    return E.result_table_display(t)

@@ -36,7 +36,7 @@ def read_raw_prices_csv(spark: SparkSession, path: str, params: Params | None =
     out = raw.select("series", epoch_to_ts("Timestamp").alias("date"),
                      F.col("Weighted_Price").alias("adjusted"))
     if params is not None:
-        out = out.where(F.col("date").between(ntz_lit(params.start), ntz_lit(params.end)))
+        out = out.where(F.col("date").between(ntz_lit(params.utc(params.start)), ntz_lit(params.utc(params.end))))
     return out
 
 
@@ -71,3 +71,22 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("series
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def write_sorted(df: DataFrame, path: str, order: Sequence[str], files: int | None = None) -> None:
+    """Write files in one total order: ranges of the key, each sorted, and file names that follow the ranges.
+
+    Rows of equal keys may be in any order, but stay in one range.
+    """
+    spark = df.sparkSession
+    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("errorifexists").parquet(path)
+
+
+def read_sorted(spark: SparkSession, path: str, position: str = "position") -> DataFrame:
+    """The rows of a sorted table with ``position`` = 1, 2, ...: the row's place in its file after all rows of earlier files."""
+    from pyspark.sql import Window
+    rows = spark.read.parquet(path).withColumns({"_file": F.col("_metadata.file_name"), "_place": F.col("_metadata.row_index")})
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))  # one row a file
+    before = sizes.select("_file", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(before), "_file").withColumn(position, F.col("_before") + F.col("_place") + 1).drop("_file", "_place", "_before")

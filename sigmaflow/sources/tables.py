@@ -26,7 +26,7 @@ def _usable(price: str, date: str, params: Params | None) -> Column:
     """Prices that have a logarithm, and nulls (whose returns are null and stay); with ``params``,
     only the closed analysis range."""
     keep = F.col(price).isNull() | (F.col(price) > 0)
-    return keep if params is None else keep & F.col(date).between(ntz_lit(params.start), ntz_lit(params.end))
+    return keep if params is None else keep & F.col(date).between(ntz_lit(params.utc(params.start)), ntz_lit(params.utc(params.end)))
 
 
 def ticks(spark: SparkSession, sf_dir: str, params: Params | None = None) -> DataFrame:
@@ -62,3 +62,13 @@ def daily_prices(spark: SparkSession, sf_dir: str, params: Params | None = None)
             F.col("o_orderkey").alias("tick_id"),
         )
     )
+
+
+def order_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years of intraday prices from ``orders``: the second of the day comes from the order key, naive UTC."""
+    od = load(spark, sf_dir, "orders")
+    return od.where(_usable("o_totalprice", "o_orderdate", None)).select(
+        F.col("o_orderpriority").alias("series"),
+        F.expr("timestampadd(SECOND, CAST(o_orderkey * 7919 % 86400 AS INT), CAST(o_orderdate AS TIMESTAMP_NTZ))").alias("date"),
+        F.col("o_totalprice").alias("adjusted"),
+        F.col("o_orderkey").alias("tick_id"))
