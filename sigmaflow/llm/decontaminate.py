@@ -7,8 +7,9 @@ words that ends at a position, how far no window can end; a zero shift leads to
 the bucket of windows with that suffix block, whose words are compared one by one.
 All texts of a batch are searched at once, one lane for each stretch of 512 words.
 
-The items are taken in blocks of bounded size, each broadcast in its own pass over
-the documents, so neither the driver nor a task holds a large benchmark whole.
+Repeated items count once. The items are taken in blocks of bounded size. Is there more than one, the documents are
+stored with a row number, each block is broadcast in a pass of its own that stores the hits by row number,
+and is given up before the next one, so neither the driver nor a task holds a large benchmark whole.
 
 Defined results: a null or empty text has no words and no hits; an item without
 words has no window; an item with null id counts as the id ''; rows are scored one
@@ -18,13 +19,15 @@ that share a result's name are replaced.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigmaflow.llm.kit import as_bytes, prepare, scan, table, word_codes
+from sigmaflow.llm.kit import as_bytes, discard, prepare, scan, stage, table, word_codes
 
 WIDTH = 10
 #: Bytes of item text in one broadcast block.
@@ -126,10 +129,8 @@ def _merge(spans: list[tuple[int, int]]) -> list[int]:
 def _scanner(shared, ids: list[str], text: str):
     def run(batch: pa.RecordBatch) -> dict:
         codes, counts = word_codes(as_bytes(batch.column(batch.schema.get_field_index(text))))
-        n, begin = len(counts), np.cumsum(counts) - counts
-        old = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_spans", "_items")}
-        spans = [list(zip(s[::2], s[1::2], strict=True)) for s in old["_spans"]]
-        items = [set(x) for x in old["_items"]]
+        begin = np.cumsum(counts) - counts
+        spans, items = [[] for _ in counts], [set() for _ in counts]
         for ws in shared.value:
             pos, window = ws.search(codes, begin, begin + counts)
             row = np.searchsorted(begin + counts, pos, side="right")
@@ -138,29 +139,58 @@ def _scanner(shared, ids: list[str], text: str):
                 spans[r].append((s, s + ws.length))
             for r, w in set(zip(row.tolist(), window.tolist(), strict=True)):
                 items[r].update(ids[i] for i in ws.items[ws.item_at[w] : ws.item_at[w + 1]])
-        return {"_n": counts, "_spans2": [_merge(s) for s in spans],
-                "_items2": [sorted(x) for x in items], "_rows": np.ones(n, np.int64)}
+        return {"_n": counts, "_spans": [_merge(s) for s in spans], "_items": [sorted(x) for x in items]}
     return run
 
 
+def _gathered(batch: pa.RecordBatch) -> dict:
+    """Spans and items of all blocks as one."""
+    get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
+    spans = [_merge([p for s in parts for p in zip(s[::2], s[1::2], strict=True)]) for parts in get("_parts")]
+    return {"_spans": spans, "_items": [sorted(set(chain(*parts))) for parts in get("_named")]}
+
+
+_SPANS, _ITEMS = ("_spans", T.ArrayType(T.LongType())), ("_items", T.ArrayType(T.StringType()))
+
+
+def _block_hits(docs: DataFrame, items: DataFrame, text: str, width: int, keep: list[str]):
+    """docs with _n, _spans and _items of one block of items, and what was broadcast."""
+    rows = items.collect()  # about block_bytes
+    shared = docs.sparkSession.sparkContext.broadcast(window_sets([r.t.encode() for r in rows], width))
+    return scan(docs, _scanner(shared, [r.id for r in rows], text), [("_n", T.LongType()), _SPANS, _ITEMS], keep), shared
+
+
+def _in_passes(docs: DataFrame, items: DataFrame, blocks: int, text: str, width: int) -> DataFrame:
+    """As ``_block_hits``, a pass over the stored documents for each block; a document's hits are put together by its row number."""
+    keep = docs.columns
+    docs = stage(docs.withColumn("_rid", F.monotonically_increasing_id()), "deco-docs")
+    passes = []
+    for b in range(blocks):
+        found, shared = _block_hits(docs.select("_rid", text), items.filter(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b), text, width, ["_rid"])
+        passes.append(stage(found.filter((F.size("_spans") > 0) | F.lit(b == 0)), "deco-pass"))  # the first pass has the counts of all
+        shared.unpersist()
+    counts = passes[0].select("_rid", "_n")
+    hits = passes[0].filter(F.size("_spans") > 0)
+    for more in passes[1:]:
+        hits = hits.unionByName(more)
+    hits = hits.groupBy("_rid").agg(F.collect_list("_spans").alias("_parts"), F.collect_list("_items").alias("_named"))
+    hits = stage(counts.join(scan(hits, _gathered, [_SPANS, _ITEMS], ["_rid"]), "_rid", "left"), "deco-hits")
+    discard(*passes)
+    none = {c: F.coalesce(c, F.array().cast(f"array<{kind}>")) for c, kind in (("_spans", "bigint"), ("_items", "string"))}
+    return docs.join(hits, "_rid").withColumns(none).select(*keep, "_n", "_spans", "_items")
+
+
 def find_windows(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                  width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` with n_words, n_hit, hit_spans (word ranges, flat), hit_items and contaminated."""
-    spark = docs.sparkSession
-    prepare(spark)
-    results = ["n_words", "n_hit", "hit_spans", "hit_items", "contaminated", "_n", "_spans", "_items", "_spans2", "_items2", "_rows"]
+    prepare(docs.sparkSession)
+    results = ["n_words", "n_hit", "hit_spans", "hit_items", "contaminated", "_n", "_spans", "_items", "_rid"]
     docs = docs.drop(*(c for c in results if c != text))
-    items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
+    items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).distinct()
     size = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    df = docs.withColumns({"_spans": F.array().cast("array<bigint>"), "_items": F.array().cast("array<string>")})
-    fields = [("_n", T.LongType()), ("_spans2", T.ArrayType(T.LongType())), ("_items2", T.ArrayType(T.StringType())), ("_rows", T.LongType())]
     keep = docs.columns
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b).collect()  # about block_bytes
-        shared = spark.sparkContext.broadcast(window_sets([r.t.encode() for r in rows], width))
-        df = scan(df, _scanner(shared, [r.id for r in rows], text), fields, keep)
-        df = df.withColumnsRenamed({"_spans2": "_spans", "_items2": "_items"})
+    df = _block_hits(docs, items, text, width, keep)[0] if blocks == 1 else _in_passes(docs, items, blocks, text, width)
     hit = F.aggregate(F.sequence(F.lit(0), F.size("_spans") - 1, F.lit(2)), F.lit(0).cast("bigint"),
                       lambda a, i: a + F.element_at("_spans", (i + 2).cast("int")) - F.element_at("_spans", (i + 1).cast("int")))
     n_hit = F.when(F.size("_spans") == 0, F.lit(0).cast("bigint")).otherwise(hit)
