@@ -35,6 +35,8 @@ from sigmaflow.llm.kit import BATCH_ROWS, as_bytes, discard, free, packed, prepa
 
 LENGTH = 2048
 ROWS = 1024
+#: Copies of one row that go to one task; further ones are dealt over other tasks.
+COPIES = 256
 ROUNDS = 6
 SEED = "order-1"
 
@@ -110,11 +112,12 @@ def _packed_sequences(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     total = sums.agg(F.sum("_s")).first()[0] or 0
     first = F.sum(F.col("_n") * F.col("_m")).over(within) - F.col("_n") * F.col("_m")
     first = keys.withColumn("_in", first).join(F.broadcast(before), "_p").select("k0", "k1", "_m", (F.col("_in") + F.col("_before")).alias("_first"))
-    df = packed(df, ["_key", "k0", "k1"]).join(first, ["k0", "k1"])
-    if keys.filter("_m > 1").isEmpty():
-        df = df.withColumn("_copy", F.lit(0))
+    texts = packed(df, ["_key", "k0", "k1"])
+    most = keys.agg(F.max("_m")).first()[0] or 1
+    if most == 1:
+        df = texts.join(first, ["k0", "k1"]).withColumn("_copy", F.lit(0).cast("long"))
     else:
-        df = df.withColumn("_copy", F.row_number().over(W.partitionBy("k0", "k1").orderBy("k0")) - 1)
+        df = _copies(texts, first, most)
 
     def emit(batch: pa.RecordBatch) -> dict:
         e, codec = Encoder(shared.value), pa.Codec("zstd")
@@ -143,6 +146,18 @@ def _packed_sequences(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     return out.select("slot", "shard", "offset", F.col("_key").alias(key), "part", "n_tokens", "_packed", "_size")
 
 
+def _copies(texts: DataFrame, first: DataFrame, most: int) -> DataFrame:
+    """A row with its own ``_copy`` for each of the ``_m`` copies; equal rows are one before the shuffle, and many copies are made in many tasks."""
+    others = ["_key", "_packed", "_size"]
+    texts = texts.groupBy("k0", "k1").agg(*(F.first(c).alias(c) for c in others))
+    begin = F.sequence(F.lit(0).cast("long"), F.col("_m") - 1, F.lit(COPIES).cast("long"))
+    parts = texts.join(first, ["k0", "k1"]).withColumn("_from", F.explode(begin))
+    if most > COPIES:  # one more shuffle, of compressed texts, a row for each range of copies
+        parts = parts.repartition("k0", "k1", "_from")
+    last = F.least(F.col("_from") + COPIES, F.col("_m")) - 1
+    return parts.withColumn("_copy", F.explode(F.sequence("_from", last))).drop("_from")
+
+
 def sequences(docs: DataFrame, **options) -> DataFrame:
     """slot, shard, offset, key, part, n_tokens (with EOS), tokens (``length`` ids as bytes), partitioned by ranges of shards and sorted by slot."""
     df = _packed_sequences(docs, **options)

@@ -24,10 +24,16 @@ def test_decontaminate(spark, odd_docs, no_docs):
     assert decontaminate.find_windows(no_docs, items).isEmpty()
 
 
-def test_decontaminate_in_blocks(spark, odd_docs):
+def test_decontaminate_in_blocks(spark, odd_docs, monkeypatch):
     items = spark.createDataFrame([(i, f"word{i} and{i % 61} word{i + 1}") for i in range(50)] + [(99, "short one")], ITEMS)
     rows = lambda **o: sorted(map(str, decontaminate.find_windows(odd_docs, items, **o).select("doc_id", "n_words", "n_hit", "hit_items", "hit_spans").collect()))
     assert rows(block_bytes=200) == rows()
+    repeated = items.unionByName(spark.range(300).select(F.lit(99).cast("long").alias("item_id"), F.lit("short one").alias("text")))
+    one, made = rows(), []
+    items = repeated  # copies of an item neither fill a block nor change what is found
+    monkeypatch.setattr(decontaminate, "window_sets", lambda texts, width, plain=decontaminate.window_sets: made.append(len(texts)) or plain(texts, width))
+    assert rows(block_bytes=200) == one and len(made) > 2 and sum(made) == 51 and max(made) < 51
+    assert decontaminate.find_windows(odd_docs.limit(0), items, block_bytes=200).isEmpty()
 
 
 def test_mixing(odd_docs, no_docs):
@@ -278,6 +284,28 @@ def test_order(spark, odd_docs, no_docs, tmp_path):
     assert order.sequences(no_docs).isEmpty()
 
 
+def test_order_of_copies(spark, monkeypatch):
+    """Copies of a row get slots of their own, the same ones however many tasks make them; numbers go by key."""
+    import numpy as np
+    texts = {1: "b" * 100, 2: "a text", 3: "", 4: "c" * 64}
+    copies = {1: 1, 2: 90, 3: 7, 4: 1}
+    docs = spark.createDataFrame([(k, texts[k], "s") for k, m in copies.items() for _ in range(m)], "doc_id long, text string, source string").repartition(5)
+    rows = lambda: sorted((r.slot, r.doc_id, r.part, r.n_tokens, bytes(r.tokens)) for r in order.sequences(docs, length=64, rows=8).collect())
+    want = rows()
+    monkeypatch.setattr(order, "COPIES", 4)
+    assert rows() == want
+    n = {k: len(x) // 64 + 1 for k, x in texts.items()}
+    total = sum(n[k] * m for k, m in copies.items())
+    assert [r[0] for r in want] == list(range(total))
+    for k, slots in {k: {r[0] for r in want if r[1] == k} for k in texts}.items():
+        assert len(slots) == n[k] * copies[k]
+    every = {(r[1], r[2]): [] for r in want}
+    for r in want:
+        every[r[1], r[2]].append(r[0])
+    # the first key has the first numbers, one for each part
+    assert sorted(order.slots(np.arange(2), total).tolist()) == sorted(every[1, 0] + every[1, 1])
+
+
 def test_shards_are_files_of_fixed_stride(spark, odd_docs, no_docs, tmp_path):
     """Every slot stands at byte (s % rows) * stride of its shard's file, and the parts of the index are ranges of slots."""
     import os
