@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,8 @@ from sigmaflow.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 #: Rows of one Arrow batch; a batch of average documents is a few MB.
 BATCH_ROWS = 1000
+#: Bytes of the labelled texts that a model learns from.
+SAMPLE_BYTES = 64 << 20
 #: Bytes hashed at once.
 SLICE = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -229,16 +232,21 @@ def text_keys(text="text") -> list:
     return [F.xxhash64(F.col(text)).alias("x0"), F.xxhash64(F.lit(7), F.col(text)).alias("x1")]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, rows: int) -> DataFrame:
-    """(text, y) of at most ``rows`` labelled documents outside the held-out fold, those of the smallest hashes.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, rows: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(text, y) of labelled documents outside the held-out fold, those of the smallest hashes: at most ``rows`` rows and ``most_bytes`` bytes.
 
     docs: doc_id, text. The fold of a document is crc32 of its id as text, modulo ``fold``; ``held`` is held out.
-    A document with several labels has the largest.
+    An id with several labels has the largest, one with several texts the one of least hash; texts of more than a
+    sixteenth of ``most_bytes`` are not learnt from.
     """
     key = F.col("doc_id").cast("string")
     y = labels.groupBy(key.alias("k")).agg(F.max(label).alias("y")).filter("y IS NOT NULL AND k IS NOT NULL").filter(F.crc32("k") % fold != held)
     y = y.withColumn("h", F.xxhash64("k") / F.lit(float(1 << 63)))
     share = min(1.0, 1.2 * rows / max(1, y.count()))  # about the sample before the sort
     chosen = y.filter(F.col("h") <= 2 * share - 1).orderBy("h").limit(rows)
-    texts = docs.select(key.alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(chosen.select("k", "y"), "k").select("text", F.col("y").cast("double"))
+    texts = docs.select(key.alias("k"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= most_bytes // 16)
+    one = texts.join(chosen, "k").groupBy("k").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"), F.first("h").alias("h"))
+    one = stage(one, "labelled")
+    upto = F.sum(F.octet_length("text")).over(W.orderBy("h", "k"))  # at most ``rows`` rows
+    within = one.select("k", upto.alias("upto")).filter(F.col("upto") <= most_bytes).select("k")
+    return one.join(within, "k").orderBy("h", "k").select("text", F.col("y").cast("double"))

@@ -5,11 +5,11 @@ first 4 to 7 bytes (so that inflected and compound forms share what their stem t
 probability sigmoid(z_s), and a document is toxic if any sentence is (noisy-or):
 P = 1 - prod(1 - p_s) = 1 - exp(-sum softplus(z_s)). Weights are fitted by
 gradient descent on the log-likelihood of document labels alone, over at most
-``FIT_ROWS`` labelled documents outside the held-out fold. Scoring is one pass over whole texts and
+``FIT_ROWS`` labelled documents outside the held-out fold, one text an id, in bounded bytes. Scoring is one pass over whole texts and
 also locates the sentences that make a document toxic.
 
 Defined results: a text without words has score 0; repeated rows get equal scores; without
-any labelled row all scores are 0; rows of null id are scored, never learnt from.
+any labelled row all scores are below 1e-9; rows of null id are scored, never learnt from.
 """
 
 from __future__ import annotations

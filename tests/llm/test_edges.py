@@ -53,6 +53,23 @@ def test_mixing_is_near_target(spark):
     assert all(0 <= r.target - r.n <= 0.002 * r.target + 1 for r in got)
 
 
+def test_labelled_sample_is_bounded(spark):
+    """One text an id, however many rows have it; bounded rows and bytes; the held-out fold and unlabelled ids stay out."""
+    import zlib
+    from sigmaflow.llm.kit import labelled_sample
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 5 + 1).cast("int")).alias("text"))
+    hot = spark.range(500).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("hot "), F.col("id") % 3).alias("text"))
+    docs = docs.unionByName(hot).unionByName(docs.filter("doc_id = 8").select("doc_id", F.repeat(F.lit("y"), 4000).alias("text")))
+    labels = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic")).unionByName(spark.createDataFrame([(5, None), (None, 1), (6, 1)], "doc_id long, toxic long"))
+    inside = [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2]
+    every = labelled_sample(docs, labels, "toxic", 4, 2, 1000).collect()
+    assert len(every) == len(inside) and sum(r.text.startswith("hot") for r in every) <= 1
+    assert len(labelled_sample(docs, labels, "toxic", 4, 2, 50).collect()) == 50
+    few = labelled_sample(docs, labels, "toxic", 4, 2, 1000, most_bytes=160).collect()
+    assert 0 < sum(len(r.text) for r in few) <= 160 and len(few) < 170 and few == labelled_sample(docs.repartition(7), labels, "toxic", 4, 2, 1000, most_bytes=160).collect()
+    assert labelled_sample(docs, labels.limit(0), "toxic", 4, 2, 50).isEmpty()
+
+
 def test_toxicity(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     docs = spark.range(40).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 1, "plain words here. you vile fiend! more words").otherwise("plain words here. more of them. quite so").alias("text"))
