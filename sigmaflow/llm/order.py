@@ -143,7 +143,9 @@ def _packed_sequences(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     shards = max(1, -(-total // rows))
     parts = min(parts, shards)
     out = out.repartitionById(parts, F.floor(F.col("shard") * parts / shards).cast("int")).sortWithinPartitions("slot")
-    return out.select("slot", "shard", "offset", F.col("_key").alias(key), "part", "n_tokens", "_packed", "_size")
+    out = out.select("slot", "shard", "offset", F.col("_key").alias(key), "part", "n_tokens", "_packed", "_size")
+    out.stored_keys = keys
+    return out
 
 
 def _copies(texts: DataFrame, first: DataFrame, most: int) -> DataFrame:
@@ -161,7 +163,9 @@ def _copies(texts: DataFrame, first: DataFrame, most: int) -> DataFrame:
 def sequences(docs: DataFrame, **options) -> DataFrame:
     """slot, shard, offset, key, part, n_tokens (with EOS), tokens (``length`` ids as bytes), partitioned by ranges of shards and sorted by slot."""
     df = _packed_sequences(docs, **options)
-    return scan(df, lambda batch: {"tokens": unpacked(batch)}, [("tokens", T.BinaryType())], df.columns[:-2])
+    out = scan(df, lambda batch: {"tokens": unpacked(batch)}, [("tokens", T.BinaryType())], df.columns[:-2])
+    out.stored_keys = df.stored_keys
+    return out
 
 
 def shard_file(path: str, shard: int) -> str:
@@ -221,7 +225,9 @@ def write_shards(docs: DataFrame, path: str, **options) -> DataFrame:
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
     if hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath):
         raise FileExistsError(uri)
-    sorted_ = stage(sequences(docs, **options).withColumn("_size", F.octet_length("tokens").cast("long")), "order-sorted", compression="zstd")
+    made = sequences(docs, **options)
+    sorted_ = stage(made.withColumn("_size", F.octet_length("tokens").cast("long")), "order-sorted", compression="zstd")
+    discard(made.stored_keys)
     files = sorted_.inputFiles()  # one of each partition: whole shards, in order of slots
     held = sorted_.agg(F.sum("_size")).first()[0] or 0
     free(spark)  # again, now that listeners have let go of the finished query
