@@ -4,8 +4,8 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts elsewhere in
 Which texts must be compared is found by winnowing: a window of ``LENGTH`` bytes is
 represented by the ``GRAM``-byte string of least hash inside it, its anchor, so equal windows
 share the anchor's hash. An anchor stands for a stretch of consecutive windows; the bytes they span
-are its context. Anchors whose hash occurs once are done with. Contexts that occur twice are repeated
-throughout. What is left are contexts that share an anchor but differ, mostly the edges of copied passages.
+are its context. Anchors whose hash occurs once are done with. Contexts that occur twice, by 128 bits of BLAKE2b over their bytes, are
+repeated throughout. What is left are contexts that share an anchor but differ, mostly the edges of copied passages.
 
 These are gathered by anchor into buckets of bounded size, one of each distinct context. A bucket's
 contexts are joined into one string and its Burrows-Wheeler transform is kept as runs, with text
@@ -25,6 +25,7 @@ everything from ``LENGTH`` bytes on; an empty table gives no rows; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -84,9 +85,16 @@ def _joined(texts, row, at, size):
     return raw, np.array(row), np.array(at), np.array(size)
 
 
+def _digests(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of each stretch, as two words: equal for equal bytes alone, also in texts made to collide."""
+    view = memoryview(raw)
+    found = b"".join(blake2b(view[s:e], digest_size=16).digest() for s, e in zip(begin.tolist(), end.tolist(), strict=True))
+    return np.frombuffer(found, np.uint64).reshape(-1, 2)
+
+
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """row, h (anchor hash), c (context hash), a and b (first and last window start) of all anchors."""
-    out: dict[str, list] = {"row": [], "h": [], "c": [], "a": [], "b": []}
+    """row, h (anchor hash), c and d (context digest), a and b (first and last window start) of all anchors."""
+    out: dict[str, list] = {"row": [], "h": [], "c": [], "d": [], "a": [], "b": []}
     for raw, row, at, size in _chunks(texts, length):
         total, inverse = _sums(raw)
         n = len(raw)
@@ -105,10 +113,12 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[
         a, b, of = place[first], place[last], piece[first]
         out["row"].append(row[of])
         out["h"].append(h[p[first]])
-        out["c"].append(mix((total[b + length] - total[a]) * inverse[a] + (b - a).astype(np.uint64)))
+        digest = _digests(raw, a, b + length)
+        out["c"].append(digest[:, 0])
+        out["d"].append(digest[:, 1])
         out["a"].append(a - begin[of] + at[of])
         out["b"].append(b - begin[of] + at[of])
-    return {k: np.concatenate(v) if v else np.zeros(0, np.uint64 if k in "hc" else np.int64) for k, v in out.items()}
+    return {k: np.concatenate(v) if v else np.zeros(0, np.uint64 if k in "hcd" else np.int64) for k, v in out.items()}
 
 
 def _lists(row: np.ndarray, rows: int, fields: dict[str, pa.Array]) -> pa.Array:
@@ -119,7 +129,7 @@ def _lists(row: np.ndarray, rows: int, fields: dict[str, pa.Array]) -> pa.Array:
 
 def _anchor_lists(batch: pa.RecordBatch) -> dict:
     got = anchors(as_bytes(batch.column(batch.schema.get_field_index("_text"))))
-    ints = {"h": got["h"].view(np.int64), "c": got["c"].view(np.int64), "a": got["a"], "b": got["b"]}
+    ints = {"h": got["h"].view(np.int64), "c": got["c"].copy().view(np.int64), "d": got["d"].copy().view(np.int64), "a": got["a"], "b": got["b"]}
     return {"anchors": _lists(got["row"], batch.num_rows, {k: pa.array(v, pa.int64()) for k, v in ints.items()})}
 
 
@@ -255,9 +265,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(x0, x1, marks): stretches [a, e) of whole windows that occur elsewhere, stored; docs: _key, _text, x0, x1."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    every = scan(docs.filter(F.octet_length("_text") >= LENGTH), _anchor_lists, [("anchors", _long("h", "c", "a", "b"))], ["x0", "x1"])
+    every = scan(docs.filter(F.octet_length("_text") >= LENGTH), _anchor_lists, [("anchors", _long("h", "c", "d", "a", "b"))], ["x0", "x1"])
     every = stage(every.select("x0", "x1", F.explode("anchors").alias("r")).select("x0", "x1", "r.*"), "repeat-anchors")
-    shared = every.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed"))
+    shared = every.groupBy("h").agg(F.count("*").alias("n"), *(f(x).alias(f"{x}_{f.__name__}") for x in "cd" for f in (F.min, F.max)))
+    shared = shared.filter("n > 1").select("h", ((F.col("c_min") != F.col("c_max")) | (F.col("d_min") != F.col("d_max"))).alias("mixed"))
     # both sides are stored, so that Spark can split an anchor that many rows share
     hashes = stage(shared, "repeat-hashes")
     rows = stage(every.join(hashes, "h"), "repeat-shared")
@@ -265,8 +276,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     alike = rows.filter("NOT mixed").select("x0", "x1", "a", (F.col("b") + LENGTH).alias("e"))
 
     mixed = rows.filter("mixed")
-    contexts = stage(mixed.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("x0", "x1", "a", "b")).alias("r")).select("h", "c", "n", "r.*"), "repeat-contexts")
-    twins = mixed.join(contexts.filter("n > 1").select("h", "c"), ["h", "c"]).select("x0", "x1", "a", (F.col("b") + LENGTH).alias("e"))
+    contexts = stage(mixed.groupBy("h", "c", "d").agg(F.count("*").alias("n"), F.min(F.struct("x0", "x1", "a", "b")).alias("r")).select("h", "c", "d", "n", "r.*"), "repeat-contexts")
+    twins = mixed.join(contexts.filter("n > 1").select("h", "c", "d"), ["h", "c", "d"]).select("x0", "x1", "a", (F.col("b") + LENGTH).alias("e"))
     groups = contexts.groupBy("h").agg(F.count("*").alias("k"), F.max((F.col("n") == 1).cast("int")).alias("open")).filter("open = 1").select("h", "k")
     left = stage(contexts.join(groups, "h").withColumn("asked", F.col("n") == 1), "repeat-open")
     first = docs.groupBy("x0", "x1").agg(F.min("_key").alias("first"))

@@ -112,6 +112,18 @@ def test_anchors_in_long_texts(monkeypatch):
     assert [x for a, b in spans for x in range(a, b + 1)] == list(range(4601))
 
 
+def test_context_digests_stand_for_bytes():
+    rng = random.Random(6)
+    body = bytes(rng.choice(b"abcdefgh ") for _ in range(2000))
+    other = body[:700] + b"#" + body[701:]
+    got = repeats.anchors([body, body, other])
+    digest = {}
+    for r, a, b, c, d in zip(got["row"].tolist(), got["a"].tolist(), got["b"].tolist(), got["c"].tolist(), got["d"].tolist(), strict=True):
+        digest.setdefault((c, d), set()).add((body, body, other)[r][a : b + repeats.LENGTH])
+    assert all(len(v) == 1 for v in digest.values())
+    assert len(digest) == len({x for v in digest.values() for x in v})
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
 def test_slots_are_a_permutation(n):
     assert sorted(order.slots(np.arange(n), n).tolist()) == list(range(n))
