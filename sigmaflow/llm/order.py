@@ -34,7 +34,8 @@ from pyspark.sql import types as T
 from sigmaflow.llm.kit import BATCH_ROWS, as_bytes, discard, free, packed, prepare, scan, stage, table, unpacked
 
 LENGTH = 2048
-ROWS = 1024
+#: Sequences of a shard: files of 64 MiB, so that 100 TB are some millions of files, each the work of one short task.
+ROWS = 32 * 1024
 #: Copies of one row that go to one task; further ones are dealt over other tasks.
 COPIES = 256
 ROUNDS = 6
